@@ -43,17 +43,29 @@ def mode_multiply(t: TensorFrame, m: int, u: TensorFrame, n: int) -> TensorFrame
       row, and the array positions are summed as columns. The joined rows are as
       many as the cells of ``t``, not a multiple of them.
     * either side has a proven bound that fits a broadcast: broadcast join.
-    * otherwise a salted shuffle join. A pair is formed only for a product that
-      the result needs: for one contracted index all pairs are different cells.
+    * otherwise a salted shuffle join; sides that are not stored are stored first. A
+      pair is formed only for a product that the result needs: for one contracted
+      index all pairs are different cells.
     """
     if t.known_shape and u.known_shape:
         require_same((t.known_shape[m],), (u.known_shape[n],), "contracted extents differ")
     shape = derive_shape(lambda a, b: without(a, m) + without(b, n), t, u)
     names = [mode_col(k) for k in range(t.n_modes + u.n_modes - 2)]
+    spark = t.spark
+    width = prod(without(u.known_shape, n)) if u.known_shape and u.n_modes > 1 else None
+    packs = width is not None and 1 < width <= PACK_WIDTH and t.n_modes > 1
+    if packs:
+        small = fits_broadcast(spark, u.known_shape[n], 8 * (width + 1))
+    else:
+        small = fits_broadcast(spark, u.max_rows(), 8 * (u.n_modes + 1)) or fits_broadcast(
+            spark, t.max_rows(), 8 * (t.n_modes + 1)
+        )
+    if not small:
+        # The salted join reads its sides more than once, to find the heavy keys.
+        t, u = t.store(), u.store()
     left, a = _side(t, m, "a", "x")
     right, b = _side(u, n, "b", "y")
-    width = prod(without(u.known_shape, n)) if u.known_shape and u.n_modes > 1 else None
-    if width is not None and 1 < width <= PACK_WIDTH and a:
+    if packs:
         cells = _packed(left, a, u, n, width)
     else:
         cells = (
@@ -111,11 +123,14 @@ def mode_multiply_vec(t: TensorFrame, m: int, v: TensorFrame) -> TensorFrame:
         raise ValueError("expected a vector")
     if t.known_shape and v.known_shape:
         require_same((t.known_shape[m],), v.known_shape, "extents differ")
+    length = v.known_shape[0] if v.known_shape else None
+    if not fits_broadcast(t.spark, length, 16):
+        t = t.store()
     left, a = _side(t, m, "a", "x")
     right = v.frame.select(F.col("i0").alias("k"), F.col("value").alias("y"))
     if not v.unique:
         right = right.groupBy("k").agg(F.sum("y").alias("y"))
-    met = keyed_join(left, right, "k", v.known_shape[0] if v.known_shape else None, 16, "left")
+    met = keyed_join(left, right, "k", length, 16, "left")
     cells = met.groupBy(*a).agg(
         F.sum(F.col("x") * F.coalesce(F.col("y"), F.lit(0.0))).alias("value")
     )

@@ -135,7 +135,8 @@ def renorm(factor: DataFrame, reference: DataFrame, rank: int) -> DataFrame:
     scaled = F.zip_with("vec", "scale", lambda v, s: v * s).alias("vec")
     keep = [c for c in factor.columns if c != "vec"]
     if not groups:
-        return factor.select(*keep, F.zip_with("vec", factors.select("scale").scalar(), lambda v, s: v * s).alias("vec"))
+        one = factors.select("scale").scalar()
+        return factor.select(*keep, F.array(*[F.col("vec")[r] * one[r] for r in range(rank)]).alias("vec"))
     # One row per repetition and mode.
     return factor.join(F.broadcast(factors), groups, "left").select(*keep, scaled)
 

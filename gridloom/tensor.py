@@ -83,6 +83,15 @@ class TensorFrame:
     def persist(self) -> TensorFrame:
         return TensorFrame(self.frame.persist(), self._shape, self.unique, self.stored)
 
+    def store(self) -> TensorFrame:
+        """The tensor read back from a table in the shared folder.  For tensors that
+        are costly to make and read more than once."""
+        from gridloom.plans.materialize import stage
+
+        if self.stored:
+            return self
+        return TensorFrame(stage(self.frame, "cells"), self._shape, self.unique, stored=True)
+
     # --- the operator surface as methods -------------------------------------
     def nnz(self) -> int:
         from gridloom.operators import aggregates
