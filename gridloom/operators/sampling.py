@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from gridloom.functions import hash_uniform
 from gridloom.model import CPModel
 from gridloom.operators.ranking import number_rows, take_best
-from gridloom.plans.joins import fits_broadcast, salted_join
+from gridloom.plans.joins import fits_broadcast, heavy_keys, salted_join
 from gridloom.tensor import TensorFrame
 
-# A sample up to this size is taken with a heap per task; larger ones by buckets.
-HEAP_ROWS = 100_000
+# A sample up to this size is taken with a heap per task, whose contents meet in one
+# task; larger ones are ranked by window or by buckets.
+HEAP_ROWS = 1_000
 
 
 def _magnitude(seed: int, rep, mode):
@@ -99,7 +100,7 @@ def sample_subtensor(
         if fits_broadcast(tensor.spark, min(sizes[m] * reps, shape[m] if shape else sizes[m] * reps), 32 + 16 * reps):
             frame = frame.join(F.broadcast(by_index), col)
         else:
-            frame = salted_join(frame, by_index, col)
+            frame = salted_join(frame, by_index, col, heavy=heavy_keys(tensor.frame, col))
         if step == 0:
             frame = frame.select("*", F.explode(F.map_keys(f"n{m}")).alias("rep"))
         label = F.try_element_at(f"n{m}", F.col("rep"))

@@ -40,6 +40,8 @@ from gridloom.tensor import Shape, TensorFrame, mode_col
 # Factor columns one pass may carry; more ranks are done in several passes, which
 # keeps the row narrow enough for code generation.
 PASS_COLUMNS = 90
+# Sums the writing tasks of one update may keep for all blocks together.
+MEASURES = 400
 
 
 def _row_bytes(rank: int) -> int:
@@ -48,11 +50,17 @@ def _row_bytes(rank: int) -> int:
 
 def _attach(
     frame: DataFrame, m: int, flat: DataFrame, rows: int, ranks: Sequence[int], how: str,
-    heavy: dict[int, DataFrame] | None,
+    heavy: dict[int, DataFrame] | None, cells: DataFrame,
 ) -> DataFrame:
-    """Cells with the factor row of their index on mode ``m`` as ``f{m}_{r}``."""
+    """Cells with the factor row of their index on mode ``m`` as ``f{m}_{r}``.
+
+    ``cells`` is the table before any factor was attached: attaching neither adds nor
+    drops rows of an index, so its heavy indexes are looked up there.
+    """
     part = flat.selectExpr(f"idx as {mode_col(m)}", *[f"f{r} as f{m}_{r}" for r in ranks])
     known = (heavy or {}).get(m)
+    if known is None and not fits_broadcast(cells.sparkSession, rows, _row_bytes(len(ranks))):
+        known = heavy_keys(cells, mode_col(m))
     return keyed_join(frame, part, mode_col(m), rows, _row_bytes(len(ranks)), how, known)
 
 
@@ -96,7 +104,7 @@ def rank_sums(
     for ranks in passes:
         frame = cells
         for m in _join_order(cells.sparkSession, attached, extents, len(ranks)):
-            frame = _attach(frame, m, flats[m], extents[m], ranks, "left" if outer else "inner", heavy)
+            frame = _attach(frame, m, flats[m], extents[m], ranks, "left" if outer else "inner", heavy, cells)
         sums = [F.expr(f"sum(value * {_product(modes, r, outer)}) as m{r}") for r in ranks]
         if model_at is not None:
             sums.append(F.expr(f"sum(power({model_at} - value, 2)) as sse"))
@@ -203,6 +211,12 @@ def _block_of(col: str, extent: int) -> Column:
     return F.expr(f"cast({col} div {extent}L as int)")
 
 
+def _measured(rank: int, with_error: bool) -> list[tuple[str, str]]:
+    """Name and SQL text of what is summed over the rows of an update."""
+    products = [(f"g_{r}_{s}", f"a{r} * a{s}") for r, s in upper_pairs(rank)]
+    return products + ([("sse", "sse")] if with_error else [])
+
+
 class _Sweeper:
     """The updates of one run. Block ``b`` of a mode holds the indexes
     ``b * extent .. (b + 1) * extent - 1``, so blocks never meet in a join."""
@@ -233,12 +247,13 @@ class _Sweeper:
     def start(self, m: int, seed: int) -> None:
         """Random normal rows, the same in every block."""
         spark = self.cells.sparkSession
-        rows = random_rows(spark, m, self.extents[m], self.rank, seed, "normal")
-        gram = gram_matrix(pack(rows, self.rank), self.rank)
+        drawn = random_rows(spark, m, self.extents[m], self.rank, seed, "normal")
+        rows, seen = put_and_measure(drawn, f"{self.folder}/{m}-start", gram_sums(self.rank))
+        gram = _symmetric(seen, self.rank)
         if not self.single:
             shift = F.explode(F.array(*[F.lit(int(b)) for b in self.active])).alias("b")
-            rows = rows.select("*", shift).select(
-                (F.col("idx") + F.col("b") * F.lit(self.extents[m])).alias("idx"), *flat_cols(self.rank)
+            rows = rows.select("*", shift).selectExpr(
+                f"idx + b * {self.extents[m]}L as idx", *flat_cols(self.rank)
             )
         ones = np.ones(self.rank)
         self.factors[m] = _Factor(
@@ -267,13 +282,24 @@ class _Sweeper:
     def _write(self, rows: DataFrame, n: int, path: str, with_error: bool):
         """Write the new rows; their Gram matrices and squared errors by block."""
         rank = self.rank
-        sums = gram_sums(rank, "a") + ([F.expr("sum(sse) as sse")] if with_error else [])
+        extent = self.extents[n]
+        sums = gram_sums(rank, "a") + ([F.expr("coalesce(sum(sse), 0D) as sse")] if with_error else [])
         if self.single:
             raw, seen = put_and_measure(rows, path, sums)
             found = {0: seen}
+        elif len(self.active) * len(sums) <= MEASURES:
+            of_block = [
+                F.expr(f"coalesce(sum(if(idx div {extent}L = {b}, {x}, 0D)), 0D) as b{b}_{name}")
+                for b in self.active
+                for name, x in _measured(rank, with_error)
+            ]
+            raw, seen = put_and_measure(rows, path, of_block)
+            found = {
+                b: {name: seen[f"b{b}_{name}"] for name, _ in _measured(rank, with_error)} for b in self.active
+            }
         else:
             raw = put(rows, path)
-            by_block = raw.groupBy(_block_of("idx", self.extents[n]).alias("block")).agg(*sums)
+            by_block = raw.groupBy(_block_of("idx", extent).alias("block")).agg(*sums)
             found = {r["block"]: r.asDict() for r in by_block.collect()}
         gram = {b: np.zeros((rank, rank)) for b in self.active}
         errors = dict.fromkeys(self.active, 0.0)
@@ -299,7 +325,7 @@ class _Sweeper:
         frame = self.cells
         modes = range(len(self.extents))
         for m in _join_order(frame.sparkSession, modes, self.total, self.rank):
-            frame = _attach(frame, m, self.factors[m].flat, self.total[m], range(self.rank), "inner", self.heavy)
+            frame = _attach(frame, m, self.factors[m].flat, self.total[m], range(self.rank), "inner", self.heavy, self.cells)
         rows = (
             frame.groupBy(_block_of("i0", self.extents[0]).alias("block"))
             .agg(F.expr(f"sum(power({self._model_value()} - value, 2)) as sse"))
@@ -436,7 +462,7 @@ def predict(coords: DataFrame, model: CPModel) -> DataFrame:
     modes = range(model.n_modes)
     ranks = range(model.rank)
     for m in _join_order(coords.sparkSession, modes, model.shape, model.rank):
-        frame = _attach(frame, m, model.flat(m), model.shape[m], ranks, "left", None)
+        frame = _attach(frame, m, model.flat(m), model.shape[m], ranks, "left", None, coords)
     lam = _by_block({0: np.array(model.lam)}, "", 1)
     value = F.expr(_evaluate(modes, lam, model.rank, outer=True)).alias("predicted")
     return frame.select(*coords.columns, value)

@@ -43,8 +43,10 @@ class DecompositionState:
 
 
 def start_state(tensor: TensorFrame, model: CPModel) -> DecompositionState:
+    """State to go on from. The weights, one row per index, are written out: every
+    step reads them again, and making them reads all cells."""
     require_same(tensor.shape, model.shape, "model and tensor differ in shape")
-    return DecompositionState(tensor, slice_weights(tensor), model)
+    return DecompositionState(tensor, stage(slice_weights(tensor), "weights"), model)
 
 
 def append_slice(state: DecompositionState, new: TensorFrame, mode: int) -> DecompositionState:

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.model import CPModel
-from gridloom.plans.incremental import DecompositionState, incremental_step, start_state
+from gridloom.operators.aggregates import slice_weights
+from gridloom.plans.incremental import DecompositionState, incremental_step
 from gridloom.sources.construct import from_coo
-from gridloom.tensor import TensorFrame
+from gridloom.tensor import TensorFrame, require_same
 
 COMMIT = "version bigint, shape array<bigint>, lam array<double>"
 WEIGHTS = "mode int, idx bigint, w double, version bigint"
@@ -44,9 +45,11 @@ def _commit(spark: SparkSession, path: str, version: int, shape, lam) -> None:
 
 def init_state(path: str, tensor: TensorFrame, model: CPModel) -> None:
     """Write version 0: the tensor and model the stream goes on from."""
-    state = start_state(tensor, model)
+    require_same(tensor.shape, model.shape, "model and tensor differ in shape")
     _put(tensor.frame, path, "cells", 0)
-    _put(state.weights, path, "weights", 0)
+    cells = tensor.spark.read.schema(tensor.frame.schema).parquet(f"{path}/cells/version=0")
+    stored = TensorFrame(cells, tensor.shape, tensor.unique, stored=True)
+    _put(slice_weights(stored), path, "weights", 0)
     _put(model.table(), path, "factors", 0)
     _commit(tensor.spark, path, 0, tensor.shape, model.lam)
 
