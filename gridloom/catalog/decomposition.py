@@ -23,7 +23,7 @@ from gridloom.catalog.registry import (
 from gridloom.model import CPModel, make_model
 from gridloom.operators import aggregates, append, factors, sampling
 from gridloom.plans import cp, incremental, matching
-from gridloom.plans.materialize import new_folder, put
+from gridloom.plans.materialize import new_folder, put, stage
 from gridloom.sources import construct
 from gridloom.tensor import TensorFrame
 
@@ -124,7 +124,7 @@ SAMPLE = f"{EVENTS}, {EVENT_WEIGHTS}, {_ranked_sql('weights', 5, 2, 'elen')}"
 
 def _maps(t: TensorFrame, reps: int = 2):
     sizes = incremental.sample_sizes(t.shape, 2)
-    return sampling.sample_modes(aggregates.slice_weights(t), sizes, t.shape, 5, reps), sizes
+    return stage(sampling.sample_modes(aggregates.slice_weights(t), sizes, t.shape, 5, reps), "maps"), sizes
 
 
 @query(

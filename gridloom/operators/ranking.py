@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.materialize import stage
+
 WINDOW_ROWS = 1 << 18
 BUCKET_ROWS = 1 << 16
 # Buckets per e-fold of the sort key, and parts each of those is split into again.
@@ -36,13 +38,16 @@ def take_best(frame: DataFrame, groups: Sequence[str], max_group: int) -> DataFr
 
     ``frame`` has the group columns, ``idx``, ``mag`` (smaller is better, a double,
     null for rows that come last) and ``k``, the same for all rows of a group.
-    Ties go to the lower ``idx``.  The result is exact on both ways.
+    Ties go to the lower ``idx``.  The result is exact on both ways; the second one
+    writes the scored rows out first.
     """
     order = [F.col("mag").asc_nulls_last(), F.col("idx").asc()]
     ranked = Window.partitionBy(*groups).orderBy(*order)
     if max_group <= WINDOW_ROWS:
         return frame.withColumn("rank", F.row_number().over(ranked)).where("rank <= k").drop("rank")
 
+    # Counting and taking are separate passes and must see the very same numbers.
+    frame = stage(frame, "scores")
     last = F.lit(ZERO_WEIGHT).cast("bigint")
     scaled = F.greatest(F.least(F.col("mag") * COARSE, F.lit(1e9)), F.lit(-1e9))
     coarse = F.floor(scaled)
