@@ -33,7 +33,7 @@ from gridloom.operators.factors import (
     upper_pairs,
 )
 from gridloom.plans.joins import fits_broadcast, heavy_keys, keyed_join
-from gridloom.plans.materialize import new_folder, put, put_and_measure, stage
+from gridloom.plans.materialize import Scratch, new_folder, put, put_and_measure, stage
 from gridloom.sources.construct import index_grid, random_rows
 from gridloom.tensor import Shape, TensorFrame, mode_col
 
@@ -221,7 +221,7 @@ class _Sweeper:
     """The updates of one run. Block ``b`` of a mode holds the indexes
     ``b * extent .. (b + 1) * extent - 1``, so blocks never meet in a join."""
 
-    def __init__(self, cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int]):
+    def __init__(self, cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int], folder: str):
         self.cells = cells
         self.extents = extents
         self.rank = rank
@@ -233,11 +233,11 @@ class _Sweeper:
         spark = cells.sparkSession
         # Two places per factor, written in turn: the one in use is never overwritten,
         # and storage does not grow with the number of sweeps.
-        self.folder = new_folder(spark, "factors")
+        self.folder = folder
         self.turns = [0] * len(extents)
         # Heavy keys of the modes too wide to broadcast, found once per run.
         self.heavy = {
-            m: stage(heavy_keys(cells, mode_col(m)), "heavy")
+            m: put(heavy_keys(cells, mode_col(m)), f"{folder}/heavy-{m}")
             for m, n in enumerate(self.total)
             if not fits_broadcast(spark, n, _row_bytes(rank))
         }
@@ -343,13 +343,15 @@ class _Sweeper:
 def fit_blocks(
     cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int] = (0,),
     max_iter: int = 500, tol: float = 1e-4, seed: int = 6, restarts: int = 3,
+    folder: str | None = None,
 ) -> BlockFit:
     """Fit independent tensors of one shape in the same jobs, each to its own end.
 
     ``cells`` holds block ``b`` at ``b * extent`` and up on every mode and should
     be cheap to read again.  A block stops when its error changes by at most
     ``tol`` (the first error is compared with 0); a block whose weights overflow is
-    started anew from other random factors, at most ``restarts`` times.
+    started anew from other random factors, at most ``restarts`` times.  The result
+    is read from tables in ``folder`` (a new one unless given).
     """
     if rank <= 0:
         raise ValueError(f"rank must be positive, got {rank}")
@@ -366,7 +368,8 @@ def fit_blocks(
     }
     if not norms:
         max_iter = 0  # no cells at all
-    run = _Sweeper(cells, extents, rank, blocks)
+    folder = folder or new_folder(cells.sparkSession, "factors")
+    run = _Sweeper(cells, extents, rank, blocks, folder)
     for m in range(0 if max_iter == 0 else 1, n_modes):
         run.start(m, seed)
     errors: dict[int, list[float]] = {b: [] for b in blocks}
@@ -383,7 +386,8 @@ def fit_blocks(
             )
             if not run.single:
                 # Other blocks go on and write over these files.
-                rows = stage(rows.where(F.col("block").isin(list(done))), "fitted")
+                label = "-".join(map(str, done))
+                rows = put(rows.where(F.col("block").isin(list(done))), f"{folder}/{m}-kept-{label}")
             parts[m].append(rows)
         for b in done:
             lam[b] = run.factors[n_modes - 1].lam[b]
@@ -426,7 +430,7 @@ def fit_blocks(
             raise ArithmeticError(f"weights overflowed in blocks {failed}")
         again = fit_blocks(
             cells.where(_block_of("i0", extents[0]).isin(failed)), extents, rank, failed,
-            max_iter, tol, seed + 1, restarts - 1,
+            max_iter, tol, seed + 1, restarts - 1, f"{folder}/again",
         )
         for m in range(n_modes):
             parts[m].append(again.factors[m])
@@ -446,8 +450,9 @@ def cp_als(
     sweep reads them once per mode.  ``trace`` receives the error of each sweep.
     """
     shape = tensor.shape
-    cells = tensor.frame if tensor.stored or max_iter == 0 else stage(tensor.frame, "cells")
-    fit = fit_blocks(cells, shape, rank, (0,), max_iter, tol, seed)
+    with Scratch(tensor.spark, "als") as scratch:
+        cells = tensor.frame if tensor.stored or max_iter == 0 else scratch.stage(tensor.frame, "cells")
+        fit = fit_blocks(cells, shape, rank, (0,), max_iter, tol, seed)
     if trace is not None:
         trace.extend(fit.errors[0])
     factors = [

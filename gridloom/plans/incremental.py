@@ -28,7 +28,7 @@ from gridloom.plans.matching import (
     renorm,
     update_zeros,
 )
-from gridloom.plans.materialize import stage
+from gridloom.plans.materialize import Scratch, stage
 from gridloom.tensor import Shape, TensorFrame, mode_col, require_same, without
 
 
@@ -68,7 +68,7 @@ def _as_blocks(cells: DataFrame, extents: Shape) -> DataFrame:
 
 def _refit(
     state: DecompositionState, new: TensorFrame, mode: int, sizes: Shape, first_rep: int, reps: int,
-    max_iter: int, tol: float, seed: int, fit_seed: int,
+    max_iter: int, tol: float, seed: int, fit_seed: int, scratch: Scratch,
 ) -> tuple[DataFrame, DataFrame]:
     """Decompose the samples and line them up with the model.
 
@@ -78,7 +78,7 @@ def _refit(
     model, shape, rank = state.model, state.tensor.shape, state.model.rank
     batch = new.shape[mode]
     drawn = sample_modes(state.weights, sizes, shape, seed, reps, first_rep)
-    maps = stage(drawn.withColumn("rep", F.col("rep") - F.lit(first_rep)), "maps")
+    maps = scratch.stage(drawn.withColumn("rep", F.col("rep") - F.lit(first_rep)), "maps")
 
     old_cells = sample_subtensor(state.tensor, maps, sizes, reps)
     others = [m for m in range(len(shape)) if m != mode]
@@ -86,8 +86,10 @@ def _refit(
         mode_col(mode), F.col(mode_col(mode)) + F.lit(sizes[mode]).cast("bigint")
     )
     extents = sizes[:mode] + (sizes[mode] + batch,) + sizes[mode + 1 :]
-    cells = stage(_as_blocks(old_cells.unionByName(new_cells), extents), "sample")
-    fit = fit_blocks(cells, extents, rank, range(reps), max_iter, tol, fit_seed)
+    cells = scratch.stage(_as_blocks(old_cells.unionByName(new_cells), extents), "sample")
+    fit = fit_blocks(
+        cells, extents, rank, range(reps), max_iter, tol, fit_seed, folder=f"{scratch.folder}/fit-{first_rep}"
+    )
 
     fitted: DataFrame | None = None
     for m, rows in enumerate(fit.factors):
@@ -95,8 +97,8 @@ def _refit(
             "rep", F.lit(m).alias("mode"), "idx", "vec"
         )
         fitted = part if fitted is None else fitted.unionByName(part)
-    fitted = stage(fitted, "fitted")
-    reference = stage(sample_model(model, maps), "reference")
+    fitted = scratch.stage(fitted, "fitted")
+    reference = scratch.stage(sample_model(model, maps), "reference")
 
     first = others[0]
     similarity = component_similarity(
@@ -105,7 +107,7 @@ def _refit(
         rank,
     )
     matched = rearrange(fitted, match_components(similarity, rank), rank)
-    return stage(renorm(matched, reference, rank), "aligned"), maps
+    return scratch.stage(renorm(matched, reference, rank), "aligned"), maps
 
 
 def _apply(
@@ -119,6 +121,7 @@ def _apply(
 def incremental_step(
     state: DecompositionState, new: TensorFrame, mode: int, factor: int = 2, reps: int = 1,
     max_iter: int = 500, tol: float = 1e-4, seed: int = 0, fit_seed: int = 6, sequential: bool = False,
+    scratch: Scratch | None = None,
 ) -> DecompositionState:
     """One batch of new slices on ``mode``.
 
@@ -127,6 +130,9 @@ def incremental_step(
     entries filled by those before it; otherwise all of them start from the model
     as it was and the first to fill an entry wins.  The component weights of the
     model stay as they are; scale enters through the lengths of existing rows.
+
+    Tables written on the way are removed at the end.  With a ``scratch`` folder they
+    go there, the new model and weights too, and the caller removes it.
     """
     if mode < 0:
         mode += state.tensor.n_modes
@@ -138,23 +144,30 @@ def incremental_step(
     if not new.stored:
         new = TensorFrame(stage(new.frame, "slice"), new.shape, new.unique, stored=True)
 
-    rounds: Sequence[tuple[int, int]] = [(r, 1) for r in range(reps)] if sequential else [(0, reps)]
-    model, fresh = state.model, None
-    for first_rep, count in rounds:
-        aligned, maps = _refit(
-            replace(state, model=model), new, mode, sizes, first_rep, count, max_iter, tol, seed, fit_seed
+    own = Scratch(state.tensor.spark, "step") if scratch is None else scratch
+    keep = stage if scratch is None else scratch.stage
+    try:
+        rounds: Sequence[tuple[int, int]] = [(r, 1) for r in range(reps)] if sequential else [(0, reps)]
+        model, fresh = state.model, None
+        for first_rep, count in rounds:
+            aligned, maps = _refit(
+                replace(state, model=model), new, mode, sizes, first_rep, count,
+                max_iter, tol, seed, fit_seed, own,
+            )
+            tail = aligned.where((F.col("mode") == mode) & (F.col("idx") >= sizes[mode])).select(
+                (F.col("idx") - F.lit(sizes[mode]).cast("bigint")).alias("idx"), "vec"
+            )
+            fresh = tail if fresh is None else fresh.unionByName(tail)
+            model = _apply(model, aligned, maps)
+            if sequential:
+                model = CPModel.from_table(own.stage(model.table(), "model"), model.lam, model.shape)
+        averaged = complete(mean_factors(fresh, rank, reps), batch, rank)
+        model = append_rows(model, mode, averaged, batch)
+        table = keep(model.table(), "model")
+        grown = append_slice(state, new, mode)
+        return DecompositionState(
+            grown.tensor, keep(grown.weights, "weights"), CPModel.from_table(table, model.lam, model.shape)
         )
-        tail = aligned.where((F.col("mode") == mode) & (F.col("idx") >= sizes[mode])).select(
-            (F.col("idx") - F.lit(sizes[mode]).cast("bigint")).alias("idx"), "vec"
-        )
-        fresh = tail if fresh is None else fresh.unionByName(tail)
-        model = _apply(model, aligned, maps)
-        if sequential:
-            model = CPModel.from_table(stage(model.table(), "model"), model.lam, model.shape)
-    averaged = complete(mean_factors(fresh, rank, reps), batch, rank)
-    model = append_rows(model, mode, averaged, batch)
-    table = stage(model.table(), "model")
-    grown = append_slice(state, new, mode)
-    return DecompositionState(
-        grown.tensor, stage(grown.weights, "weights"), CPModel.from_table(table, model.lam, model.shape)
-    )
+    finally:
+        if scratch is None:
+            own.drop()

@@ -47,3 +47,31 @@ def put_and_measure(frame: DataFrame, path: str, sums: list[Column]) -> tuple[Da
 def stage(frame: DataFrame, label: str) -> DataFrame:
     """``put`` into a new folder: for what is read again and again."""
     return put(frame, new_folder(frame.sparkSession, label))
+
+
+class Scratch:
+    """A folder for tables that are done with when a piece of work ends.
+
+    ``with Scratch(spark, label) as scratch`` removes it at the end; nothing that is
+    read later may depend on it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.folder = new_folder(spark, label)
+        self._tables = 0
+
+    def stage(self, frame: DataFrame, label: str) -> DataFrame:
+        self._tables += 1
+        return put(frame, f"{self.folder}/{self._tables}-{label}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        path.getFileSystem(conf).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()

@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gridloom.model import CPModel
 from gridloom.operators.aggregates import slice_weights
 from gridloom.plans.incremental import DecompositionState, incremental_step
+from gridloom.plans.materialize import Scratch
 from gridloom.sources.construct import from_coo
 from gridloom.tensor import TensorFrame, require_same
 
@@ -110,6 +111,7 @@ def apply_batch(spark: SparkSession, path: str, rows: DataFrame, batch_id: int,
         return
     state = load_state(spark, path, version - 1)
     shape = state.tensor.shape
+    scratch = Scratch(spark, "batch")
     sorted_rows = _sort_out(rows, shape, mode).persist()
     try:
         _put(sorted_rows.where("reason is not null"), path, "rejected", version)
@@ -131,14 +133,14 @@ def apply_batch(spark: SparkSession, path: str, rows: DataFrame, batch_id: int,
                 .parquet(f"{path}/cells/version={version}")
                 .withColumn(f"i{mode}", F.col(f"i{mode}") - F.lit(low).cast("bigint"))
             )
-            grown = incremental_step(
-                state, TensorFrame(added, extents, unique=True, stored=True), mode, **step
-            )
+            new = TensorFrame(added, extents, unique=True, stored=True)
+            grown = incremental_step(state, new, mode, scratch=scratch, **step)
         _put(grown.weights, path, "weights", version)
         _put(grown.model.table(), path, "factors", version)
         _commit(spark, path, version, grown.tensor.shape, grown.model.lam)
     finally:
         sorted_rows.unpersist()
+        scratch.drop()
 
 
 def stream_decompose(
