@@ -139,7 +139,10 @@ def gram_matrix(factor: DataFrame, rank: int) -> np.ndarray:
 
 def solver(grams: Sequence[np.ndarray]) -> np.ndarray:
     """Pseudo-inverse of the element-wise product of the other factors' Gram matrices."""
-    return np.linalg.pinv(reduce(lambda a, b: a * b, grams), hermitian=True)
+    system = reduce(lambda a, b: a * b, grams)
+    if not np.all(np.isfinite(system)):
+        return np.full_like(system, np.nan)  # shows up in the weights, which are checked
+    return np.linalg.pinv(system, hermitian=True)
 
 
 def _constants(numbers: np.ndarray) -> str:
@@ -148,7 +151,8 @@ def _constants(numbers: np.ndarray) -> str:
     Generated code refers to a constant array but spells single constants out, so
     this keeps the code of an update the same from sweep to sweep, compiled once.
     """
-    return "array(" + ", ".join(f"{float(x)!r}D" for x in numbers.ravel()) + ")"
+    texts = [f"{float(x)!r}D" if np.isfinite(x) else "double('NaN')" for x in numbers.ravel()]
+    return f"array({', '.join(texts)})"
 
 
 def _by_block(per_block: dict[int, np.ndarray], col: str, extent: int) -> str:

@@ -13,6 +13,9 @@ from gridloom.tensor import Shape, TensorFrame, mode_col
 
 # Cells per block when a dense tensor is written out.
 BLOCK = 64
+# Numbers per task of a generated range, and the most tasks it is split into.
+PART_ROWS = 1 << 23
+MOST_PARTS = 100_000
 
 
 def from_coo(
@@ -85,11 +88,17 @@ def _decode(cell, shape: Shape):
     ]
 
 
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    """0..n-1 in parts of at most ``PART_ROWS`` numbers, as long as that is not too many parts."""
+    parts = max(spark.sparkContext.defaultParallelism, min(-(-n // PART_ROWS), MOST_PARTS))
+    return spark.range(0, n, 1, parts)
+
+
 def index_grid(spark: SparkSession, shape: Shape) -> DataFrame:
     """All coordinates of a shape: one range of cell numbers, split evenly over
     the tasks and decoded by division, so that no product of tables is taken."""
     cells = _check_cells(shape)
-    return spark.range(cells).select(*_decode("id", shape)) if cells else empty_tensor(spark, shape).frame.drop("value")
+    return _numbers(spark, cells).select(*_decode("id", shape)) if cells else empty_tensor(spark, shape).frame.drop("value")
 
 
 def densify(tensor: TensorFrame) -> TensorFrame:
@@ -120,7 +129,7 @@ def densify(tensor: TensorFrame) -> TensorFrame:
             ).alias("stored")
         )
     )
-    blocks = tensor.spark.range(-(-cells // BLOCK)).select(F.col("id").alias("block"))
+    blocks = _numbers(tensor.spark, -(-cells // BLOCK)).select(F.col("id").alias("block"))
     unfolded = (
         blocks.join(packed, "block", "left")
         .select("block", "stored", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("k"))

@@ -4,13 +4,13 @@ import string
 
 import numpy as np
 import pytest
-from conftest import dense, factor
+from conftest import factor
 from pyspark.sql import functions as F
 
 from gridloom.model import make_model
 from gridloom.operators.factors import unpack
 from gridloom.plans import cp
-from gridloom.plans.materialize import stage
+from gridloom.plans.materialize import Scratch, stage
 from gridloom.sources import empty_tensor, random_factors
 from gridloom.sources.construct import random_rows
 from gridloom.tensor import TensorFrame
@@ -193,6 +193,32 @@ def test_blocks_are_fitted_independently(spark, tensor):
     assert len(fit.errors[0]) < len(fit.errors[1])
 
 
+def test_overflow_restarts_and_then_fails(spark, tensor):
+    cells = stage(tensor(np.full((2, 2, 2), 1e300)).frame, "test")
+    with pytest.raises(ArithmeticError):
+        cp.fit_blocks(cells, (2, 2, 2), 2, max_iter=3, restarts=1)
+
+
+def test_plans_do_not_grow_with_the_sweeps(spark, tensor):
+    x = np.random.default_rng(0).random((4, 3, 3))
+
+    def plan_after(sweeps):
+        fit = cp.fit_blocks(stage(tensor(x).frame, "test"), x.shape, 2, max_iter=sweeps, tol=0.0)
+        return fit.factors[2]._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert plan_after(7) == plan_after(2)
+
+
+def test_scratch_tables_are_removed(spark):
+    kept = stage(spark.range(3), "kept")
+    with Scratch(spark, "work") as scratch:
+        assert scratch.stage(spark.range(5), "a").count() == 5
+        folder = scratch.folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    assert not files.exists(path) and kept.count() == 3
+
+
 def test_pseudo_inverse(factor_table):
     x = np.random.default_rng(0).normal(size=(9, 4))
     got = factor(cp.pseudo_inverse(factor_table(x), 4), 9, 4).T
