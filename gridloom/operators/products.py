@@ -16,6 +16,9 @@ BinaryOp = Callable[[Column, Column], Column]
 # A right-hand side with at most this many cells per contracted index is packed
 # into one row per index.
 PACK_WIDTH = 64
+# Broadcasting a side saves the shuffle of the other one. When every cell may meet more
+# cells than this, the pairs outweigh that shuffle by far, and are shared out instead.
+MEETINGS = 256
 
 
 def _side(tensor: TensorFrame, m: int, prefix: str, value: str) -> tuple[DataFrame, list[str]]:
@@ -42,7 +45,8 @@ def mode_multiply(t: TensorFrame, m: int, u: TensorFrame, n: int) -> TensorFrame
       rows are packed into one array per index, so each cell of ``t`` meets one
       row, and the array positions are summed as columns. The joined rows are as
       many as the cells of ``t``, not a multiple of them.
-    * either side has a proven bound that fits a broadcast: broadcast join.
+    * either side has a proven bound that fits a broadcast, and at most ``MEETINGS``
+      cells per contracted index: broadcast join.
     * otherwise a salted shuffle join; sides that are not stored are stored first. A
       pair is formed only for a product that the result needs: for one contracted
       index all pairs are different cells.
@@ -57,9 +61,7 @@ def mode_multiply(t: TensorFrame, m: int, u: TensorFrame, n: int) -> TensorFrame
     if packs:
         small = fits_broadcast(spark, u.known_shape[n], 8 * (width + 1))
     else:
-        small = fits_broadcast(spark, u.max_rows(), 8 * (u.n_modes + 1)) or fits_broadcast(
-            spark, t.max_rows(), 8 * (t.n_modes + 1)
-        )
+        small = _can_broadcast(u, n) or _can_broadcast(t, m)
     if not small:
         # The salted join reads its sides more than once, to find the heavy keys.
         t, u = t.store(), u.store()
@@ -69,7 +71,7 @@ def mode_multiply(t: TensorFrame, m: int, u: TensorFrame, n: int) -> TensorFrame
         cells = _packed(left, a, u, n, width)
     else:
         cells = (
-            _pairs(left, right, t, u)
+            _pairs(left, right, t, m, u, n)
             .groupBy(*a, *b)
             .agg(F.sum(F.col("x") * F.col("y")).alias("value"))
         )
@@ -79,11 +81,19 @@ def mode_multiply(t: TensorFrame, m: int, u: TensorFrame, n: int) -> TensorFrame
     return TensorFrame(cells, shape, unique=True)
 
 
-def _pairs(left: DataFrame, right: DataFrame, t: TensorFrame, u: TensorFrame) -> DataFrame:
-    spark = left.sparkSession
-    if fits_broadcast(spark, u.max_rows(), 8 * (u.n_modes + 1)):
+def _can_broadcast(side: TensorFrame, mode: int) -> bool:
+    """Proven small, and with few cells per contracted index."""
+    if not fits_broadcast(side.spark, side.max_rows(), 8 * (side.n_modes + 1)):
+        return False
+    return prod(without(side.known_shape, mode)) <= MEETINGS
+
+
+def _pairs(
+    left: DataFrame, right: DataFrame, t: TensorFrame, m: int, u: TensorFrame, n: int
+) -> DataFrame:
+    if _can_broadcast(u, n):
         return left.join(F.broadcast(right), "k")
-    if fits_broadcast(spark, t.max_rows(), 8 * (t.n_modes + 1)):
+    if _can_broadcast(t, m):
         return right.join(F.broadcast(left), "k")
     return salted_join(left, right, "k", right_unique=u.unique and u.n_modes == 1)
 

@@ -90,6 +90,9 @@ def salted_join(
         spread_left = _replicate(spread_left, key, heavy_right, "_salt_right")
         copied_right = _spread(copied_right, key, heavy_right, "_salt_right")
         on.append("_salt_right")
+        # Rows of both sides multiply: small as the sides may be, the pairs are shared
+        # out by key and salt, not made where the scan of one side happens to run.
+        copied_right = copied_right.hint("merge")
     return spread_left.join(copied_right, on, how).drop(*on[1:])
 
 

@@ -151,7 +151,7 @@ def test_elementwise(tensor):
         products.hadamard(tensor(M1), tensor(M1[:2]))
 
 
-@pytest.mark.parametrize("widths", [(4, 3), (4, 90)])
+@pytest.mark.parametrize("widths", [(4, 3), (4, 90), (4, 300)])
 def test_mode_multiply(spark, tensor, widths):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(5, 4, 6)) * (rng.random((5, 4, 6)) < 0.5)
