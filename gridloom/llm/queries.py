@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, exact_dedup, line_dedup, mixing
+from gridloom.llm import chat_format, exact_dedup, line_dedup, mixing, packing, token_counts
 from gridloom.llm.common import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,20 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_format.chat_digest(chat_format.format_conversations(turns))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens."""
+    return packing.pack(read(spark, folder, "documents"), with_ids=False).drop("ids")
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents, from flat files of their ids."""
+    counts = token_counts.count_document_tokens(read(spark, folder, "documents"))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    split = F.regexp_extract("file", r"-c(\d+)", 1).cast("bigint")
+    return counts.select(
+        part.alias("part"), split.alias("split"), "doc_no", "start", "n_tokens", "ended"
+    )
