@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +23,27 @@ BROADCAST_BYTES = 16 << 20
 PARTS = 1000
 
 _swept: weakref.WeakSet = weakref.WeakSet()
+_shipped: weakref.WeakSet = weakref.WeakSet()
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Spark send this package to the executors, whose Python may not have it."""
+    context = spark.sparkContext
+    if context in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp()).resolve() / "gridloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it."""
     given = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()

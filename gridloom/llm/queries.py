@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, exact_dedup, line_dedup, mixing, packing, token_counts
+from gridloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, packing, token_counts
 from gridloom.llm.common import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(
         part.alias("part"), split.alias("split"), "doc_no", "start", "n_tokens", "ended"
     )
+
+
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_dedup.near_duplicates(read(spark, folder, "embeddings"))

@@ -63,6 +63,7 @@ def token_counts(
     spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """``(file, doc_no, start, n_tokens, ended)`` of every document in the flat files of a folder."""
+    common.ship(spark)
     files = spark.read.format("binaryFile").load(path)
     width = block_tokens * WIDTH
     whole = F.when(F.col("length") % WIDTH == 0, F.col("length")).otherwise(

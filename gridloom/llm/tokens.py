@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import common
+
 #: Pieces kept per worker, and the longest piece worth keeping.
 KEPT_PIECES, KEPT_BYTES = 200_000, 64
 
@@ -52,6 +54,7 @@ def with_ids(
     docs: DataFrame, text_col: str, vocabulary: str, end: int | None = None, shift: int = 0
 ) -> DataFrame:
     """``docs`` without the text, with binary ``ids``: 16-bit ids plus ``shift``, then ``end``."""
+    common.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("ids"))
     last = b"" if end is None else np.array([end], dtype="<u2").tobytes()
