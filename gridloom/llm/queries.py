@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, packing, token_counts
+from gridloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_jaccard, packing, token_counts
 from gridloom.llm.common import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_dedup.near_duplicates(read(spark, folder, "embeddings"))
+
+
+@query("op9_ngram_jaccard")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingles and class of near duplicates of every document."""
+    return ngram_jaccard.jaccard_classes(read(spark, folder, "documents"))
