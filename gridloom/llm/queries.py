@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_jaccard, packing, token_counts
+from gridloom.llm import chat_format, embedding_dedup, exact_dedup, katz, line_dedup, mixing, ngram_jaccard, packing, token_counts
 from gridloom.llm.common import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Shingles and class of near duplicates of every document."""
     return ngram_jaccard.jaccard_classes(read(spark, folder, "documents"))
+
+
+@query("op2_katz")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under the model and under its base."""
+    return katz.katz_scores(read(spark, folder, "documents"))
