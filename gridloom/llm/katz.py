@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -44,14 +45,15 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 from gridloom.llm.components import attach
-from gridloom.llm.ngram_jaccard import WordHashes
+from gridloom.llm.words import hash_words
 
 LAST_DISCOUNTED = 5
 FREQUENT = 1 << 17
 HOT, HOT_LEAST = 500, 50_000
 SUBS = 8
 SHARDS, SHARD_TOKENS = 24, 6 << 20
-PACKET_TOKENS = 2 << 20
+#: Texts of a packet; Arrow batches may end it sooner.
+PACKET_TEXTS = 5000
 HELD_DOCS = 200_000
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))
 DISCOUNTS = range(1, LAST_DISCOUNTED + 1)
@@ -76,45 +78,19 @@ def _spread(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
 
 
-class Reader:
-    """Word hashes of texts, each with its end."""
-
-    def __init__(self):
-        self.hashes = WordHashes()
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        found = text.lower().split() if text else []
-        out = np.empty(len(found) + 1, dtype=np.uint64)
-        out[:-1] = np.fromiter(map(self.hashes.__getitem__, found), dtype=np.uint64, count=len(found))
-        out[-1] = END
-        return out
-
-
 def _slices(batches: Iterator[pa.RecordBatch], only_training: bool = False):
     """Tokens of many texts at once: (words, contexts, place of the text, keys, training flags)."""
-    read = Reader()
-    words, keys, train, held = [], [], [], 0
-
-    def flush():
-        flat = np.concatenate(words)
-        size = [len(w) for w in words]
-        before = np.concatenate([[END], flat[:-1]])  # the token before a text is the end of another
-        return flat, before, np.repeat(np.arange(len(words)), size), np.array(keys, dtype=np.int64), np.array(train, dtype=bool)
-
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("key", "text", "held_out"))
-        for key, text, held_out in zip(*columns, strict=True):
-            if only_training and held_out:
-                continue
-            words.append(read(text))
-            keys.append(key)
-            train.append(not held_out)
-            held += len(words[-1])
-            if held >= PACKET_TOKENS:
-                yield flush()
-                words, keys, train, held = [], [], [], 0
-    if words:
-        yield flush()
+        if only_training:
+            batch = batch.filter(pc.invert(batch.column("held_out")))
+        for begin in range(0, len(batch), PACKET_TEXTS):
+            part = batch.slice(begin, PACKET_TEXTS)
+            found, counts, _ = hash_words(part.column("text"))
+            # Every text's words, then its end.
+            flat = np.insert(found, np.cumsum(counts), END)
+            before = np.concatenate([[END], flat[:-1]])  # what stands before a text is another's end
+            doc = np.repeat(np.arange(len(part)), counts + 1)
+            yield flat, before, doc, part.column("key").to_numpy(), ~part.column("held_out").to_numpy(zero_copy_only=False)
 
 
 def _word_packets(shards: int):
