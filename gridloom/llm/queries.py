@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, embedding_dedup, exact_dedup, katz, line_dedup, mixing, ngram_jaccard, packing, token_counts
+from gridloom.llm import chat_format, embedding_dedup, exact_dedup, katz, line_dedup, mixing, ngram_jaccard, packing, token_counts, toxicity
 from gridloom.llm.common import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,10 +164,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_ngram_jaccard")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Shingles and class of near duplicates of every document."""
-    return ngram_jaccard.jaccard_classes(read(spark, folder, "documents"))
+    return ngram_jaccard.jaccard_classes(read(spark, folder, "documents")).drop("text_mark")
 
 
 @query("op2_katz")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document under the model and under its base."""
     return katz.katz_scores(read(spark, folder, "documents"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text, learned from four folds of the labels in five."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    network = toxicity.train(docs, read(spark, folder, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5, F.lit(0)) == 0
+    return toxicity.score(docs, network).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
