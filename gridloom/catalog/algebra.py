@@ -195,14 +195,16 @@ def _(spark, d):
 
 @query(
     "C2_mode_multiply_vec",
-    f"""WITH {SALES}, w AS (SELECT i0, sum(value) AS value FROM bsize WHERE i1 > 45 GROUP BY 1)
+    f"""WITH {SALES}, w AS (SELECT i0, sum(value) AS value FROM bsize GROUP BY 1 HAVING sum(value) % 2 = 0)
 SELECT s.i0 AS i0, s.i2 AS i1, sum(s.value * coalesce(w.value, 0)) AS value
 FROM s LEFT JOIN w ON s.i1 = w.i0 GROUP BY 1, 2""",
 )
 def _(spark, d):
     t = tb.sales_tensor(spark, d)
-    large = tb.brand_sizes(spark, d).frame.where("i1 > 45")
-    return products.mode_multiply_vec(t, 1, construct.from_vector(large, "i0", "value", t.shape[1])).frame
+    # Brands with an odd number of parts have no cell in the vector.
+    parts = construct.from_vector(tb.brand_sizes(spark, d).frame, "i0", "value").frame
+    even = parts.where("value % 2 = 0")
+    return products.mode_multiply_vec(t, 1, construct.from_vector(even, "i0", "value", t.shape[1])).frame
 
 
 @query(
@@ -234,8 +236,12 @@ NEXT_DAY = "nxt AS (SELECT i0, i1, i2 + 1 AS i2, value FROM e)"
 
 
 def _two_days(spark, d):
-    t = tb.events_tensor(spark, d, shaped=False)
-    return t, TensorFrame(modes.shift_mode(t, 2, 1).frame, unique=True)
+    t = tb.events_tensor(spark, d)
+    grown = t.shape[:2] + (t.shape[2] + 1,)
+    return (
+        TensorFrame(t.frame, grown, unique=True),
+        TensorFrame(modes.shift_mode(t, 2, 1).frame, grown, unique=True),
+    )
 
 
 @query(

@@ -324,34 +324,49 @@ def _(spark, d):
     return full.frame.withColumn("value", tidy("value", 9))
 
 
+# Fixed value: kinds of events in the table.
+KINDS = 5
+
+
+def _kind_sums() -> str:
+    return ", ".join(
+        f"round(coalesce(sum(value) FILTER (i1 = {k}), 0), 6) AS f{k}" for k in range(KINDS)
+    )
+
+
+def _kind_zeros() -> str:
+    return ", ".join(f"coalesce(f{k}, 0) AS f{k}" for k in range(KINDS))
+
+
 @query(
     "G6_make_model",
     f"""WITH {EVENTS},
-u AS (SELECT i0 AS idx, round(coalesce(sum(value) FILTER (i1 = 0), 0), 6) AS f0, round(coalesce(sum(value) FILTER (i1 = 1), 0), 6) AS f1 FROM e GROUP BY 1),
-w AS (SELECT i2 AS idx, round(coalesce(sum(value) FILTER (i1 = 0), 0), 6) AS f0, round(coalesce(sum(value) FILTER (i1 = 1), 0), 6) AS f1 FROM e GROUP BY 1)
-SELECT 0 AS mode, t.k AS idx, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1 FROM elen, range(n0) t(k) LEFT JOIN u ON u.idx = t.k
+u AS (SELECT i0 AS idx, {_kind_sums()} FROM e GROUP BY 1),
+w AS (SELECT i2 AS idx, {_kind_sums()} FROM e GROUP BY 1)
+SELECT 0 AS mode, t.k AS idx, {_kind_zeros()} FROM elen, range(n0) t(k) LEFT JOIN u ON u.idx = t.k
 UNION ALL
-SELECT 1 AS mode, t.k AS idx, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1 FROM elen, range(n2) t(k) LEFT JOIN w ON w.idx = t.k""",
+SELECT 1 AS mode, t.k AS idx, {_kind_zeros()} FROM elen, range(n2) t(k) LEFT JOIN w ON w.idx = t.k""",
 )
 def _(spark, d):
     t = tb.events_tensor(spark, d)
     shape = (t.shape[0], t.shape[2])
-    tables = [factors.rows_from_columns(t.frame, 2, i, "i1") for i in ("i0", "i2")]
-    full = [factors.complete(f, n, 2) for f, n in zip(tables, shape, strict=True)]
-    return flat_rows(make_model(full, shape, 2).table(), 2)
+    tables = [factors.rows_from_columns(t.frame, KINDS, i, "i1") for i in ("i0", "i2")]
+    full = [factors.complete(f, n, KINDS) for f, n in zip(tables, shape, strict=True)]
+    return flat_rows(make_model(full, shape, KINDS).table(), KINDS)
 
 
 @query(
     "G7_pseudo_inverse",
-    f"""WITH {EVENTS}, x AS (SELECT i0 AS idx, coalesce(sum(value) FILTER (i1 = 0), 0) AS x0,
-  coalesce(sum(value) FILTER (i1 = 1), 0) AS x1 FROM e GROUP BY 1),
+    f"""WITH {EVENTS}, x AS (SELECT i0 AS idx, coalesce(sum(value) FILTER (i1 % 2 = 0), 0) AS x0,
+  coalesce(sum(value) FILTER (i1 % 2 = 1), 0) AS x1 FROM e GROUP BY 1),
 g AS (SELECT sum(x0 * x0) AS g00, sum(x0 * x1) AS g01, sum(x1 * x1) AS g11 FROM x)
 SELECT idx, {tidy_sql("(x0 * g11 - x1 * g01) / (g00 * g11 - g01 * g01)", 10)} AS f0,
        {tidy_sql("(x1 * g00 - x0 * g01) / (g00 * g11 - g01 * g01)", 10)} AS f1 FROM x, g""",
 )
 def _(spark, d):
     t = tb.events_tensor(spark, d, shaped=False)
-    return flat_rows(cp.pseudo_inverse(factors.rows_from_columns(t.frame, 2, "i0", "i1"), 2), 2, 10)
+    halves = t.frame.withColumn("half", F.col("i1") % 2)
+    return flat_rows(cp.pseudo_inverse(factors.rows_from_columns(halves, 2, "i0", "half"), 2), 2, 10)
 
 
 @query(

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.sources.construct import from_arrays, from_coo
 from gridloom.tensor import TensorFrame
 
-# Largest dictionary of labels that is numbered in one go.
-LABELS = 65_536
-
 # Fixed value: day 0 of the event tensor.
 FIRST_DAY = "2024-01-01"
 
@@ -20,24 +17,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def label_numbers(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Labels in alphabetical order with their number, ``(col, name)``.  At most
-    ``LABELS`` of them, which is what makes the dictionary fit a broadcast; more
-    fail the job."""
-    found = df.select(col).distinct().limit(LABELS + 1)
-    all_labels = found.agg(F.array_sort(F.collect_set(col)).alias("labels"))
-    checked = F.when(F.size("labels") <= LABELS, F.col("labels")).otherwise(
-        F.raise_error(F.lit(f"more than {LABELS} labels in {col}")).cast("array<string>")
-    )
-    return all_labels.select(F.posexplode(checked).alias("n", col)).select(
-        col, F.col("n").cast("bigint").alias(name)
-    )
+    """Labels in alphabetical order with their number, ``(col, name)``, however many.
+
+    The numbering sees each distinct label once; joins with it are left to Spark, which
+    broadcasts it if its size allows.
+    """
+    found = df.select(col).where(F.col(col).isNotNull()).distinct()
+    place = F.row_number().over(Window.orderBy(col)) - 1
+    return found.select(col, place.cast("bigint").alias(name))
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as ``(user, kind, day, cents)``."""
     events = read(spark, sf_dir, "events")
     kinds = label_numbers(events, "event_type", "kind")
-    return events.join(F.broadcast(kinds), "event_type").select(
+    return events.join(kinds, "event_type").select(
         F.col("user_id").alias("user"),
         "kind",
         F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date")).cast("bigint").alias("day"),
@@ -92,7 +86,7 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     brands = label_numbers(parts, "p_brand", "brand")
     return (
-        lines.join(parts.join(F.broadcast(brands), "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        lines.join(parts.join(brands, "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(
@@ -122,7 +116,7 @@ def brand_sizes(spark: SparkSession, sf_dir: str, shape=None) -> TensorFrame:
     """brand x part size, holding the number of parts."""
     parts = read(spark, sf_dir, "part").select("p_brand", "p_size")
     brands = label_numbers(parts, "p_brand", "brand")
-    rows = parts.join(F.broadcast(brands), "p_brand").withColumn("one", F.lit(1))
+    rows = parts.join(brands, "p_brand").withColumn("one", F.lit(1))
     return from_coo(rows, ["brand", "p_size"], "one", shape)
 
 

@@ -36,7 +36,11 @@ def pack(flat: DataFrame, rank: int, prefix: str = "f") -> DataFrame:
 
 
 def rows_from_columns(matrix: DataFrame, rank: int, idx: str = "idx", r: str = "r", value: str = "value") -> DataFrame:
-    """Rows ``(idx, vec)`` from cells ``(idx, r, value)``; absent columns become 0."""
+    """Rows ``(idx, vec)`` from cells ``(idx, r, value)``; absent columns become 0, and a
+    column outside 0..rank-1 fails the job."""
+    outside = F.raise_error(F.concat(F.lit(f"column outside 0..{rank - 1}: "), F.col(r).cast("string")))
+    inside = F.when((F.col(r) >= 0) & (F.col(r) < rank), F.col(value)).otherwise(outside.cast("double"))
+    matrix = matrix.select(F.col(idx).alias(idx), F.col(r).alias(r), inside.alias(value))
     cols = [
         F.coalesce(F.sum(F.when(F.col(r) == k, F.col(value))), F.lit(0.0)).alias(f"f{k}")
         for k in range(rank)

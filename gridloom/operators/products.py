@@ -51,8 +51,7 @@ def mode_multiply(t: TensorFrame, m: int, u: TensorFrame, n: int) -> TensorFrame
       pair is formed only for a product that the result needs: for one contracted
       index all pairs are different cells.
     """
-    if t.known_shape and u.known_shape:
-        require_same((t.known_shape[m],), (u.known_shape[n],), "contracted extents differ")
+    require_same((t.shape[m],), (u.shape[n],), "contracted extents differ")
     shape = derive_shape(lambda a, b: without(a, m) + without(b, n), t, u)
     names = [mode_col(k) for k in range(t.n_modes + u.n_modes - 2)]
     spark = t.spark
@@ -131,8 +130,7 @@ def mode_multiply_vec(t: TensorFrame, m: int, v: TensorFrame) -> TensorFrame:
     count as 0 and still leave their group in the result."""
     if v.n_modes != 1:
         raise ValueError("expected a vector")
-    if t.known_shape and v.known_shape:
-        require_same((t.known_shape[m],), v.known_shape, "extents differ")
+    require_same((t.shape[m],), v.shape, "extents differ")
     length = v.known_shape[0] if v.known_shape else None
     if not fits_broadcast(t.spark, length, 16):
         t = t.store()
@@ -178,7 +176,7 @@ def multi_dot(*vectors: TensorFrame) -> DataFrame:
 
 
 def _matched(t: TensorFrame, u: TensorFrame, how: str) -> DataFrame:
-    require_same(t.known_shape, u.known_shape, "shapes differ")
+    require_same(t.shape, u.shape, "shapes differ")
     left = t.frame.withColumnRenamed("value", "x")
     right = u.frame.withColumnRenamed("value", "y")
     return left.join(right, t.index_cols, how)
@@ -188,7 +186,7 @@ def elementwise(t: TensorFrame, u: TensorFrame, op: BinaryOp) -> TensorFrame:
     """``op`` on the cells stored in both tensors."""
     met = _matched(t, u, "inner")
     cells = met.select(*t.index_cols, op(F.col("x"), F.col("y")).cast("double").alias("value"))
-    return TensorFrame(cells, t._shape, t.unique and u.unique)
+    return TensorFrame(cells, t.shape, t.unique and u.unique)
 
 
 def elementwise_full(t: TensorFrame, u: TensorFrame, op: BinaryOp) -> TensorFrame:
@@ -196,7 +194,7 @@ def elementwise_full(t: TensorFrame, u: TensorFrame, op: BinaryOp) -> TensorFram
     met = _matched(t, u, "full")
     x, y = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("x", "y"))
     cells = met.select(*t.index_cols, op(x, y).cast("double").alias("value"))
-    return TensorFrame(cells, t._shape, t.unique and u.unique)
+    return TensorFrame(cells, t.shape, t.unique and u.unique)
 
 
 def subtract(t: TensorFrame, u: TensorFrame) -> TensorFrame:

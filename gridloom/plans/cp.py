@@ -346,7 +346,7 @@ class _Sweeper:
 
 def fit_blocks(
     cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int] = (0,),
-    max_iter: int = 500, tol: float = 1e-4, seed: int = 6, restarts: int = 3,
+    max_iter: int = 500, tol: float = 1e-4, seed: int = 6, restarts: int | None = None,
     folder: str | None = None,
 ) -> BlockFit:
     """Fit independent tensors of one shape in the same jobs, each to its own end.
@@ -354,7 +354,8 @@ def fit_blocks(
     ``cells`` holds block ``b`` at ``b * extent`` and up on every mode and should
     be cheap to read again.  A block stops when its error changes by at most
     ``tol`` (the first error is compared with 0); a block whose weights overflow is
-    started anew from other random factors, at most ``restarts`` times.  The result
+    started anew from other random factors, at most ``restarts`` times (without
+    limit if None).  The result
     is read from tables in ``folder`` (a new one unless given).
     """
     if rank <= 0:
@@ -390,8 +391,7 @@ def fit_blocks(
             )
             if not run.single:
                 # Other blocks go on and write over these files.
-                label = "-".join(map(str, done))
-                rows = put(rows.where(F.col("block").isin(list(done))), f"{folder}/{m}-kept-{label}")
+                rows = put(rows.where(F.col("block").isin(list(done))), f"{folder}/{m}-kept-{len(lam)}")
             parts[m].append(rows)
         for b in done:
             lam[b] = run.factors[n_modes - 1].lam[b]
@@ -430,11 +430,11 @@ def fit_blocks(
                 f.lam = {b: np.ones(rank) for b in run.active}
         keep(run.active)
     if failed:
-        if not restarts:
+        if restarts == 0:
             raise ArithmeticError(f"weights overflowed in blocks {failed}")
         again = fit_blocks(
             cells.where(_block_of("i0", extents[0]).isin(failed)), extents, rank, failed,
-            max_iter, tol, seed + 1, restarts - 1, f"{folder}/again",
+            max_iter, tol, seed + 1, None if restarts is None else restarts - 1, f"{folder}/again",
         )
         for m in range(n_modes):
             parts[m].append(again.factors[m])
@@ -445,18 +445,19 @@ def fit_blocks(
 
 def cp_als(
     tensor: TensorFrame, rank: int = 10, max_iter: int = 500, tol: float = 1e-4, seed: int = 6,
-    trace: list[float] | None = None,
+    trace: list[float] | None = None, restarts: int | None = None,
 ) -> CPModel:
     """CP model of a tensor of two or more modes by alternating least squares.
 
     Stops when the relative error on the stored cells changes by at most ``tol``.
     Cells that are not read from storage are written out once first, since every
     sweep reads them once per mode.  ``trace`` receives the error of each sweep.
+    Weights that overflow start the fit anew, ``restarts`` times at most if given.
     """
     shape = tensor.shape
     with Scratch(tensor.spark, "als") as scratch:
         cells = tensor.frame if tensor.stored or max_iter == 0 else scratch.stage(tensor.frame, "cells")
-        fit = fit_blocks(cells, shape, rank, (0,), max_iter, tol, seed)
+        fit = fit_blocks(cells, shape, rank, (0,), max_iter, tol, seed, restarts)
     if trace is not None:
         trace.extend(fit.errors[0])
     factors = [

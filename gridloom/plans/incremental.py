@@ -56,6 +56,11 @@ def append_slice(state: DecompositionState, new: TensorFrame, mode: int) -> Deco
     return replace(state, tensor=mode_append(state.tensor, new, mode), weights=weights)
 
 
+def step_seed(seed: int, extent: int) -> int:
+    """Seed of a step on a tensor that has grown to ``extent`` slices."""
+    return seed * 1_000_003 + extent
+
+
 def sample_sizes(shape: Shape, factor: int) -> Shape:
     return tuple(max(1, n // factor) for n in shape)
 
@@ -131,6 +136,9 @@ def incremental_step(
     as it was and the first to fill an entry wins.  The component weights of the
     model stay as they are; scale enters through the lengths of existing rows.
 
+    Random numbers depend on ``seed`` and on how far the tensor has grown, so every step
+    draws a new sample and a step done again draws the same.
+
     Tables written on the way are removed at the end.  With a ``scratch`` folder they
     go there, the new model and weights too, and the caller removes it.
     """
@@ -141,6 +149,7 @@ def incremental_step(
         raise ValueError("reps and factor must be positive")
     rank, batch = state.model.rank, new.shape[mode]
     sizes = sample_sizes(state.tensor.shape, factor)
+    seed = step_seed(seed, state.tensor.shape[mode])
     if not new.stored:
         new = TensorFrame(stage(new.frame, "slice"), new.shape, new.unique, stored=True)
 

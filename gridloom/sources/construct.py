@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import prod
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import hash_normal, hash_uniform, required
@@ -18,6 +18,14 @@ PART_ROWS = 1 << 23
 MOST_PARTS = 100_000
 
 
+def _inside(index: Column, name: str, shape: Shape | None, m: int) -> Column:
+    """The index, which fails the job where it lies outside a given shape."""
+    if shape is None:
+        return index
+    outside = F.raise_error(F.lit(f"index of {name} outside 0..{shape[m] - 1}"))
+    return F.when((index >= 0) & (index < F.lit(shape[m])), index).otherwise(outside.cast("bigint"))
+
+
 def from_coo(
     df: DataFrame,
     idx_cols: Sequence[str],
@@ -32,11 +40,7 @@ def from_coo(
     cols = []
     for m, name in enumerate(idx_cols):
         index = required(F.col(name).cast("bigint"), f"null index in {name}", "bigint")
-        if shape is not None:
-            inside = (index >= 0) & (index < F.lit(shape[m]))
-            outside = F.raise_error(F.lit(f"index of {name} outside 0..{shape[m] - 1}"))
-            index = F.when(inside, index).otherwise(outside.cast("bigint"))
-        cols.append(index.alias(mode_col(m)))
+        cols.append(_inside(index, name, shape, m).alias(mode_col(m)))
     value = required(F.col(value_col).cast("double"), f"null value in {value_col}", "double")
     names = [mode_col(m) for m in range(len(idx_cols))]
     rows = df.select(*cols, value.alias("value"))
@@ -52,14 +56,16 @@ def empty_tensor(spark: SparkSession, shape: Shape) -> TensorFrame:
 
 
 def from_arrays(df: DataFrame, id_col: str, array_col: str, shape: Shape | None = None) -> TensorFrame:
-    """Matrix whose rows are arrays: every element becomes a stored cell, zeros too."""
+    """Matrix whose rows are arrays: every element becomes a stored cell, zeros too.
+
+    Ids and places outside a given shape fail the job, as in ``from_coo``."""
     cells = df.select(
         F.col(id_col).cast("bigint").alias("i0"),
         F.posexplode(F.col(array_col)).alias("i1", "value"),
     )
     cells = cells.select(
-        required(F.col("i0"), f"null index in {id_col}", "bigint").alias("i0"),
-        F.col("i1").cast("bigint").alias("i1"),
+        _inside(required(F.col("i0"), f"null index in {id_col}", "bigint"), id_col, shape, 0).alias("i0"),
+        _inside(F.col("i1").cast("bigint"), array_col, shape, 1).alias("i1"),
         required(F.col("value").cast("double"), f"null value in {array_col}", "double").alias("value"),
     )
     return TensorFrame(cells, shape)

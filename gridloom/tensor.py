@@ -146,10 +146,10 @@ def derive_shape(make: Callable[..., Shape], *tensors: TensorFrame):
     return lambda: tuple(make(*[t.shape for t in tensors]))
 
 
-def require_same(known_a: Shape | None, known_b: Shape | None, what: str) -> None:
-    """Extent check, made whenever both shapes are at hand."""
-    if known_a is not None and known_b is not None and known_a != known_b:
-        raise ValueError(f"{what}: {known_a} against {known_b}")
+def require_same(a: Shape, b: Shape, what: str) -> None:
+    """Extent check.  Callers give measured shapes where none were stated."""
+    if tuple(a) != tuple(b):
+        raise ValueError(f"{what}: {a} against {b}")
 
 
 def without(shape: Shape, *modes: int) -> Shape:
