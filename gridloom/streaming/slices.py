@@ -6,11 +6,17 @@ State is kept in a folder as one version per micro-batch::
     weights/version=K    slice weights after batch K
     factors/version=K    factor rows after batch K
     rejected/version=K   rows batch K could not use, with the reason
-    commits/version=K    one row: shape and component weights; written last
+    commits/version=K    one row: shape, component weights, the stream's query and batch
+                         that made it, and if cells may repeat; written last
 
-A version without a commit row does not exist.  A batch that is replayed finds
-its commit and does nothing, or writes its parts over.  Version 0 is the state the
-stream starts from; batch ``b`` makes version ``b + 1``.
+A version without a commit row does not exist.  A batch that is replayed finds the
+commit of its query and batch and does nothing, or writes its parts over.  Version 0 is
+the state the stream starts from; every other batch makes the version after the last, so
+a stream that is started anew with another checkpoint goes on from there.
+
+A slice may come in any number of batches.  Rows of slices that are already placed are
+added to the cells (cells given again are summed) and the slice weights are taken anew;
+the model meets them when a later step samples their slices.
 """
 
 from __future__ import annotations
@@ -23,10 +29,9 @@ from gridloom.model import CPModel
 from gridloom.operators.aggregates import slice_weights
 from gridloom.plans.incremental import DecompositionState, incremental_step
 from gridloom.plans.materialize import Scratch
-from gridloom.sources.construct import from_coo
 from gridloom.tensor import TensorFrame, require_same
 
-COMMIT = "version bigint, shape array<bigint>, lam array<double>"
+COMMIT = "version bigint, shape array<bigint>, lam array<double>, query string, batch bigint, repeats boolean"
 WEIGHTS = "mode int, idx bigint, w double, version bigint"
 FACTORS = "mode int, idx bigint, vec array<double>, version bigint"
 
@@ -39,8 +44,13 @@ def _put(frame: DataFrame, path: str, part: str, version: int) -> None:
     frame.write.mode("overwrite").parquet(f"{path}/{part}/version={version}")
 
 
-def _commit(spark: SparkSession, path: str, version: int, shape, lam) -> None:
-    row = spark.createDataFrame([(list(shape), list(lam))], "shape array<bigint>, lam array<double>")
+def _commit(
+    spark: SparkSession, path: str, version: int, shape, lam, query: str, batch: int, repeats: bool
+) -> None:
+    row = spark.createDataFrame(
+        [(list(shape), list(lam), query, batch, repeats)],
+        "shape array<bigint>, lam array<double>, query string, batch bigint, repeats boolean",
+    )
     _put(row.coalesce(1), path, "commits", version)
 
 
@@ -52,7 +62,7 @@ def init_state(path: str, tensor: TensorFrame, model: CPModel) -> None:
     stored = TensorFrame(cells, tensor.shape, tensor.unique, stored=True)
     _put(slice_weights(stored), path, "weights", 0)
     _put(model.table(), path, "factors", 0)
-    _commit(tensor.spark, path, 0, tensor.shape, model.lam)
+    _commit(tensor.spark, path, 0, tensor.shape, model.lam, "", -1, not tensor.unique)
 
 
 def _commit_row(spark: SparkSession, path: str, version: int | None):
@@ -77,8 +87,11 @@ def load_state(spark: SparkSession, path: str, version: int | None = None) -> De
     )
     weights = spark.read.schema(WEIGHTS).parquet(f"{path}/weights").where(at).drop("version")
     table = spark.read.schema(FACTORS).parquet(f"{path}/factors").where(at).drop("version")
+    if commit.repeats:
+        index = [f"i{m}" for m in range(len(shape))]
+        cells = cells.groupBy(*index).agg(F.sum("value").alias("value"))
     return DecompositionState(
-        TensorFrame(cells, shape, unique=True, stored=True),
+        TensorFrame(cells, shape, unique=True, stored=not commit.repeats),
         weights,
         CPModel.from_table(table, commit.lam, shape),
     )
@@ -96,53 +109,76 @@ def _sort_out(rows: DataFrame, shape, mode: int) -> DataFrame:
         "reason",
         F.expr(
             f"case when {missing} then 'missing' "
-            f"when i{mode} < {shape[mode]} then 'late' "
-            f"when {outside} then 'outside' end"
+            f"when {outside} or i{mode} < 0 then 'outside' end"
         ),
     )
 
 
-def apply_batch(spark: SparkSession, path: str, rows: DataFrame, batch_id: int, mode: int, **step) -> None:
+def apply_batch(
+    spark: SparkSession, path: str, rows: DataFrame, batch_id: int, mode: int, query: str = "", **step
+) -> None:
     """One micro-batch: rows ``(i0.., value)`` with the index on ``mode`` counted from
-    the start of the stream.  Rows before the current extent came too late, rows
-    outside the other extents have no place; both are kept aside."""
-    version = batch_id + 1
-    if _commit_row(spark, path, version) is not None:
+    the start of the stream.  Rows from the current extent on are new slices; rows before
+    it are added to the slices that are there; rows with nulls or outside the other extents
+    have no place and are kept aside."""
+    commits = spark.read.schema(COMMIT).parquet(f"{path}/commits")
+    if not commits.where((F.col("query") == query) & (F.col("batch") == batch_id)).isEmpty():
         return
-    state = load_state(spark, path, version - 1)
+    last = _commit_row(spark, path, None)
+    version = last.version + 1
+    state = load_state(spark, path, last.version)
     shape = state.tensor.shape
+    low, index = shape[mode], [f"i{m}" for m in range(len(shape))]
+    schema = _cells_schema(len(shape)).removesuffix(", version bigint")
     scratch = Scratch(spark, "batch")
     sorted_rows = _sort_out(rows, shape, mode).persist()
     try:
         _put(sorted_rows.where("reason is not null"), path, "rejected", version)
         good = sorted_rows.where("reason is null").drop("reason")
-        low = shape[mode]
-        top = good.agg(F.max(f"i{mode}").alias("top")).first().top
-        if top is None:
-            grown, added = state, None
+        cells = good.groupBy(*index).agg(F.sum(F.col("value").cast("double")).alias("value"))
+        _put(cells, path, "cells", version)
+        added = spark.read.schema(schema).parquet(f"{path}/cells/version={version}")
+        found = added.agg(F.max(f"i{mode}").alias("top"), F.min(f"i{mode}").alias("bottom")).first()
+        known = added.where(F.col(f"i{mode}") < low)
+        repeats = last.repeats
+        if found.top is not None and found.bottom < low:
+            repeats = True
+            both = state.tensor.frame.select(*index, "value").unionByName(known)
+            both = scratch.stage(both.groupBy(*index).agg(F.sum("value").alias("value")), "cells")
+            tensor = TensorFrame(both, shape, unique=True, stored=True)
+            state = DecompositionState(tensor, scratch.stage(slice_weights(tensor), "weights"), state.model)
+        if found.top is None or found.top < low:
+            grown = state
         else:
-            moved = good.withColumn(f"i{mode}", F.col(f"i{mode}") - F.lit(low).cast("bigint"))
-            extents = shape[:mode] + (top + 1 - low,) + shape[mode + 1 :]
-            new = from_coo(moved, [f"i{m}" for m in range(len(shape))], "value", extents)
-            _put(
-                new.frame.withColumn(f"i{mode}", F.col(f"i{mode}") + F.lit(low).cast("bigint")),
-                path, "cells", version,
+            extents = shape[:mode] + (found.top + 1 - low,) + shape[mode + 1 :]
+            moved = added.where(F.col(f"i{mode}") >= low).withColumn(
+                f"i{mode}", F.col(f"i{mode}") - F.lit(low).cast("bigint")
             )
-            added = (
-                spark.read.schema(_cells_schema(len(shape)).removesuffix(", version bigint"))
-                .parquet(f"{path}/cells/version={version}")
-                .withColumn(f"i{mode}", F.col(f"i{mode}") - F.lit(low).cast("bigint"))
-            )
-            new = TensorFrame(added, extents, unique=True, stored=True)
+            new = TensorFrame(moved, extents, unique=True, stored=True)
             grown = incremental_step(state, new, mode, scratch=scratch, **step)
         _put(grown.weights, path, "weights", version)
         _put(grown.model.table(), path, "factors", version)
-        _commit(spark, path, version, grown.tensor.shape, grown.model.lam)
+        _commit(spark, path, version, grown.tensor.shape, grown.model.lam, query, batch_id, repeats)
     finally:
         sorted_rows.unpersist()
         scratch.drop()
 
 
+def retire_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove weights and factors of all versions but the last ``keep``.  Cells stay, as every
+    later state is made of them, and so do commits, which tell replayed batches."""
+    last = _commit_row(spark, path, None).version
+    jvm = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for part in ("weights", "factors"):
+        folder = jvm.Path(f"{path}/{part}")
+        store = folder.getFileSystem(conf)
+        for status in store.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name.removeprefix("version=")) <= last - keep:
+                store.delete(status.getPath(), True)
+
+
 def stream_decompose(
     slices: DataFrame, state_path: str, checkpoint: str, mode: int, **step
 ) -> StreamingQuery:
@@ -153,7 +189,9 @@ def stream_decompose(
     """
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        apply_batch(rows.sparkSession, state_path, rows, batch_id, mode, **step)
+        spark = rows.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        apply_batch(spark, state_path, rows, batch_id, mode, query, **step)
 
     return (
         slices.writeStream.foreachBatch(on_batch)

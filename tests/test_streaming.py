@@ -7,7 +7,7 @@ from conftest import dense, factor
 from gridloom.model import make_model
 from gridloom.plans.incremental import incremental_step, start_state
 from gridloom.sources import random_factors, slice_window
-from gridloom.streaming.slices import apply_batch, init_state, load_state, stream_decompose
+from gridloom.streaming.slices import apply_batch, init_state, load_state, retire_versions, stream_decompose
 
 STEP = {"factor": 2, "reps": 1, "max_iter": 2, "tol": 1e-6}
 CELLS = "i0 bigint, i1 bigint, i2 bigint, value double"
@@ -67,16 +67,35 @@ def test_replay_changes_nothing_and_a_torn_batch_is_done_again(spark, case, tmp_
 
 
 def test_rows_without_a_place_are_kept_aside(spark, case, tmp_path):
-    _, _, old, model = case
+    x, _, old, model = case
     path = str(tmp_path / "state")
     init_state(path, old, model)
     rows = [(0, 0, 3, 1.0), (9, 0, 5, 1.0), (0, None, 5, 1.0), (1, 1, 5, 2.0), (1, 1, 5, 0.5)]
     apply_batch(spark, path, spark.createDataFrame(rows, CELLS), 0, 2, **STEP)
     aside = spark.read.parquet(f"{path}/rejected").collect()
-    assert sorted(r.reason for r in aside) == ["late", "missing", "outside"]
+    assert sorted(r.reason for r in aside) == ["missing", "outside"]
     state = load_state(spark, path)
     assert state.tensor.shape == (6, 5, 6)  # slice 4 is empty, slice 5 has one cell
     assert dense(state.tensor)[1, 1, 5] == 2.5
-    late = spark.createDataFrame([(0, 0, 0, 1.0)], CELLS)
-    apply_batch(spark, path, late, 1, 2, **STEP)  # nothing to place: the state stands
-    assert load_state(spark, path).tensor.shape == (6, 5, 6)
+    assert np.isclose(dense(state.tensor)[0, 0, 3], x[0, 0, 3] + 1.0)
+
+
+def test_slices_in_pieces_and_in_the_wrong_order_lose_nothing(spark, case, tmp_path):
+    x, t, old, model = case
+    path = str(tmp_path / "state")
+    init_state(path, old, model)
+    parts = [t.frame.where(w) for w in ("i2 = 5 and i0 < 3", "i2 = 4", "i2 = 5 and i0 >= 3")]
+    for batch, rows in enumerate(parts):
+        apply_batch(spark, path, rows, batch, 2, **STEP)
+    # A stream that is started anew counts its batches from 0 again.
+    apply_batch(spark, path, t.frame.where("i2 >= 6"), 0, 2, query="anew", **STEP)
+    state = load_state(spark, path)
+    assert np.allclose(dense(state.tensor), x)
+    weights = {(r.mode, r.idx): r.w for r in state.weights.collect()}
+    for m in range(3):
+        sums = (x**2).sum(axis=tuple(k for k in range(3) if k != m))
+        assert np.allclose([weights[m, i] for i in range(x.shape[m])], sums)
+    assert spark.read.parquet(f"{path}/rejected").isEmpty()
+    before = snapshot(state)
+    retire_versions(spark, path, 1)
+    assert snapshot(load_state(spark, path)) == before
