@@ -7,6 +7,7 @@ those it has met in a dictionary of bounded size and asks the tokenizer only for
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Pieces kept per worker, and the longest piece worth keeping.
-KEPT_PIECES, KEPT_BYTES = 200_000, 64
+#: Pieces kept per worker, those of them that stay when there is no more room, the longest
+#: piece worth keeping, and texts whose new pieces are asked for at once.
+KEPT_PIECES, FIRST_PIECES, KEPT_BYTES, TEXTS = 400_000, 150_000, 64, 500
+#: Start of the strings that the tokenizer reads as marks of its own, in the case as written.
+MARK = b"<|"
+
+_workers: dict[str, PieceIds] = {}
 
 
 def default_vocabulary() -> str:
@@ -26,28 +32,66 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class PieceIds(dict):
-    """Little-endian 16-bit ids of a piece of text, by its UTF-8 bytes."""
+class PieceIds:
+    """Little-endian 16-bit ids of texts (UTF-8), put together from those of their pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
+        self.first: dict[bytes, bytes] | None = None
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
 
-    def __missing__(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8", "replace")
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(piece) <= KEPT_BYTES:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+    def ask(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, by one call for all of them: line ends part them as blanks do."""
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u2")
+        if not len(ids):
+            return [b""] * len(pieces)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        at = np.searchsorted(ends, np.array(found.offsets, dtype=np.int64)[:, 0], "right")
+        cuts = np.searchsorted(at, np.arange(len(pieces) + 1))
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Ids of new pieces.  A comma or full stop after a letter is a piece of its own to the
+        tokenizer, and lower-case ASCII letters go to its model as they are."""
+        known, stems, ended = self.known, set(), []
+        for piece in pieces:
+            if piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
+                stems.add(piece[:-1])
+                ended.append(piece)
+            else:
+                stems.add(piece)
+        stems.update((b".", b",") if ended else ())
+        odd = []
+        for stem in sorted(stems.difference(known)):
+            if stem.islower() and stem.isalpha():
+                known[stem] = array("H", [t.id for t in self.model.tokenize(stem.decode())]).tobytes()
+            else:
+                odd.append(stem)
+        known.update(zip(odd, self.ask(odd), strict=True) if odd else ())
+        for piece in ended:
+            known[piece] = known[piece[:-1]] + known[piece[-1:]]
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        out = []
+        for begin in range(0, len(texts), TEXTS):
+            parts = [(t if MARK in t else t.lower()).split() if t else [] for t in texts[begin : begin + TEXTS]]
+            new = set().union(*parts).difference(self.known)
+            if new:
+                self.learn(sorted(new))
+            out += [b"".join(map(self.known.__getitem__, part)) for part in parts]
+            if len(self.known) > KEPT_PIECES:
+                if self.first is None:
+                    # What comes first comes often.
+                    self.first = {p: v for p, v in list(self.known.items())[:FIRST_PIECES] if len(p) <= KEPT_BYTES}
+                self.known = dict(self.first)
+        return out
 
 
 def with_ids(
@@ -60,9 +104,12 @@ def with_ids(
     last = b"" if end is None else np.array([end], dtype="<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceIds(vocabulary)
+        # Workers serve many tasks: what one has learned the next can use.
+        if vocabulary not in _workers:
+            _workers[vocabulary] = PieceIds(vocabulary)
+        pieces = _workers[vocabulary]
         for batch in batches:
-            found = [pieces.encode(text) + last for text in batch.column(len(keep)).to_pylist()]
+            found = [ids + last for ids in pieces.encode(batch.column(len(keep)).to_pylist())]
             if shift:
                 found = [(np.frombuffer(ids, dtype="<u2") + np.uint16(shift)).tobytes() for ids in found]
             columns = [*batch.columns[:-1], pa.array(found, type=pa.binary())]
