@@ -9,6 +9,10 @@ Two ways, chosen by a checked size:
   ``PARTS`` of them whatever the data: that list, and nothing else, is broadcast
   to decide how many salts a key gets.  A key with a third of all rows is then
   read by about ``PARTS / 3`` tasks instead of one.
+
+Where both sides hold many rows of a key, what counts is the pairs they make: a key with
+more than one part in ``PARTS`` of all pairs, and more than ``LEAST_PAIRS``, is spread on the
+side that has more rows of it, and only the other side is copied.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 BROADCAST_CONF = "gridloom.broadcast.maxBytes"
 BROADCAST_BYTES = 64 << 20
 PARTS = 1000
+# Pairs of one key that a task may always make.
+LEAST_PAIRS = 1 << 20
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -29,11 +35,44 @@ def fits_broadcast(spark: SparkSession, rows: int | None, row_bytes: int) -> boo
     return rows is not None and rows * row_bytes <= broadcast_limit(spark)
 
 
+def heavy_pairs(left: DataFrame, right: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
+    """Keys that make many pairs: the salts they need, and whether the left side is spread."""
+    rows = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(
+        right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key
+    )
+    pairs = F.col("_l").cast("double") * F.col("_r")
+    cut = rows.agg(F.greatest(F.sum(pairs) / F.lit(parts), F.lit(float(LEAST_PAIRS))).alias("cut"))
+    copies = F.ceil(pairs / cut.scalar())
+    return rows.select(key, copies.cast("int").alias("_copies"), (F.col("_l") >= F.col("_r")).alias("_left")).where(
+        "_copies > 1"
+    )
+
+
+def _pair_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    heavy = heavy_pairs(left, right, key)
+
+    def dealt(side: DataFrame, spread: str) -> DataFrame:
+        # One salt where this side is spread, a copy for each salt where it is not.
+        fixed = [name for name, kind in side.dtypes if kind in ("bigint", "int")]
+        copies = F.coalesce("_copies", F.lit(1))
+        own = F.array(F.pmod(F.xxhash64(*fixed), copies).cast("int"))
+        every = F.sequence(F.lit(0), copies - 1)
+        return (
+            side.join(F.broadcast(heavy), key, "left")
+            .withColumn("_salt", F.explode(F.when(F.expr(spread), own).otherwise(every)))
+            .drop("_copies", "_left")
+        )
+
+    # Rows of both sides multiply: small as the sides may be, the pairs are shared
+    # out by key and salt, not made where the scan of one side happens to run.
+    copied = dealt(right, "NOT _left").hint("merge")
+    return dealt(left, "_left").join(copied, [key, "_salt"], how).drop("_salt")
+
+
 def heavy_keys(frame: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
     """Keys above one part in ``parts`` of the rows, with the salts they need."""
-    keys = frame.select(F.col(key))
-    cut = keys.agg((F.count(F.lit(1)) / F.lit(parts)).alias("cut"))
-    counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    cut = counts.agg((F.sum("_n") / F.lit(parts)).alias("cut"))
     share = F.col("_n") / cut.scalar()
     return counts.select(key, share.alias("_share")).where("_share > 1").select(
         key, F.ceil("_share").cast("int").alias("_copies")
@@ -76,24 +115,17 @@ def salted_join(
     """Equi-join on ``key`` with the heavy keys of both sides spread.
 
     ``right_unique``: the right side has one row per key, so it needs no
-    spreading itself and a left join is allowed.  ``heavy`` may hand in the
+    spreading itself and a left join is allowed; ``heavy`` may then hand in the
     heavy keys of the left side when they are already known.
     """
     if how == "left" and not right_unique:
         raise ValueError("a left join needs a right side with unique keys")
+    if not right_unique:
+        return _pair_join(left, right, key, how)
     heavy_left = heavy_keys(left, key) if heavy is None else heavy
     spread_left = _spread(left, key, heavy_left, "_salt")
     copied_right = _replicate(right, key, heavy_left, "_salt")
-    on = [key, "_salt"]
-    if not right_unique:
-        heavy_right = heavy_keys(right, key)
-        spread_left = _replicate(spread_left, key, heavy_right, "_salt_right")
-        copied_right = _spread(copied_right, key, heavy_right, "_salt_right")
-        on.append("_salt_right")
-        # Rows of both sides multiply: small as the sides may be, the pairs are shared
-        # out by key and salt, not made where the scan of one side happens to run.
-        copied_right = copied_right.hint("merge")
-    return spread_left.join(copied_right, on, how).drop(*on[1:])
+    return spread_left.join(copied_right, [key, "_salt"], how).drop("_salt")
 
 
 def keyed_join(

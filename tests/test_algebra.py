@@ -172,7 +172,7 @@ def test_mode_multiply_by_shuffle_with_heavy_keys(shuffled, tensor):
     got = products.mode_multiply(tensor(x), 1, tensor(y), 0)
     assert np.array_equal(dense(got), x @ y)
     plan = got.frame._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and "_salt_right" in plan
+    assert "_salt" in plan and "_salt_right" not in plan
 
 
 def test_mode_multiply_vec_keeps_groups(tensor, spark):
@@ -228,3 +228,18 @@ def test_signs_and_means(spark, factor_table):
     both = f.withColumn("rep", F.lit(0)).unionByName(g.where("idx < 2").withColumn("rep", F.lit(1)))
     mean = factor(factors.mean_factors(both, 3, 2), 3, 3)
     assert np.allclose(mean, [[1, 0, -0.5], [1.5, -0.5, -0.5], [-1.5, 1.5, 0.5]])
+
+
+def test_a_heavy_pair_is_spread_on_one_side_only(spark, monkeypatch):
+    from gridloom.plans import joins
+
+    left = spark.range(3000).selectExpr("id % 3 AS k", "id AS x")
+    right = spark.range(60).selectExpr("id % 3 AS k", "id AS y")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "x", "y").collect()))
+    assert joins.heavy_pairs(left, right, "k").count() == 0
+    monkeypatch.setattr(joins, "LEAST_PAIRS", 4000)
+    heavy = joins.heavy_pairs(left, right, "k").collect()
+    assert [(r._copies, r._left) for r in heavy] == [(5, True)] * 3
+    for one, two in ((left, right), (right, left)):
+        met = joins.salted_join(one, two, "k", right_unique=False)
+        assert sorted(map(tuple, met.select("k", "x", "y").collect())) == want
