@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.joins import salted_join
+from gridloom.plans.materialize import shared_dir
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many bytes, as counted, are broadcast.
@@ -44,14 +44,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it."""
-    given = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    return given
-
-
 def scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
 
@@ -82,7 +74,14 @@ def put(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = new_path(spark, label)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a table of ``put`` that nothing will read again."""
+    delete(table.sparkSession, table.scratch_path)
 
 
 def own(frame: DataFrame, label: str) -> str:

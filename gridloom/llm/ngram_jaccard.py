@@ -18,7 +18,7 @@ are verified one by one, as are all links before.
 
 Rarity is the place of a shingle's count in a sketch of fixed size (4 MB, its bound), built
 from all shingles; any order gives the same links.  Shingles that only one document copies
-are told by a filter of fixed size (32 MB) before they are shuffled.  Texts are read three
+are told by a filter of fixed size (16 MB) before they are shuffled.  Texts are read three
 times instead of keeping all sets: for the sketch, for the regions, and for the sets of
 documents that share a region.
 
@@ -33,66 +33,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
 from gridloom.llm.components import attach, components
+from gridloom.llm.words import MULTIPLIERS, hash_words, mixed
 
 WORDS, SIMILARITY = 5, 80
 SKETCH, SKETCH_PART = 1 << 22, 1 << 16
-PLACES, PLACE_PART = 1 << 28, 1 << 20
+PLACES, PLACE_PART = 1 << 27, 1 << 20
 #: Pivots that regions of the same documents may name in one round, and rounds.
 PIVOTS, ROUNDS = 4, 2
-KEPT_WORDS = 300_000
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(MULTIPLIERS[1])
-    return h ^ (h >> np.uint64(29))
-
-
-class Shingler:
-    """Sorted 64-bit hashes of the distinct shingles of a text (UTF-8)."""
-
-    def __init__(self, words: int = WORDS):
-        self.words, self.hashes = words, WordHashes()
-        self.factors = np.array([pow(m, k // 5 + 1, 1 << 64) for k, m in enumerate(MULTIPLIERS * (words // 5 + 1))], dtype=np.uint64)
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        found = text.lower().split() if text else []
-        if not found:
-            return np.zeros(0, dtype=np.uint64)
-        if len(found) < self.words:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed=1)], dtype=np.uint64)
-        each = np.fromiter(map(self.hashes.__getitem__, found), dtype=np.uint64, count=len(found))
-        last = len(each) - self.words + 1
-        total = each[:last] * self.factors[0]
-        for k in range(1, self.words):
-            total += _mixed(each[k : k + last] * self.factors[k]) if k % 2 else each[k : k + last] * self.factors[k]
-        return np.unique(_mixed(total))
+#: Texts that are cut into shingles at a time.
+TEXTS = 400
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles of each text of a binary column."""
+    each, counts, _ = hash_words(column)
+    ends = np.cumsum(counts)
+    span = max(len(each) - words + 1, 0)
+    total = np.zeros(span, dtype=np.uint64)
+    for k in range(words if span else 0):
+        total = total * np.uint64(MULTIPLIERS[0]) + each[k : k + span]
+        total ^= total >> np.uint64(29)
+    total = mixed(total)
+    out = []
+    for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
+        if count >= words:
+            out.append(np.unique(total[end - count : end - words + 1]))
+        elif count:
+            value = 1
+            for word in each[end - count : end].tolist():
+                value = (value * MULTIPLIERS[3] + word) % (1 << 64)
+            out.append(np.array([value], dtype=np.uint64))
+        else:
+            out.append(np.zeros(0, dtype=np.uint64))
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few texts: what is made of a text is several times its size."""
+    for batch in batches:
+        for begin in range(0, len(batch), TEXTS):
+            yield batch.slice(begin, TEXTS)
 
 
 def _sketch_counts(words: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(words), np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                # The shingles of one text are distinct, their places all but so.
-                at, n = np.unique(shingle(text) & np.uint64(SKETCH - 1), return_counts=True)
-                seen[at] += n
+        seen = np.zeros(SKETCH, dtype=np.int64)
+        for batch in _slices(batches):
+            own = np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_sets(batch.column(0), words)])
+            at, n = np.unique(own & np.uint64(SKETCH - 1), return_counts=True)
+            seen[at] += n
         small = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SKETCH_PART)
         for part, counts in enumerate(small):
             if counts.any():
@@ -121,30 +116,40 @@ def rarity(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     return levels
 
 
+def _signs(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers."""
+    both = np.array([np.bitwise_xor.reduce(own * np.uint64(MULTIPLIERS[4])), np.sum(mixed(own))], dtype=np.uint64)
+    return tuple(both.view(np.int64).tolist())
+
+
+def prefix_size(size, similarity: int):
+    """How many of its rarest shingles a document is copied by."""
+    return size - (similarity * size + 99) // 100 + 1
+
+
 def _regions(levels, words: int, similarity: int):
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, table = Shingler(words), levels.value
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        table, row = levels.value, TaskContext.get().partitionId() << 33
+        for batch in _slices(batches):
             sizes, ones, twos, keys, ends = [], [], [], [], [0]
-            for text in batch.column("text").to_pylist():
-                own = shingle(text)
+            for own in shingle_sets(batch.column("text"), words):
                 size = len(own)
+                one, two = _signs(own) if size else (0, 0)
                 sizes.append(size)
-                ones.append(int(np.bitwise_xor.reduce(own * np.uint64(MULTIPLIERS[2]))) if size else 0)
-                twos.append(int(np.sum(_mixed(own))) if size else 0)
-                window = size - (similarity * size + 99) // 100 + 1 if size else 0
+                ones.append(one)
+                twos.append(two)
+                window = prefix_size(size, similarity) if size else 0
                 level = table[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
                 keys.append(own[np.argsort(level, kind="stable")[:window]])
                 ends.append(ends[-1] + window)
             flat = np.concatenate([np.zeros(0, dtype=np.uint64), *keys]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id"), pa.array(sizes, pa.int64()),
-                    pa.array(np.array(ones, dtype=np.uint64).view(np.int64)), pa.array(np.array(twos, dtype=np.uint64).view(np.int64)),
+                    pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()),
+                    pa.array(ones, pa.int64()), pa.array(twos, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                names=["row", "doc_id", "size", "one", "two", "keys"],
+                names=["row", "doc_id", "mark", "size", "one", "two", "keys"],
             )
             row += len(sizes)
 
@@ -205,23 +210,30 @@ def _shared_keys(bits):
     return keys
 
 
-def _wanted_sets(bits, places: int, words: int):
+def _wanted_place(one: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """Place in the filter of the document that stands for a node."""
+    return (mixed(one.view(np.uint64) ^ mixed(doc_id.view(np.uint64))) & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def _wanted_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc_id = batch.column("doc_id").fill_null(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(_wanted_place(batch.column("one").to_numpy(), doc_id))], names=["place"])
+
+
+def _wanted_sets(bits, words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, table = Shingler(words), bits.value
-        for batch in batches:
-            ones, twos, found = [], [], []
-            for text in batch.column("text").to_pylist():
-                own = shingle(text)
-                if not len(own):
-                    continue
-                one = int(np.bitwise_xor.reduce(own * np.uint64(MULTIPLIERS[2])))
-                at = one & (places - 1)
-                if table[at >> 3] >> (at & 7) & 1:
-                    ones.append(one)
-                    twos.append(int(np.sum(_mixed(own))))
-                    found.append(own.tobytes())
+        table = bits.value
+        for batch in _slices(batches):
+            every = shingle_sets(batch.column("text"), words)
+            doc_id = batch.column("doc_id").fill_null(0).to_numpy()
+            one = np.array([_signs(own)[0] if len(own) else 0 for own in every], dtype=np.int64)
+            at = _wanted_place(one, doc_id)
+            hit = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            own = [every[k] for k in hit if len(every[k])]
+            signs = [_signs(o) for o in own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ones, dtype=np.uint64).view(np.int64)), pa.array(np.array(twos, dtype=np.uint64).view(np.int64)), pa.array(found, pa.binary())],
+                [pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), pa.array([o.tobytes() for o in own], pa.binary())],
                 names=["one", "two", "shingles"],
             )
 
@@ -269,113 +281,106 @@ def _similar(similarity: int) -> Column:
     return F.col("both") * 100 >= F.col("either") * similarity
 
 
-def jaccard_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY
-) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every row; similarity in hundredths."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    levels = spark.sparkContext.broadcast(rarity(texts.select("text"), words))
-    told = common.put(
-        texts.mapInArrow(
-            _regions(levels, words, similarity),
-            "row bigint, doc_id bigint, size bigint, one bigint, two bigint, keys array<bigint>",
-        ),
-        "regions",
-    )
-    # Equal sets are one node, named by the first row that has it.
-    alike = ["one", "two", "size"]
-    nodes = common.put(
-        told.where("size > 0").groupBy(*alike).agg(F.min("row").alias("node"), F.min_by("keys", "row").alias("keys")), "nodes"
-    )
-    bits = spark.sparkContext.broadcast(shared_places(nodes))
-    copies = nodes.select("keys", "node", "size").mapInArrow(_shared_keys(bits), "key bigint, node bigint, size bigint")
-    copies = common.put(copies, "copies")
-    regions = copies.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = common.put(attach(copies, regions.select("key"), "key", "inner"), "shared")
-    sets = _sets(texts, nodes, shared, words)
+def _key_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.sort(held.values.to_numpy().view(np.uint64)).tobytes() for held in batch.column("keys")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.binary())], names=["node", "shingles"])
+
+
+class Join:
+    """Tables that the rounds share."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, words: int, similarity: int):
+        self.texts, self.nodes, self.words, self.similarity = texts, nodes, words, similarity
+        self.keys = nodes.select("node", "keys").mapInArrow(_key_sets, "node bigint, shingles binary")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose windows share as many shingles as linked documents must.
+
+        Documents of sizes m and n that are linked have t = s (m + n) / (1 + s) shingles in
+        common; of those, windows of sizes p and q share at least min(p - m, q - n) + t."""
+        shared = _verified(pairs, self.keys)
+        sizes = self.nodes.select("node", "size")
+        told = shared.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("m")), "a").join(
+            sizes.select(F.col("node").alias("b"), F.col("size").alias("n")), "b"
+        )
+        s = self.similarity
+        over = F.least(prefix_size_of("m", s) - F.col("m"), prefix_size_of("n", s) - F.col("n"))
+        least = over + F.ceil((F.col("m") + F.col("n")) * s / F.lit(100 + s) - F.lit(1e-9))
+        return common.put(told.where(F.col("both") >= least).select("a", "b"), "possible")
+
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """Exact sizes of intersection and union of the pairs that are possible."""
+        possible = self.possible(pairs)
+        sets = self.sets(possible.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        found = _verified(possible, sets)
+        for table in (possible, sets):
+            common.drop(table)
+        return found
 
-    links = None
-    seen = None
-    left = shared
-    for turn in range(ROUNDS):
-        left, checked = _pivot_round(left, sets, turn, similarity)
-        seen = checked if seen is None else seen.unionByName(checked)
-        links = seen.where(_similar(similarity)).select("a", "b")
-        classes = components(links)
-        left = _unfinished(left, classes)
-        if left.isEmpty():
-            break
-    else:
-        rest = _remaining_pairs(left, seen, similarity)
-        links = links.unionByName(_verified(rest, sets).where(_similar(similarity)).select("a", "b"))
-        classes = components(links)
-    named = nodes.select(*alike, "node").join(classes, "node", "left").select(
-        *alike, F.coalesce("component", "node").alias("class")
-    )
-    # Rows find their node by its 128-bit hash and size.
-    sign = F.concat_ws(".", *alike)
-    rows = told.select("doc_id", "size", F.when(F.col("size") > 0, sign).otherwise(F.concat(F.lit("row"), "row")).alias("sign"))
-    classed = attach(rows, common.put(named.select(sign.alias("sign"), "class"), "named"), "sign")
-    classed = common.put(classed.select("doc_id", "size", F.coalesce(F.col("class").cast("string"), "sign").alias("class")), "classed")
-    lowest = classed.groupBy("class").agg(F.min("doc_id").alias("lowest"))
-    return attach(classed, lowest, "class", "inner").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("lowest")).alias("component_id")
-    )
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Shingle sets ``(node, shingles)`` of some nodes, from the texts that stand for them."""
+        spark = self.texts.sparkSession
+        told = common.put(wanted.join(self.nodes.select("node", "one", "two", "doc_id"), "node"), "wanted")
+        place = told.select("one", "doc_id").mapInArrow(_wanted_places, "place bigint")
+        byte = place.groupBy(F.shiftright("place", 3).alias("at")).agg(
+            F.bit_or(F.expr("shiftleft(1, cast(place & 7 AS int))")).alias("bits")
+        )
+        found = byte.toArrow()  # one row for each byte of the filter at most
+        bits = np.zeros(PLACES // 8, dtype=np.uint8)
+        bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+        sets = self.texts.mapInArrow(
+            _wanted_sets(spark.sparkContext.broadcast(bits), self.words), "one bigint, two bigint, shingles binary"
+        )
+        # Repeated rows give their set more than once.
+        return common.put(
+            sets.join(told, ["one", "two"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"
+        )
+
+    def pivot_round(self, regions: DataFrame, turn: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Name a pivot in each region and measure the distances to it."""
+        order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("h"), "node", "size")
+        pivots = common.put(
+            regions.groupBy("key").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n")).select(
+                "key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), "n"
+            ),
+            "pivots",
+        )
+        named = common.put(common.lookup(regions.select("key", "node", "size"), pivots, "key", "n"), "named")
+        s = self.similarity
+        sizes = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * s
+        pairs = named.where(sizes & (F.col("node") != F.col("pivot"))).select(
+            F.col("pivot").alias("a"), F.col("node").alias("b")
+        ).distinct()
+        if seen is not None:
+            pairs = _unseen(pairs, seen)
+        return named, self.measured(common.put(pairs, "pairs"))
 
 
-def _sets(texts: DataFrame, nodes: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """Shingle sets of the nodes that share a region: ``(node, shingles)``."""
-    spark = texts.sparkSession
-    wanted = common.put(
-        shared.select("node").distinct().join(nodes.select("node", "one", "two"), "node"), "wanted"
-    )
-    place = F.col("one").bitwiseAND(F.lit(PLACES - 1))
-    bits = np.zeros(PLACES // 8, dtype=np.uint8)
-    byte = wanted.groupBy(F.shiftright(place, 3).alias("at")).agg(
-        F.bit_or(F.expr(f"shiftleft(1, cast(one & {7} AS int))")).alias("bits")
-    )
-    found = byte.toArrow()  # one row for each byte of the filter at most
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
-    sets = texts.select("text").mapInArrow(
-        _wanted_sets(spark.sparkContext.broadcast(bits), PLACES, words), "one bigint, two bigint, shingles binary"
-    )
-    # Copies of one text give one set.
-    return common.put(
-        sets.join(wanted, ["one", "two"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"
-    )
+def prefix_size_of(size: str, similarity: int) -> Column:
+    return F.col(size) - F.floor((F.col(size) * similarity + 99) / 100) + 1
 
 
-def _pivot_round(regions: DataFrame, sets: DataFrame, turn: int, similarity: int) -> tuple[DataFrame, DataFrame]:
-    """Name a pivot in each region and measure the distances to it: the regions with ``pivot``, the pairs."""
-    order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("h"), "node", "size")
-    pivots = regions.groupBy("key").agg(F.min(order).alias("p")).select(
-        "key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")
-    )
-    base = regions.select("key", "node", "size")
-    named = common.put(attach(base, pivots, "key", "inner"), "named")
-    sizes = (F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * similarity) & (F.col("node") != F.col("pivot"))
-    pairs = common.put(named.where(sizes).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    return named, _verified(pairs, sets)
+def _unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    both_ways = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both_ways, ["a", "b"], "left_anti")
 
 
 def _unfinished(regions: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of the regions whose documents are not one component yet."""
-    classed = attach(regions, classes.withColumnRenamed("component", "class"), "node").withColumn(
+    classed = regions.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn(
         "class", F.coalesce("class", "node")
     )
-    classed = common.put(classed, "classed")
+    classed = common.put(classed.drop("n"), "classed")
     open_keys = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
     # Of two documents one is the pivot: nothing is left to compare.
-    open_keys = open_keys.where("low <> high AND n > 2").select("key")
-    return common.put(attach(classed, open_keys, "key", "inner"), "left")
+    open_keys = common.put(open_keys.where("low <> high AND n > 2").select("key", "n"), "open")
+    return common.put(common.lookup(classed, open_keys, "key", "n"), "left")
 
 
 def _remaining_pairs(regions: DataFrame, seen: DataFrame, similarity: int) -> DataFrame:
     """Pairs of different components of a region that sizes and distances to the pivot allow."""
     reach = F.lit(1 - similarity / 100 + 1e-9)
-    both_ways = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "either"))
     away = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("away"))
     placed = regions.join(away.dropDuplicates(["pivot", "node"]), ["pivot", "node"], "left")
     placed = common.put(placed.where("node <> pivot").select("key", "node", "size", "class", "away"), "placed")
@@ -388,11 +393,86 @@ def _remaining_pairs(regions: DataFrame, seen: DataFrame, similarity: int) -> Da
         .select(F.col("node").alias("a"), F.col("node_1").alias("b"))
         .distinct()
     )
-    return common.put(pairs.join(both_ways.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    return common.put(_unseen(pairs, seen), "rest")
+
+
+def jaccard_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY
+) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, text_mark)`` of every row; similarity in hundredths.
+
+    ``text_mark`` is a 64-bit hash of the text, which tells rows of one id apart."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    text = F.col(text_col).cast("binary")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    levels = spark.sparkContext.broadcast(rarity(texts.select("text"), words))
+    told = common.put(
+        texts.mapInArrow(
+            _regions(levels, words, similarity),
+            "row bigint, doc_id bigint, mark bigint, size bigint, one bigint, two bigint, keys array<bigint>",
+        ),
+        "regions",
+    )
+    # Equal sets are one node, named by the first row that has it.
+    alike = ["one", "two", "size"]
+    first = F.min_by(F.struct("keys", "doc_id"), "row").alias("first")
+    nodes = common.put(
+        told.where("size > 0").groupBy(*alike).agg(F.min("row").alias("node"), first).select(
+            "node", *alike, "first.keys", "first.doc_id"
+        ),
+        "nodes",
+    )
+    sign = F.concat_ws(".", *alike)
+    own = F.when(F.col("size") > 0, sign).otherwise(F.concat(F.lit("row"), "row"))
+    rows = common.put(told.select("doc_id", "mark", "size", own.alias("sign")), "rows")
+    common.drop(told)
+    bits = spark.sparkContext.broadcast(shared_places(nodes))
+    copies = nodes.select("keys", "node", "size").mapInArrow(_shared_keys(bits), "key bigint, node bigint, size bigint")
+    copies = common.put(copies, "copies")
+    regions = common.put(copies.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    left = common.put(common.lookup(copies, regions, "key", "n"), "shared")
+    common.drop(copies)
+
+    join, seen, classes = Join(texts, nodes, words, similarity), None, None
+    for turn in range(ROUNDS):
+        left, found = join.pivot_round(left, turn, seen)
+        seen = found if seen is None else common.put(seen.unionByName(found), "seen")
+        classes = components(seen.where(_similar(similarity)).select("a", "b"))
+        left = _unfinished(left, classes)
+        if left.isEmpty():
+            break
+    else:
+        rest = _remaining_pairs(left, seen, similarity)
+        if not rest.isEmpty():
+            seen = seen.unionByName(join.measured(rest))
+            classes = components(seen.where(_similar(similarity)).select("a", "b"))
+    # Rows find their node by its 128-bit sign and size.
+    named = nodes.join(classes, "node", "left").select(sign.alias("sign"), F.coalesce("component", "node").alias("class"))
+    classed = attach(rows, common.put(named, "signs"), "sign")
+    classed = common.put(
+        classed.select("doc_id", "mark", "size", F.coalesce(F.col("class").cast("string"), "sign").alias("class")), "classed"
+    )
+    lowest = common.put(
+        classed.groupBy("class").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n")), "lowest"
+    )
+    return common.lookup(classed, lowest, "class", "n").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("lowest")).alias("component_id"),
+        F.col("mark").alias("text_mark"),
+    )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with all their columns, one of each class of near duplicates: the smallest id."""
-    classes = jaccard_classes(docs, id_col, text_col)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """Documents with all their columns, one of each class of near duplicates: that of the
+    smallest id.  Documents with a null id have no class and stay."""
+    classes = common.put(jaccard_classes(docs, id_col, text_col), "classes")
+    id_of, mark = F.col(id_col), F.xxhash64(F.col(text_col).cast("binary"))
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"))
+    kept = docs.join(gone.distinct(), (id_of == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    # Rows that share the id of their class: all but one of them go.
+    heads = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    twins = common.put(heads.where("_n > 1").select("_id"), "twins")
+    if twins.isEmpty():
+        return kept
+    several = kept.join(twins, id_of == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return kept.join(twins, id_of == F.col("_id"), "left_anti").unionByName(several)
