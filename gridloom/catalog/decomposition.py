@@ -293,7 +293,7 @@ def _(spark, d):
 
 @query("G3_cp_als")
 def _(spark, d):
-    """Sales to convergence at rank 5: the factor table."""
+    """Sales at rank 5, eight sweeps at most: the factor table."""
     model = cp.cp_als(tb.sales_tensor(spark, d), rank=5, max_iter=8, tol=1e-3)
     return flat_rows(model.table(), 5, 6)
 
