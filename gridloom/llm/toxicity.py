@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
-from gridloom.llm.words import blank, bytes_of, hash_words, mixed
+from gridloom.llm.words import bytes_of, ends_of, hash_words, mixed
 
 #: Most labelled documents that are learned from.
 SAMPLE = 4000
@@ -39,8 +39,8 @@ WORD_SIZE, CHAR_SIZE, STATE = 8, 8, 8
 GRAMS = (3, 4, 5)
 #: Windows of a step and at least so many steps; passes over the sample.
 BATCH, STEPS, PASSES, RATE, SEED = 128, 300, 4, 0.01, 3
-#: Words whose share of the gates a worker keeps; windows and texts it works on at a time.
-KEPT_WORDS, WINDOWS, TEXTS = 150_000, 1024, 400
+#: Words whose share of the gates a worker keeps; windows, texts and new words it works on at a time.
+KEPT_WORDS, WINDOWS, TEXTS, NEW_WORDS = 150_000, 1024, 400, 10_000
 
 _letter = np.random.default_rng(17).integers(1, 1 << 63, (max(GRAMS), 256), dtype=np.uint64)
 _power = np.cumprod(np.full(1 << 12, 0xD1342543DE82EF95, dtype=np.uint64))
@@ -95,12 +95,6 @@ class Parts:
         return len(self.word)
 
 
-def ends_of(raw: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where words that begin at ``first`` end: at a blank or the end of their text."""
-    stops = np.sort(np.concatenate([np.flatnonzero(blank[raw]), offsets[1:]]), kind="stable")
-    return stops[np.searchsorted(stops, first, "right")]
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -267,9 +261,11 @@ class Scorer:
             new = self.known[found] != word
         if new.any():
             begin = first[place[new]]
-            parts = Parts(raw, begin, ends_of(raw, begin, offsets))
-            fresh = len(self.table) + np.arange(len(parts))
-            self.table = np.concatenate([self.table, self.net.gates(self.net.inputs(parts))])
+            end = ends_of(raw, begin, offsets)
+            cuts = [slice(k, k + NEW_WORDS) for k in range(0, len(begin), NEW_WORDS)]
+            gates = [self.net.gates(self.net.inputs(Parts(raw, begin[c], end[c]))) for c in cuts]
+            fresh = len(self.table) + np.arange(len(begin))
+            self.table = np.concatenate([self.table, *gates])
             both = np.concatenate([self.known, word[new]])
             order = np.argsort(both, kind="stable")
             self.known, self.row = both[order], np.concatenate([self.row, fresh])[order]
@@ -360,22 +356,23 @@ def training_sample(
         .groupBy(F.col("doc_id").alias("_label_id"))
         .agg(F.max("toxic").alias("_toxic"))
     )
+    short = docs.where((fold != 0) & (F.coalesce(F.length(text_col), F.lit(0)) < SAMPLE_CHARS))
+    # The ids first, so that the only texts that move are those of the sample.
     rows = (
-        docs.where((fold != 0) & (F.coalesce(F.length(text_col), F.lit(0)) < SAMPLE_CHARS))
-        .select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+        short.select(F.col(id_col).alias("_id"))
         .join(known, F.col("_id") == F.col("_label_id"))
-        .withColumn("_order", F.xxhash64("_id", F.lit(SEED)))
+        .select("_id", "_toxic", F.xxhash64("_id", F.lit(SEED)).alias("_order"))
     )
-    # The ids first, so that the only texts that move are those of the sample.
     ids = None
     for value in (0, 1):
-        some = rows.where(F.col("_toxic") == value).select("_order", "_id").orderBy("_order", "_id").limit(sample // 2)
+        some = rows.where(F.col("_toxic") == value).orderBy("_order", "_id").limit(sample // 2)
         ids = some if ids is None else ids.unionByName(some)
-    picked = sorted({r["_id"] for r in ids.collect()})
+    picked = sorted({(r["_id"], r["_toxic"], r["_order"]) for r in ids.collect()})
     if not picked:
         return [], np.zeros(0)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in picked], "_want bigint")
-    found = rows.join(F.broadcast(wanted), F.col("_id") == F.col("_want"), "left_semi").limit(2 * sample).collect()
+    wanted = docs.sparkSession.createDataFrame(picked, "_id bigint, _toxic int, _order bigint")
+    texts = short.select(F.col(id_col).alias("_want"), F.col(text_col).cast("binary").alias("_text"))
+    found = texts.join(F.broadcast(wanted), F.col("_want") == F.col("_id")).limit(2 * sample).collect()
     found.sort(key=lambda r: (r["_order"], r["_id"], bytes(r["_text"] or b"")))
     found = found[:sample]
     texts = [None if r["_text"] is None else bytes(r["_text"]) for r in found]
