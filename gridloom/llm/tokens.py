@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and never joins what white space parts, so the ids of a text
 are those of its blank-separated pieces in turn.  Pieces repeat: each worker keeps the ids of
-those it has met in a dictionary of bounded size and asks the tokenizer only for new ones.
+those it has met, by their hashes, and asks the tokenizer only for new ones.
 """
 
 from __future__ import annotations
@@ -12,18 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
+from gridloom.llm.words import blank, bytes_of, ends_of, hash_bytes
 
-#: Pieces kept per worker, those of them that stay when there is no more room, the longest
-#: piece worth keeping, and texts whose new pieces are asked for at once.
-KEPT_PIECES, FIRST_PIECES, KEPT_BYTES, TEXTS = 400_000, 150_000, 64, 500
-#: Start of the strings that the tokenizer reads as marks of its own, in the case as written.
-MARK = b"<|"
+#: Pieces kept per worker, those of them that stay when there is no more room, and texts
+#: whose new pieces are asked for at once.
+KEPT_PIECES, FIRST_PIECES, TEXTS = 1_000_000, 300_000, 500
 
 _workers: dict[str, PieceIds] = {}
+_letter = np.zeros(256, dtype=bool)
+_letter[list(range(65, 91)) + list(range(97, 123))] = True
 
 
 def default_vocabulary() -> str:
@@ -32,67 +34,131 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for
+    itself, the other bytes in turn for the letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class PieceIds:
-    """Little-endian 16-bit ids of texts (UTF-8), put together from those of their pieces."""
+    """16-bit ids of texts (UTF-8), put together from those of their pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
-        self.first: dict[bytes, bytes] | None = None
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
+        #: Hashes of pieces in order, and where each has its ids in ``ids``.
+        self.known, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u2")
+        #: A comma or full stop after a letter is a piece of its own to the tokenizer.
+        self.marks = {c: np.frombuffer(self.ask([bytes([c])])[0], dtype="<u2") for c in b".,"}
 
     def ask(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece, by one call for all of them: line ends part them as blanks do."""
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u2")
-        if not len(ids):
-            return [b""] * len(pieces)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        at = np.searchsorted(ends, np.array(found.offsets, dtype=np.int64)[:, 0], "right")
-        cuts = np.searchsorted(at, np.arange(len(pieces) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Ids of new pieces.  A comma or full stop after a letter is a piece of its own to the
-        tokenizer, and lower-case ASCII letters go to its model as they are."""
-        known, stems, ended = self.known, set(), []
-        for piece in pieces:
-            if piece[-1:] in (b".", b",") and piece[-2:-1].isalpha():
-                stems.add(piece[:-1])
-                ended.append(piece)
+        """Ids of each piece.  Words of nothing but lower-case letters, composed as the tokenizer
+        composes them, go straight to its model; all others by one call, where line ends part
+        them as blanks do."""
+        out: list[bytes | None] = [None] * len(pieces)
+        odd, split = [], self.model.tokenize
+        for k, piece in enumerate(pieces):
+            if piece.isalpha() and piece.islower():
+                out[k] = array("H", [t.id for t in split(piece.decode())]).tobytes()
+                continue
+            text = piece.decode("utf-8", "replace")
+            if text.isalpha() and text.islower() and max(text) < "\u0180":
+                # Latin letters: one code point each, and lower case stays as it is.
+                out[k] = array("H", [t.id for t in split(piece.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
             else:
-                stems.add(piece)
-        stems.update((b".", b",") if ended else ())
-        odd = []
-        for stem in sorted(stems.difference(known)):
-            if stem.islower() and stem.isalpha():
-                known[stem] = array("H", [t.id for t in self.model.tokenize(stem.decode())]).tobytes()
-            else:
-                odd.append(stem)
-        known.update(zip(odd, self.ask(odd), strict=True) if odd else ())
-        for piece in ended:
-            known[piece] = known[piece[:-1]] + known[piece[-1:]]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        out = []
-        for begin in range(0, len(texts), TEXTS):
-            parts = [(t if MARK in t else t.lower()).split() if t else [] for t in texts[begin : begin + TEXTS]]
-            new = set().union(*parts).difference(self.known)
-            if new:
-                self.learn(sorted(new))
-            out += [b"".join(map(self.known.__getitem__, part)) for part in parts]
-            if len(self.known) > KEPT_PIECES:
-                if self.first is None:
-                    # What comes first comes often.
-                    self.first = {p: v for p, v in list(self.known.items())[:FIRST_PIECES] if len(p) <= KEPT_BYTES}
-                self.known = dict(self.first)
+                odd.append(k)
+        if odd:
+            texts = [pieces[k].decode("utf-8", "replace") for k in odd]
+            found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u2")
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            at = np.searchsorted(ends, np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], "right")
+            cuts = np.searchsorted(at, np.arange(len(odd) + 1))
+            for k, a, b in zip(odd, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out[k] = ids[a:b].tobytes()
         return out
 
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        found = self.ask(pieces)
+        size = np.array([len(f) // 2 for f in found])
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u2")])
+        both = np.concatenate([self.known, hashes])
+        rows = np.concatenate([self.row, np.arange(len(self.size) - len(size), len(self.size))])
+        order = np.argsort(both, kind="stable")
+        self.known, self.row = both[order], rows[order]
+
+    def room(self) -> None:
+        """Forget all but the pieces that came first: they come often."""
+        if len(self.known) > KEPT_PIECES:
+            stay = self.row < FIRST_PIECES
+            self.known, self.row = self.known[stay], self.row[stay]
+            self.begin, self.size = self.begin[:FIRST_PIECES], self.size[:FIRST_PIECES]
+            self.ids = self.ids[: self.begin[-1] + self.size[-1]]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a binary column in turn, and how many each text has."""
+        whole, offsets = bytes_of(column)
+        texts = len(offsets) - 1
+        if not len(whole):
+            return np.zeros(0, dtype="<u2"), np.zeros(texts, dtype=np.int64)
+        last = np.ones(len(whole), dtype=bool)
+        last[:-1] = blank[whole[1:]]
+        last[offsets[1:][offsets[1:] > 0] - 1] = True
+        opens = np.zeros(len(whole) + 1, dtype=bool)
+        opens[offsets] = True
+        ended = np.flatnonzero(last & ((whole == 46) | (whole == 44)))
+        ended = ended[(ended > 0) & ~opens[ended] & _letter[whole[np.maximum(ended - 1, 0)]]]
+        raw = whole.copy()
+        raw[ended] = 32
+        hashes, counts, first = hash_bytes(raw, offsets)
+        if not len(first):
+            return np.zeros(0, dtype="<u2"), np.zeros(texts, dtype=np.int64)
+        # The tokenizer's own marks, such as <|endoftext|>, are read in the case they are written in.
+        marked = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+        exact = np.unique(np.searchsorted(first, marked, "right") - 1) if len(marked) else marked
+        if len(exact):
+            ends = ends_of(raw, first[exact], offsets)
+            own = [xxhash.xxh64_intdigest(raw[a:b].tobytes(), seed=9) for a, b in zip(first[exact], ends, strict=True)]
+            hashes[exact] = np.array(own, dtype=np.uint64)
+        word, place, at = np.unique(hashes, return_index=True, return_inverse=True)
+        found = np.searchsorted(self.known, word)
+        found[found == len(self.known)] = 0
+        new = self.known[found] != word if len(self.known) else np.ones(len(word), dtype=bool)
+        if new.any():
+            begin = first[place[new]]
+            end = ends_of(raw, begin, offsets)
+            pieces = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            self.learn(word[new], [p if b"<|" in p else p.lower() for p in pieces])
+        row = self.row[np.searchsorted(self.known, word)][at]
+        size = self.size[row]
+        extra = np.zeros(len(first), dtype=np.int64)
+        with_mark = np.searchsorted(first, ended, "right") - 1
+        extra[with_mark] = 1
+        stop = np.cumsum(size + extra)
+        out = np.empty(int(stop[-1]), dtype="<u2")
+        inside = np.ones(len(out), dtype=bool)
+        for c, ids in self.marks.items():
+            own = stop[with_mark[whole[ended] == c]] - 1
+            out[own], inside[own] = ids[0], False
+        from_ = np.repeat(self.begin[row] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out[inside] = self.ids[from_]
+        text_of = np.repeat(np.arange(texts), counts)
+        self.room()
+        return out, np.bincount(text_of, weights=size + extra, minlength=texts).astype(np.int64)
+
 
 def with_ids(
     docs: DataFrame, text_col: str, vocabulary: str, end: int | None = None, shift: int = 0
@@ -101,18 +167,23 @@ def with_ids(
     common.ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("ids"))
-    last = b"" if end is None else np.array([end], dtype="<u2").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Workers serve many tasks: what one has learned the next can use.
         if vocabulary not in _workers:
             _workers[vocabulary] = PieceIds(vocabulary)
         pieces = _workers[vocabulary]
         for batch in batches:
-            found = [ids + last for ids in pieces.encode(batch.column(len(keep)).to_pylist())]
-            if shift:
-                found = [(np.frombuffer(ids, dtype="<u2") + np.uint16(shift)).tobytes() for ids in found]
-            columns = [*batch.columns[:-1], pa.array(found, type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for begin in range(0, len(batch), TEXTS):
+                part = batch.slice(begin, TEXTS)
+                ids, counts = pieces.encode(part.column(len(keep)))
+                ids = ids + np.uint16(shift)
+                if end is not None:
+                    ids = np.insert(ids, np.cumsum(counts), np.uint16(end))
+                    counts = counts + 1
+                offsets = np.concatenate([[0], np.cumsum(counts) * 2])
+                binary = pa.Array.from_buffers(
+                    pa.large_binary(), len(part), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]
+                ).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], binary], names=batch.schema.names)
 
     return rows.mapInArrow(encode, rows.schema)

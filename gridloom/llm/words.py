@@ -17,9 +17,9 @@ _BASE = 0xD1342543DE82EF95
 
 _values = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _values[65:91] = _values[97:123]
-_blank = np.zeros(256, dtype=bool)
-_blank[[9, 10, 11, 12, 13, 32]] = True
-_values[_blank] = 0
+blank = np.zeros(256, dtype=bool)
+blank[[9, 10, 11, 12, 13, 32]] = True
+_values[blank] = 0
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ _powers = _Powers()
 
 def _hash_chunk(raw: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first places of the words in a piece of bytes; ``opens`` are row starts in it."""
-    filled = ~_blank[raw]
+    filled = ~blank[raw]
     fresh = np.ones(len(raw), dtype=bool)
     fresh[1:] = ~filled[:-1]
     fresh[opens] = True
@@ -77,18 +77,29 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def ends_of(raw: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words that begin at ``first`` end: at a blank or the end of their text."""
+    stops = np.sort(np.concatenate([np.flatnonzero(blank[raw]), offsets[1:]]), kind="stable")
+    return stops[np.searchsorted(stops, first, "right")]
+
+
 def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts in turn, how many words each text has (nulls have none), and the
     places where the words begin among the bytes of the column."""
-    raw, offsets = bytes_of(column)
+    return hash_bytes(*bytes_of(column))
+
+
+def hash_bytes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hash_words`` of the bytes of texts that follow each other."""
+    texts = len(offsets) - 1
     if not len(raw):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(column), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(texts, dtype=np.int64), np.zeros(0, dtype=np.int64)
     found, places, begin = [], [], 0
     while begin < len(raw):
         end = min(begin + CHUNK_BYTES, len(raw))
-        while end < len(raw) and not _blank[raw[end]]:
+        while end < len(raw) and not blank[raw[end]]:
             # Not inside a word: back to the last blank or row start, else on to the next.
-            blanks = np.flatnonzero(_blank[raw[begin:end]])
+            blanks = np.flatnonzero(blank[raw[begin:end]])
             row = int(offsets[np.searchsorted(offsets, end, "right") - 1])
             back = max(int(blanks[-1]) + begin + 1 if len(blanks) else begin, row)
             if back > begin:
@@ -102,4 +113,4 @@ def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin = end
     at = np.concatenate(places)
     rows = np.searchsorted(offsets, at, "right") - 1
-    return np.concatenate(found), np.bincount(rows, minlength=len(column)), at
+    return np.concatenate(found), np.bincount(rows, minlength=texts), at

@@ -24,12 +24,17 @@ def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_ids_of_pieces_are_those_of_texts(tokenizer, some_texts):
+def test_ids_of_pieces_are_those_of_texts(tokenizer, some_texts, monkeypatch):
     odd = ["don't éx ́y z q\x85r İ Σ \x1c\x1dk 1234 !!.,x's 日本語 ᄒ ᅡ", "<|ENDOFTEXT|> A. B, 'LL end.. a., é. x1. ,.", "x" * 900]
     texts = [t for _, t, _ in some_texts] + odd
-    found = tokens.PieceIds(tokens.default_vocabulary()).encode([None if t is None else t.encode() for t in texts])
-    for text, ids in zip(texts, found, strict=True):
-        assert np.frombuffer(ids, dtype="<u2").tolist() == ids_of(tokenizer, text)
+    pieces = tokens.PieceIds(tokens.default_vocabulary())
+    for _ in range(2):
+        ids, counts = pieces.encode(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+        assert len(ids) == counts.sum()
+        for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == ids_of(tokenizer, text)
+        monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
+        monkeypatch.setattr(tokens, "FIRST_PIECES", 2)
 
 
 def test_pieces_hold_every_id_once_and_windows_have_no_gaps(docs, some_texts, tokenizer):
