@@ -50,11 +50,13 @@ from gridloom.llm.words import hash_words
 LAST_DISCOUNTED = 5
 FREQUENT = 1 << 17
 HOT, HOT_LEAST = 500, 50_000
-SUBS = 8
-SHARDS, SHARD_TOKENS = 24, 6 << 20
+SUBS = 16
+SHARDS, SHARD_TOKENS = 12, 12 << 20
 #: Texts of a packet; Arrow batches may end it sooner.
 PACKET_TEXTS = 5000
-HELD_DOCS = 200_000
+HELD_DOCS = 400_000
+#: Occurrences of rare words that go on at once.
+HELD_PAIRS = 1 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))
 DISCOUNTS = range(1, LAST_DISCOUNTED + 1)
 
@@ -187,10 +189,8 @@ def _shard_of(context, word, frequent: Frequent, parts: int) -> np.ndarray:
     return _spread(np.where(frequent.is_hot(context), context ^ (word * np.uint64(0xC2B2AE3D27D4EB4F)), context), parts)
 
 
-def _emit(shard, context, word, count, doc, keys, train) -> pa.RecordBatch | None:
+def _emit(shard, context, word, count, doc, keys, train) -> pa.RecordBatch:
     """One packet for each shard that has occurrences, ordered by context."""
-    if not len(shard):
-        return None
     order = np.lexsort((context, shard))
     shard = shard[order]
     starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
@@ -214,10 +214,9 @@ def _frequent_pairs(table, parts: int):
         for flat, before, doc, keys, train in _slices(batches):
             at = frequent.find(flat)
             own = np.flatnonzero(at >= 0)
-            shard = _shard_of(before[own], flat[own], frequent, parts)
-            out = _emit(shard, before[own], flat[own], -(at[own] + 1), doc[own], keys, train)
-            if out is not None:
-                yield out
+            if len(own):
+                shard = _shard_of(before[own], flat[own], frequent, parts)
+                yield _emit(shard, before[own], flat[own], -(at[own] + 1), doc[own], keys, train)
 
     return packets
 
@@ -228,9 +227,8 @@ def _rare_pairs(table, shards: int):
         for flat, before, doc, keys, train in _slices(batches):
             own = np.flatnonzero(frequent.find(flat) < 0)
             # Ordered by the word itself here: it takes the place of the context.
-            out = _emit(_spread(flat[own], shards), flat[own], before[own], np.zeros(len(own), dtype=np.int64), doc[own], keys, train)
-            if out is not None:
-                yield out
+            if len(own):
+                yield _emit(_spread(flat[own], shards), flat[own], before[own], np.zeros(len(own), dtype=np.int64), doc[own], keys, train)
 
     return packets
 
@@ -240,6 +238,16 @@ def _count_rare(table, parts: int):
 
     def attach_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, words = table.value, {}
+        held: list[tuple] = []
+
+        def onward() -> Iterator[pa.RecordBatch]:
+            context, word, count, doc, keys, train = (np.concatenate(c) for c in zip(*held, strict=True))
+            # Documents of the packets one after another.
+            shift = np.cumsum([0] + [len(h[4]) for h in held[:-1]])
+            doc = doc + np.repeat(shift, [len(h[3]) for h in held])
+            yield _emit(_shard_of(context, word, frequent, parts), context, word, count, doc, keys, train)
+
+        size = 0
         for batch in batches:
             for shard, blob, is_table in zip(*(batch.column(c).to_pylist() for c in ("shard", "blob", "is_table")), strict=True):
                 if is_table:
@@ -250,10 +258,13 @@ def _count_rare(table, parts: int):
                 place = np.searchsorted(known, v)
                 place[place == len(known)] = 0
                 count = np.where(known[place] == v, n[place], 0) if len(known) else np.zeros(len(v), dtype=np.int64)
-                word = np.repeat(v, run)
-                out = _emit(_shard_of(context, word, frequent, parts), context, word, np.repeat(count, run), at.astype(np.int64), keys, train)
-                if out is not None:
-                    yield out
+                held.append((context, np.repeat(v, run), np.repeat(count, run), at.astype(np.int64), keys, train))
+                size += len(context)
+                if size >= HELD_PAIRS:
+                    yield from onward()
+                    held, size = [], 0
+        if size:
+            yield from onward()
 
     return attach_counts
 
@@ -281,23 +292,29 @@ def _rows(kind: int, length: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(filled, names=FIELDS)
 
 
+def _added(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sums of two tables of documents, by key."""
+    both = np.concatenate([one, two])
+    key, at = np.unique(both["key"], return_inverse=True)
+    out = np.zeros(len(key), dtype=both.dtype)
+    out["key"] = key
+    for field in both.dtype.names[1:]:
+        out[field] = np.bincount(at, weights=both[field])
+    return out
+
+
 def _score(table, model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, words = table.value, model.value
-        sums: list[np.ndarray] = []
-        held = 0
+        sums: np.ndarray | None = None
         part, packets = None, []
 
         def docs_out():
-            if not sums:
-                return
-            every = np.concatenate(sums)
-            key, at = np.unique(every["key"], return_inverse=True)
-            total = {f: np.bincount(at, weights=every[f]) for f in every.dtype.names if f != "key"}
-            yield _rows(DOC, len(key), key=key, **total)
+            if sums is not None:
+                yield _rows(DOC, len(sums), **{f: sums[f] for f in sums.dtype.names})
 
         def work():
-            nonlocal held
+            nonlocal sums
             columns = []
             for v, run, place, rare_word, rare_count, at, keys, train in packets:
                 word, count = np.empty(len(place), dtype=np.uint64), np.empty(len(place), dtype=np.int64)
@@ -339,8 +356,7 @@ def _score(table, model):
             out["score"] = np.bincount(at, weights=own, minlength=len(docs))
             for r in DISCOUNTS:
                 out[f"r{r}"] = np.bincount(at, weights=small[occ] == r, minlength=len(docs))
-            sums.append(out)
-            held += len(out)
+            sums = out if sums is None else _added(sums, out)
             if not hit.all():
                 # Occurrences that back off, one row for each document and context.
                 miss = np.flatnonzero(~hit)
@@ -358,9 +374,9 @@ def _score(table, model):
                     packets = []
                 part = shard
                 packets.append(_unpack(blob))
-                if held >= HELD_DOCS:
+                if sums is not None and len(sums) >= HELD_DOCS:
                     yield from docs_out()
-                    sums, held = [], 0
+                    sums = None
         if packets:
             yield from work()
         yield from docs_out()
