@@ -16,9 +16,8 @@ pairs that are left, of different components of a region, are those whose sizes
 distances to the region's pivots differ by no more than the triangle inequality allows; they
 are verified one by one, as are all links before.
 
-Rarity is the place of a shingle's count in a sketch of fixed size (4 MB, its bound), built
-from all shingles; any order gives the same links.  Shingles that only one document copies
-are told by a filter of fixed size (16 MB) before they are shuffled.  Texts are read three
+Rarity is the place of a shingle's count in a sketch of bounded size (16 MB), built; any order gives the same links.  Shingles that only one document copies
+are told by a filter of bounded size (32 MB) before they are shuffled.  Texts are read three
 times instead of keeping all sets: for the sketch, for the regions, and for the sets of
 documents that share a region.
 
@@ -42,8 +41,10 @@ from gridloom.llm.components import attach, components
 from gridloom.llm.words import MULTIPLIERS, hash_words, mixed
 
 WORDS, SIMILARITY = 5, 80
-SKETCH, SKETCH_PART = 1 << 22, 1 << 16
-PLACES, PLACE_PART = 1 << 27, 1 << 20
+#: Counters of the sketch: one for so many shingles, between the least and the most.
+SHINGLES_PER_COUNTER, LEAST_SKETCH, MOST_SKETCH, SKETCH_PART = 8, 1 << 16, 1 << 24, 1 << 16
+#: Places of the filters: so many for a key or node, between the least and the most.
+PLACES_PER_KEY, LEAST_PLACES, MOST_PLACES, PLACE_PART = 8, 1 << 20, 1 << 28, 1 << 20
 #: Pivots that regions of the same documents may name in one round, and rounds.
 PIVOTS, ROUNDS = 4, 2
 #: Texts that are cut into shingles at a time.
@@ -81,15 +82,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, TEXTS)
 
 
-def _sketch_counts(words: int):
+def _power_of_two(wanted: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(wanted - 1, 0).bit_length()))
+
+
+def _sketch_counts(words: int, sketch: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, dtype=np.int64)
+        seen = np.zeros(sketch, dtype=np.uint8)
         for batch in _slices(batches):
             own = np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_sets(batch.column(0), words)])
-            at, n = np.unique(own & np.uint64(SKETCH - 1), return_counts=True)
-            seen[at] += n
-        small = np.minimum(seen, 255).astype(np.uint8).reshape(-1, SKETCH_PART)
-        for part, counts in enumerate(small):
+            at, n = np.unique((own & np.uint64(sketch - 1)).astype(np.int64), return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, 255)
+        for part, counts in enumerate(seen.reshape(-1, SKETCH_PART)):
             if counts.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()])], names=["part", "counts"])
 
@@ -108,10 +112,12 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     """Levels (log2) of the counts of all shingles, by their place in the sketch."""
-    parts = texts.mapInArrow(_sketch_counts(words), "part int, counts binary")
-    sums = parts.repartition(min(16, SKETCH // SKETCH_PART), "part").mapInArrow(_sum_counts, "part int, counts binary")
-    levels = np.zeros(SKETCH, dtype=np.uint8)
-    for row in sums.collect():  # SKETCH bytes in all
+    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    sketch = _power_of_two(size // 6 // SHINGLES_PER_COUNTER, LEAST_SKETCH, MOST_SKETCH)
+    parts = texts.mapInArrow(_sketch_counts(words, sketch), "part int, counts binary")
+    sums = parts.repartition(min(64, sketch // SKETCH_PART), "part").mapInArrow(_sum_counts, "part int, counts binary")
+    levels = np.zeros(sketch, dtype=np.uint8)
+    for row in sums.toLocalIterator():  # MOST_SKETCH bytes in all
         levels[row.part * SKETCH_PART : (row.part + 1) * SKETCH_PART] = np.frombuffer(row.counts, dtype=np.uint8)
     return levels
 
@@ -139,7 +145,7 @@ def _regions(levels, words: int, similarity: int):
                 ones.append(one)
                 twos.append(two)
                 window = prefix_size(size, similarity) if size else 0
-                level = table[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
+                level = table[(own & np.uint64(len(table) - 1)).astype(np.int64)]
                 keys.append(own[np.argsort(level, kind="stable")[:window]])
                 ends.append(ends[-1] + window)
             flat = np.concatenate([np.zeros(0, dtype=np.uint64), *keys]).view(np.int64)
@@ -156,18 +162,19 @@ def _regions(levels, words: int, similarity: int):
     return regions
 
 
-def _hit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of a task's keys in the filter, by part; a place hit more often stands twice."""
-    for batch in batches:
-        at = batch.column(0).flatten().to_numpy().view(np.uint64) & np.uint64(PLACES - 1)
-        place, n = np.unique(at.astype(np.int64), return_counts=True)
-        place = np.sort(np.concatenate([place, place[n > 1]]))
-        cuts = np.searchsorted(place, np.arange(PLACES // PLACE_PART + 1) * PLACE_PART)
-        parts = [k for k in range(len(cuts) - 1) if cuts[k + 1] > cuts[k]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(parts, pa.int32()), pa.array([(place[cuts[k] : cuts[k + 1]] - k * PLACE_PART).astype(np.int32).tobytes() for k in parts], pa.binary())],
-            names=["part", "places"],
-        )
+def _hit_places(places: int):
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of a task's keys in the filter, by part; a place hit more often stands twice."""
+        for batch in batches:
+            at = batch.column(0).flatten().to_numpy().view(np.uint64) & np.uint64(places - 1)
+            place, n = np.unique(at.astype(np.int64), return_counts=True)
+            place = np.sort(np.concatenate([place, place[n > 1]]))
+            cuts = np.searchsorted(place, np.arange(places // PLACE_PART + 1) * PLACE_PART)
+            parts = [k for k in range(len(cuts) - 1) if cuts[k + 1] > cuts[k]]
+            own = [(place[cuts[k] : cuts[k + 1]] - k * PLACE_PART).astype(np.int32).tobytes() for k in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(own, pa.binary())], names=["part", "places"])
+
+    return hits
 
 
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +190,12 @@ def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_places(nodes: DataFrame) -> np.ndarray:
-    """Bits of the places that keys of two or more nodes hit: ``PLACES`` bits, whatever the data."""
-    hit = nodes.select("keys").mapInArrow(_hit_places, "part int, places binary")
+    """Bits of the places that keys of two or more nodes hit: at most ``MOST_PLACES``."""
+    keys = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+    places = _power_of_two(PLACES_PER_KEY * keys, LEAST_PLACES, MOST_PLACES)
+    hit = nodes.select("keys").mapInArrow(_hit_places(places), "part int, places binary")
     both = hit.repartition(64, "part").mapInArrow(_twice, "part int, places binary")
-    bits = np.zeros(PLACES // 8, dtype=np.uint8)
+    bits = np.zeros(places // 8, dtype=np.uint8)
     size = PLACE_PART // 8
     for row in both.toLocalIterator():
         bits[row.part * size : (row.part + 1) * size] = np.frombuffer(row.places, dtype=np.uint8)
@@ -200,7 +209,7 @@ def _shared_keys(bits):
             lists = batch.column("keys")
             flat = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            at = (flat.view(np.uint64) & np.uint64(PLACES - 1)).astype(np.int64)
+            at = (flat.view(np.uint64) & np.uint64(len(table) * 8 - 1)).astype(np.int64)
             hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             take = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays(
@@ -210,15 +219,19 @@ def _shared_keys(bits):
     return keys
 
 
-def _wanted_place(one: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+def _wanted_place(one: np.ndarray, doc_id: np.ndarray, places: int) -> np.ndarray:
     """Place in the filter of the document that stands for a node."""
-    return (mixed(one.view(np.uint64) ^ mixed(doc_id.view(np.uint64))) & np.uint64(PLACES - 1)).astype(np.int64)
+    return (mixed(one.view(np.uint64) ^ mixed(doc_id.view(np.uint64))) & np.uint64(places - 1)).astype(np.int64)
 
 
-def _wanted_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc_id = batch.column("doc_id").fill_null(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(_wanted_place(batch.column("one").to_numpy(), doc_id))], names=["place"])
+def _wanted_places(places: int):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_id = batch.column("doc_id").fill_null(0).to_numpy()
+            at = _wanted_place(batch.column("one").to_numpy(), doc_id, places)
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
+
+    return place
 
 
 def _wanted_sets(bits, words: int):
@@ -228,7 +241,7 @@ def _wanted_sets(bits, words: int):
             every = shingle_sets(batch.column("text"), words)
             doc_id = batch.column("doc_id").fill_null(0).to_numpy()
             one = np.array([_signs(own)[0] if len(own) else 0 for own in every], dtype=np.int64)
-            at = _wanted_place(one, doc_id)
+            at = _wanted_place(one, doc_id, len(table) * 8)
             hit = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             own = [every[k] for k in hit if len(every[k])]
             signs = [_signs(o) for o in own]
@@ -322,12 +335,13 @@ class Join:
         """Shingle sets ``(node, shingles)`` of some nodes, from the texts that stand for them."""
         spark = self.texts.sparkSession
         told = common.put(wanted.join(self.nodes.select("node", "one", "two", "doc_id"), "node"), "wanted")
-        place = told.select("one", "doc_id").mapInArrow(_wanted_places, "place bigint")
+        places = _power_of_two(PLACES_PER_KEY * 2 * told.count(), LEAST_PLACES, MOST_PLACES)
+        place = told.select("one", "doc_id").mapInArrow(_wanted_places(places), "place bigint")
         byte = place.groupBy(F.shiftright("place", 3).alias("at")).agg(
             F.bit_or(F.expr("shiftleft(1, cast(place & 7 AS int))")).alias("bits")
         )
         found = byte.toArrow()  # one row for each byte of the filter at most
-        bits = np.zeros(PLACES // 8, dtype=np.uint8)
+        bits = np.zeros(places // 8, dtype=np.uint8)
         bits[found["at"].to_numpy()] = found["bits"].to_numpy()
         sets = self.texts.mapInArrow(
             _wanted_sets(spark.sparkContext.broadcast(bits), self.words), "one bigint, two bigint, shingles binary"
@@ -338,8 +352,16 @@ class Join:
         )
 
     def pivot_round(self, regions: DataFrame, turn: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Name a pivot in each region and measure the distances to it."""
-        order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("h"), "node", "size")
+        """Name a pivot in each region and measure the distances to it.
+
+        At first it is the document that shares most with others, as the one does of which the
+        others are copies; after that, regions of the same documents name a few at random."""
+        if turn == 0:
+            most = regions.groupBy("node").agg((-F.sum("n")).alias("h"))
+            regions = regions.join(most, "node")
+            order = F.struct("h", "node", "size")
+        else:
+            order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("h"), "node", "size")
         pivots = common.put(
             regions.groupBy("key").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n")).select(
                 "key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), "n"
