@@ -50,8 +50,8 @@ from gridloom.llm.words import hash_words
 LAST_DISCOUNTED = 5
 FREQUENT = 1 << 17
 HOT, HOT_LEAST = 500, 50_000
-SUBS = 16
-SHARDS, SHARD_TOKENS = 12, 12 << 20
+SUBS = 12
+SHARDS, SHARD_TOKENS = 24, 6 << 20
 #: Texts of a packet; Arrow batches may end it sooner.
 PACKET_TEXTS = 5000
 HELD_DOCS = 400_000
