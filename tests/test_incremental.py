@@ -12,7 +12,7 @@ from test_sampling import brute_sample
 from gridloom.model import CPModel, make_model
 from gridloom.operators import aggregates
 from gridloom.plans import cp, matching
-from gridloom.plans.incremental import append_slice, incremental_step, sample_sizes, start_state
+from gridloom.plans.incremental import append_slice, incremental_step, sample_sizes, start_state, step_seed
 from gridloom.plans.materialize import stage
 from gridloom.sources import random_factors, slice_window
 from gridloom.tensor import TensorFrame
@@ -105,7 +105,7 @@ def numpy_step(spark, x, new, factors, mode, reps, seed, max_iter, tol, sequenti
         at = []
         for m in range(x.ndim):
             w = (np.moveaxis(x, m, 0) ** 2).reshape(x.shape[m], -1).sum(1)
-            at.append(brute_sample(w, seed, rep, m, sizes[m]))
+            at.append(brute_sample(w, step_seed(seed, x.shape[mode]), rep, m, sizes[m]))
         new_at = at[:mode] + [range(batch)] + at[mode + 1 :]
         sample = np.concatenate([x[np.ix_(*at)], new[np.ix_(*new_at)]], axis=mode)
         fit, _, _ = numpy_als(sample, starting_factors(spark, sample.shape, rank), max_iter, tol)
@@ -198,3 +198,15 @@ def test_model_table_round_trip(spark, tmp_path):
     assert again.shape == shape and again.stored and again.unique
     want = full([factor(f, n, 2) for f, n in zip(model.factors, shape, strict=True)], model.lam)
     assert np.allclose(dense(again), want)
+
+
+def test_every_step_draws_anew_and_a_repeat_draws_the_same(spark, tensor):
+    from gridloom.operators.sampling import sample_modes
+
+    t = tensor(np.random.default_rng(8).random((20, 15, 12)) + 0.5)
+    state = start_state(t, make_model(random_factors(spark, t.shape, 2, seed=1), t.shape, 2))
+    drawn = [
+        {tuple(r) for r in sample_modes(state.weights, (10, 7, 6), t.shape, step_seed(0, n), 1).collect()}
+        for n in (12, 13, 12)
+    ]
+    assert drawn[0] == drawn[2] != drawn[1]
