@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on over a tenth of their source's documents."""
+    """Documents without the lines that stand on over a hundredth (short ones: a tenth) of their source's documents."""
     return _recounted(line_dedup.dedup_document_lines(docs))
 
 

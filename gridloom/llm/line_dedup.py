@@ -12,6 +12,11 @@ Only DataFrame expressions; every occurrence of a boilerplate line goes, other l
 their order.  Defined cases: a null site is the site ''; a null text has no lines and gives an
 empty text; blank lines are kept and never counted; repeated rows are pages of their own; an
 empty table gives an empty table; other columns pass through, whatever their names.
+
+Documents of a source have a ratio of their own, ``DOC_RATIO``: pages of a site come from one
+template, so its lines stand on most of them, while a source gathers many origins, each of
+which may be a few hundredths of it.  Lines under ``SHORT_WORDS`` words, which prose repeats by
+chance, still need ``RATIO``.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ from gridloom.plans.joins import salted_join
 
 RATIO = 0.1
 LEAST_PAGES = 3
+#: For lines of documents: an origin that gives one document in a hundred of its source.
+DOC_RATIO = 0.01
+#: Lines of fewer words are common by chance and need the ratio of pages.
+SHORT_WORDS = 5
 
 #: Bytes of a line's hash in a site's array.
 LINE_BYTES = 24
@@ -56,15 +65,24 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float, least: int) -> DataFrame:
-    """``(site, drops, pages)``: hashes of each site's boilerplate lines; sites without any are left out."""
+def boilerplate(
+    pages: DataFrame, site: Column, lines: Column, ratio: float, least: int, short_ratio: float | None = None
+) -> DataFrame:
+    """``(site, drops, pages)``: hashes of each site's boilerplate lines; sites without any are left out.
+
+    With ``short_ratio`` lines under ``SHORT_WORDS`` words must stand on more than that share."""
     told = pages.select(site.alias("site"), lines.alias("lines"))
-    marks = F.array_distinct(F.transform(F.filter("lines", lambda line: F.trim(line) != ""), _mark))
-    counts = told.select("site", F.explode(marks).alias("mark")).groupBy("site", "mark.a", "mark.b").agg(
+    needs = lambda line: F.lit(ratio)
+    if short_ratio is not None and short_ratio != ratio:
+        words = lambda line: F.regexp_count(line, F.lit(common.WORD))
+        needs = lambda line: F.when(words(line) < SHORT_WORDS, F.lit(short_ratio)).otherwise(F.lit(ratio))
+    mark = lambda line: _mark(line).withField("needs", needs(line))
+    marks = F.array_distinct(F.transform(F.filter("lines", lambda line: F.trim(line) != ""), mark))
+    counts = told.select("site", F.explode(marks).alias("mark")).groupBy("site", "mark.a", "mark.b", "mark.needs").agg(
         F.count(F.lit(1)).alias("n")
     )
     totals = pages.select(site.alias("site")).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    often = counts.where(F.col("n") >= least).join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(ratio))
+    often = counts.where(F.col("n") >= least).join(totals, "site").where(F.col("n") > F.col("pages") * F.col("needs"))
     return often.groupBy("site", "pages").agg(F.collect_list(F.struct("a", "b")).alias("drops"))
 
 
@@ -76,12 +94,13 @@ def line_dedup(
     least: int = LEAST_PAGES,
     out: str = "text",
     counts: bool = False,
+    short_ratio: float | None = None,
 ) -> DataFrame:
     """All rows and columns of ``pages``; column ``out`` holds (or is replaced by) the lines that
     stay.  ``counts`` adds ``n_lines`` and ``n_dropped``."""
     spark = pages.sparkSession
     site = F.coalesce(site, F.lit(""))
-    drops = common.put(boilerplate(pages, site, lines, ratio, least), "boilerplate")
+    drops = common.put(boilerplate(pages, site, lines, ratio, least, short_ratio), "boilerplate")
     held = drops.agg(F.coalesce(F.sum(F.size("drops")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("sites")).first()
     held_bytes = held["n"] * LINE_BYTES + held["sites"] * 64
     table = drops.select(F.col("site").alias("_site"), "drops", "pages")
@@ -106,7 +125,7 @@ def line_dedup(
     return kept.select(*columns, F.array_join("_stay", "\n").alias(out), *(extra if counts else []))
 
 
-def dedup_document_lines(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def dedup_document_lines(docs: DataFrame, ratio: float = DOC_RATIO, least: int = LEAST_PAGES) -> DataFrame:
     """Documents with their columns as they were, sources taken as sites, boilerplate lines gone."""
-    text = line_dedup(docs, F.col("source"), text_lines(F.col("text")), ratio, least)
+    text = line_dedup(docs, F.col("source"), text_lines(F.col("text")), ratio, least, short_ratio=max(ratio, RATIO))
     return text.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -94,6 +94,14 @@ def test_lines_above_the_ratio_go(docs, monkeypatch, small):
         assert by[i] == f"body {i}\n\nrare {i // 20}"
 
 
+def test_lines_of_a_part_of_a_source_go_and_chance_lines_stay(docs):
+    notice, pair = "all rights of this text are reserved", "a line that only two documents have"
+    rows = [(i, f"body {i}\n{notice if i % 20 == 0 else ''}\n{'Yes it is.' if i % 20 == 1 else ''}", "s") for i in range(200)]
+    rows += [(900 + i, f"{pair}\nmenu", "t") for i in range(2)] + [(910 + i, f"own {i}\nmenu", "t") for i in range(8)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_document_lines(docs(rows)).collect()}
+    for i in range(200):
+        assert got[i] == (f"body {i}\n" if i % 20 == 0 else rows[i][1])
+    assert got[900] == pair and got[910] == "own 0"
 
 
 def test_chats_read_back(spark):
