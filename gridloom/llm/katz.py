@@ -1,25 +1,28 @@
 """Katz backoff language model over words.
 
-Words and text ends are counted (order 1), then words after words (order 2; a text begins after
-an end).  Counts up to five are discounted by Good-Turing; what the discounts free, and one more
-event for what was never seen, is the mass of the lower order:
-
-    p(w | v) = d(c) c(v, w) / (c(v) + 1)                 if v w was seen in training,
-             = a(v) p(w)                                 else
-    p(w)     = d(c) c(w) / (N + 1)                       if w was seen,
-             = the mass left over, for the one unknown word, else
-
-where a(v) is what p(. | v) leaves over, divided by the p(w) of the words never seen after v.
-Both orders sum to 1 exactly over the V words and the unknown one.
-
-One shuffle serves counting and scoring: every occurrence of a pair goes, with its document, to
-the shard of its context, packed by the thousand.  A shard has all there is about its contexts:
-it counts the pairs, finds a(v), and returns sums per document.  The count of a pair's second
-word comes along: frequent words (a table of at most ``FREQUENT`` entries is broadcast) have it
-at once, other occurrences pass through the shard of that word in the table of words first.
-Contexts with more than one part in ``HOT`` of the tokens are dealt out by pair, and what their
-shards know about them is summed.  Discounts need the counts of counts of all shards: a shard
-returns how many counts of each size a document met, and the discounts are put in at the end.
+Words and text ends are counted (order 1), then words after words (order 2) and after pairs
+(order 3, if asked for); a text begins after ends.  Counts up to five are discounted by
+Good-Turing; what the discounts free, and one more event for what was never seen, is the mass
+of the lower order:
+
+    p(w | h v) = d(c) c(h v, w) / (c(h v) + 1)           if h v w was seen in training,
+               = a(h v) p(w | v)                         else
+    p(w)       = d(c) c(w) / (N + 1)                     if w was seen,
+               = the mass left over, for the one unknown word, else
+
+where a(h) is what p(. | h) leaves over, divided by the lower order's p of the words never seen
+after h.  Every order sums to 1 exactly over the V words and the unknown one.
+
+``fit`` stores tables of counts in partitions, and ``score`` joins any texts with them.  Pairs
+and triples are summed by the packet where they are read, then by the shard of the last word of
+their context: a shard holds the pairs (v, w) and all triples (u, v, w) over them, so scoring
+goes from the triple to the pair without another shuffle.  The count of the last word comes
+along: frequent words (a table of at most ``FREQUENT`` entries is broadcast) have it at once,
+others pass through the shard of that word in the table of words first.  Contexts that end in a
+word with more than one part in ``HOT`` of the tokens are dealt out by the word that follows;
+what their shards know about them is summed into a table, which the documents' occurrences in
+such contexts, counted by document and context, are joined with at the end.  Pairs and triples
+are told by hashes of 64 bits within their shard, contexts by hashes of 64 bits.
 
 Sums per document leave a task whenever it holds ``HELD_DOCS`` of them, shards are worked on in
 ``SUBS`` parts, so memory is bounded whatever the input.
@@ -34,18 +37,19 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
 from gridloom.llm.components import attach
-from gridloom.llm.words import hash_words
+from gridloom.llm.words import hash_words, mixed
 
 LAST_DISCOUNTED = 5
 FREQUENT = 1 << 17
@@ -58,7 +62,8 @@ HELD_DOCS = 400_000
 #: Occurrences of rare words that go on at once.
 HELD_PAIRS = 1 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))
-DISCOUNTS = range(1, LAST_DISCOUNTED + 1)
+#: Order of the model of the query.
+ORDER = 3
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -81,7 +86,7 @@ def _spread(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], only_training: bool = False):
-    """Tokens of many texts at once: (words, contexts, place of the text, keys, training flags)."""
+    """Tokens of many texts at once: (words, words before, words before those, place of the text, keys)."""
     for batch in batches:
         if only_training:
             batch = batch.filter(pc.invert(batch.column("held_out")))
@@ -91,8 +96,10 @@ def _slices(batches: Iterator[pa.RecordBatch], only_training: bool = False):
             # Every text's words, then its end.
             flat = np.insert(found, np.cumsum(counts), END)
             before = np.concatenate([[END], flat[:-1]])  # what stands before a text is another's end
+            earlier = np.concatenate([[END], before[:-1]])
+            earlier[np.cumsum(counts + 1) - (counts + 1)] = END  # not the last word of the text before
             doc = np.repeat(np.arange(len(part)), counts + 1)
-            yield flat, before, doc, part.column("key").to_numpy(), ~part.column("held_out").to_numpy(zero_copy_only=False)
+            yield flat, before, earlier, doc, part.column("key").to_numpy()
 
 
 def _word_packets(shards: int):
@@ -185,15 +192,30 @@ class Frequent:
         return np.isin(word, self.hot)
 
 
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context and the word after it."""
+    return mixed((context * np.uint64(0xC2B2AE3D27D4EB4F)) ^ word)
+
+
+def _find(ordered: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each, -1 if it is not there."""
+    if not len(ordered):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(ordered, wanted)
+    at[at == len(ordered)] = 0
+    return np.where(ordered[at] == wanted, at, -1)
+
+
 def _shard_of(context, word, frequent: Frequent, parts: int) -> np.ndarray:
-    return _spread(np.where(frequent.is_hot(context), context ^ (word * np.uint64(0xC2B2AE3D27D4EB4F)), context), parts)
+    return _spread(np.where(frequent.is_hot(context), _gram(context, word), context), parts)
 
 
-def _emit(shard, context, word, count, doc, keys, train) -> pa.RecordBatch:
+def _emit(frequent: Frequent, shard, context, word, count, earlier, times, doc, keys) -> pa.RecordBatch:
     """One packet for each shard that has occurrences, ordered by context."""
     order = np.lexsort((context, shard))
     shard = shard[order]
     starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    where = (frequent.find(earlier) + 1).astype(np.uint32)
     blobs = []
     for begin, end in zip(starts, np.append(starts[1:], len(shard)), strict=True):
         own = order[begin:end]
@@ -202,33 +224,65 @@ def _emit(shard, context, word, count, doc, keys, train) -> pa.RecordBatch:
         rare = count[own] >= 0
         place = np.where(rare, 0, -count[own]).astype(np.uint32)  # place in the table of frequent words, from 1
         blobs.append(
-            _pack(v, run.astype(np.uint32), place, word[own][rare], count[own][rare].astype(np.uint32),
-                  at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32), keys[docs], train[docs])
+            _pack(v, run.astype(np.uint32), place, word[own][rare], count[own][rare].astype(np.uint32), where[own], earlier[own][where[own] == 0],
+                  times[own].astype(np.uint32), at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32), keys[docs])
         )
     return pa.RecordBatch.from_arrays([pa.array(shard[starts], pa.int32()), pa.array(blobs)], names=["shard", "blob"])
 
 
-def _frequent_pairs(table, parts: int):
+def _read(blob: bytes, frequent: Frequent) -> tuple:
+    """(context, word, count, earlier word, times, place of the document, keys) of a packet."""
+    v, run, place, rare_word, rare_count, where, rare_earlier, times, at, keys = _unpack(blob)
+    word, count = np.empty(len(place), dtype=np.uint64), np.empty(len(place), dtype=np.int64)
+    rare = place == 0
+    word[rare], count[rare] = rare_word, rare_count
+    word[~rare], count[~rare] = frequent.word[place[~rare] - 1], frequent.n[place[~rare] - 1]
+    earlier = np.empty(len(where), dtype=np.uint64)
+    earlier[where == 0], earlier[where > 0] = rare_earlier, frequent.word[where[where > 0] - 1]
+    return np.repeat(v, run), word, count, earlier, times.astype(np.int64), at.astype(np.int64), keys
+
+
+def _joined(packets: list[tuple]) -> tuple:
+    """Packets as one, documents one after another."""
+    context, word, count, earlier, times, doc, keys = (np.concatenate(c) for c in zip(*packets, strict=True))
+    shift = np.cumsum([0] + [len(p[6]) for p in packets[:-1]])
+    return context, word, count, earlier, times, doc + np.repeat(shift, [len(p[0]) for p in packets]), keys
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], order: int, counting: bool):
+    """(words, contexts, earlier words, times, documents, keys): all, or training types with their counts."""
+    for flat, before, earlier, doc, keys in _slices(batches, only_training=counting):
+        if order == 2:
+            earlier = np.zeros(len(flat), dtype=np.uint64)
+        if not counting:
+            yield flat, before, earlier, np.ones(len(flat), dtype=np.int64), doc, keys
+            continue
+        _, first, times = np.unique(_gram(_gram(earlier, before), flat), return_index=True, return_counts=True)
+        yield flat[first], before[first], earlier[first], times, np.zeros(len(first), dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+
+def _frequent_grams(table, parts: int, order: int, counting: bool):
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = table.value
-        for flat, before, doc, keys, train in _slices(batches):
+        for flat, before, earlier, times, doc, keys in _occurrences(batches, order, counting):
             at = frequent.find(flat)
             own = np.flatnonzero(at >= 0)
             if len(own):
                 shard = _shard_of(before[own], flat[own], frequent, parts)
-                yield _emit(shard, before[own], flat[own], -(at[own] + 1), doc[own], keys, train)
+                yield _emit(frequent, shard, before[own], flat[own], -(at[own] + 1), earlier[own], times[own], doc[own], keys)
 
     return packets
 
 
-def _rare_pairs(table, shards: int):
+def _rare_grams(table, parts: int, order: int, counting: bool):
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = table.value
-        for flat, before, doc, keys, train in _slices(batches):
+        for flat, before, earlier, times, doc, keys in _occurrences(batches, order, counting):
             own = np.flatnonzero(frequent.find(flat) < 0)
             # Ordered by the word itself here: it takes the place of the context.
             if len(own):
-                yield _emit(_spread(flat[own], shards), flat[own], before[own], np.zeros(len(own), dtype=np.int64), doc[own], keys, train)
+                none = np.zeros(len(own), dtype=np.int64)
+                yield _emit(frequent, _spread(flat[own], parts), flat[own], before[own], none, earlier[own], times[own], doc[own], keys)
 
     return packets
 
@@ -241,11 +295,8 @@ def _count_rare(table, parts: int):
         held: list[tuple] = []
 
         def onward() -> Iterator[pa.RecordBatch]:
-            context, word, count, doc, keys, train = (np.concatenate(c) for c in zip(*held, strict=True))
-            # Documents of the packets one after another.
-            shift = np.cumsum([0] + [len(h[4]) for h in held[:-1]])
-            doc = doc + np.repeat(shift, [len(h[3]) for h in held])
-            yield _emit(_shard_of(context, word, frequent, parts), context, word, count, doc, keys, train)
+            context, word, count, earlier, times, doc, keys = _joined(held)
+            yield _emit(frequent, _shard_of(context, word, frequent, parts), context, word, count, earlier, times, doc, keys)
 
         size = 0
         for batch in batches:
@@ -254,11 +305,10 @@ def _count_rare(table, parts: int):
                     words = {shard: _unpack(blob)}
                     continue
                 known, n = words.get(shard, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
-                v, run, _, context, _, at, keys, train = _unpack(blob)
-                place = np.searchsorted(known, v)
-                place[place == len(known)] = 0
-                count = np.where(known[place] == v, n[place], 0) if len(known) else np.zeros(len(v), dtype=np.int64)
-                held.append((context, np.repeat(v, run), np.repeat(count, run), at.astype(np.int64), keys, train))
+                word, context, _, earlier, times, at, keys = _read(blob, frequent)
+                place = _find(known, word)
+                count = np.where(place >= 0, n[place], 0) if len(known) else np.zeros(len(word), dtype=np.int64)
+                held.append((context, word, count, earlier, times, at, keys))
                 size += len(context)
                 if size >= HELD_PAIRS:
                     yield from onward()
@@ -269,27 +319,125 @@ def _count_rare(table, parts: int):
     return attach_counts
 
 
-FOUND = (
-    "kind int, key bigint, n double, known double, base double, score double,"
-    " r1 double, r2 double, r3 double, r4 double, r5 double, r6 double, rest double, mass double, hot boolean"
-)
-FIELDS = [f.split()[0] for f in FOUND.split(", ")]
-DOC, OPEN, CONTEXT, SIZES = range(4)
+def _sum_grams(table, order: int):
+    """The tables of pairs and triples: one row per shard."""
+
+    def summed(packets: list[tuple]) -> tuple:
+        context, word, count, earlier, times, *_ = (np.concatenate(c) for c in zip(*packets, strict=True))
+        _, first, at = np.unique(_gram(_gram(earlier, context), word), return_index=True, return_inverse=True)
+        n = np.bincount(at, weights=times).astype(np.int64)
+        return context[first], word[first], count[first], earlier[first], n
+
+    def row(shard: int, packets: list[tuple]) -> pa.RecordBatch:
+        context, word, count, earlier, n3 = summed(packets)
+        _, first, pair = np.unique(_gram(context, word), return_index=True, return_inverse=True)
+        n2 = np.bincount(pair, weights=n3).astype(np.int64)
+        by = np.argsort(pair, kind="stable")
+        triples = (np.bincount(pair).astype(np.uint32), earlier[by], n3[by].astype(np.uint32)) if order == 3 else ()
+        blob = _pack(context[first], word[first], count[first].astype(np.uint32), n2.astype(np.uint32), *triples)
+        sizes = [np.bincount(n[n <= LAST_DISCOUNTED + 1], minlength=LAST_DISCOUNTED + 2).tolist() for n in (n2, n3)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), *[pa.array([x], pa.list_(pa.int64())) for x in sizes]],
+            names=["shard", "blob", "sizes2", "sizes3"],
+        )
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, part, packets, size, last = table.value, None, [], 0, 0
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if shard != part and packets:
+                    yield row(part, packets)
+                    packets, size, last = [], 0, 0
+                part = shard
+                packets.append(_read(blob, frequent)[:5])
+                size += len(packets[-1][0])
+                if size >= HELD_PAIRS + 2 * last:
+                    packets = [summed(packets)]
+                    size = last = len(packets[0][0])
+        if packets:
+            yield row(part, packets)
+
+    return grams
+
+
+class Part:
+    """What one part of the stored tables says of its pairs, triples and contexts."""
+
+    def __init__(self, blob: bytes | None, frequent: Frequent, words: Words, d: list[np.ndarray]):
+        empty = [np.zeros(0, dtype=t) for t in ("u8", "u8", "u4", "u4", "u4", "u8", "u4")]
+        v, w, n1, n2, *triples = _unpack(blob) if blob is not None else empty
+        n2 = n2.astype(np.int64)
+        kept, self.contexts = d[0][np.minimum(n2, LAST_DISCOUNTED + 1)] * n2, []
+        own, at = np.unique(v, return_inverse=True)
+        hot = frequent.is_hot(own)
+        total = np.bincount(at, weights=n2, minlength=len(own))
+        whole = total.copy()
+        whole[hot] = frequent.n[frequent.find(own[hot])]
+        p = kept / (whole[at] + 1)
+        self.contexts.append(self._context(own, hot, at, total, kept, words.p(n1.astype(np.int64))))
+        self.pairs, self.log2 = self._ordered(_gram(v, w), np.log10(p))
+        if not triples:
+            return
+        runs, u, n3 = triples
+        pair, n3 = np.repeat(np.arange(len(v)), runs), n3.astype(np.int64)
+        kept = d[1][np.minimum(n3, LAST_DISCOUNTED + 1)] * n3
+        context = _gram(u, v[pair])
+        own, first, at = np.unique(context, return_index=True, return_inverse=True)
+        hot = frequent.is_hot(v[pair][first])
+        total = np.bincount(at, weights=n3, minlength=len(own))
+        self.contexts.append(self._context(own, hot, at, total, kept, p[pair]))
+        # In contexts that are spread, the total comes later.
+        self.triples, self.log3 = self._ordered(_gram(context, w[pair]), np.log10(kept) - np.where(hot, 0, np.log10(total + 1))[at])
+
+    @staticmethod
+    def _ordered(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        return key[order], value[order]
+
+    @staticmethod
+    def _context(own, hot, at, total, kept, lower) -> dict[str, np.ndarray]:
+        held, mass = (np.bincount(at, weights=x, minlength=len(own)) for x in (kept, lower))
+        back = np.zeros(len(own))
+        done = ~hot
+        back[done] = np.log10((1 - held[done] / (total[done] + 1)) / (1 - mass[done]))
+        return {"key": own, "hot": hot, "total": total, "held": held, "mass": mass, "back": back}
+
+    def back(self, order: int, context: np.ndarray) -> np.ndarray:
+        """Logarithms of a(context); 0 for contexts never seen."""
+        table = self.contexts[order - 2]
+        at = _find(table["key"], context)
+        return np.where(at >= 0, table["back"][at], 0.0) if len(table["key"]) else np.zeros(len(context))
+
+
+def _spread_contexts(table, model):
+    """What each shard knows of contexts that are dealt out."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                for context in Part(blob, table.value, *model.value).contexts:
+                    own = context["hot"]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(context["key"][own].view(np.int64)), *[pa.array(context[c][own].astype(float)) for c in ("total", "held", "mass")]],
+                        names=["context", "total", "held", "mass"],
+                    )
+
+    return sums
 
 
-def _rows(kind: int, length: int, **columns) -> pa.RecordBatch:
-    """Rows of one kind; columns that are not given are 0."""
+FOUND = "key bigint, context bigint, n double, known double, base double, score double, hits double, misses double"
+SUMMED = ("n", "known", "base", "score")
+
+
+def _rows(length: int, **columns) -> pa.RecordBatch:
+    """Rows of documents, or of documents and spread contexts; a document's own row has no context."""
     filled = []
-    for field in FIELDS:
-        if field == "kind":
-            filled.append(pa.array(np.full(length, kind, dtype=np.int32)))
-        elif field == "key":
-            filled.append(pa.array(columns.get("key", np.zeros(length, dtype=np.int64))))
-        elif field == "hot":
-            filled.append(pa.array(columns.get("hot", np.zeros(length, dtype=bool))))
+    for field in (f.split()[0] for f in FOUND.split(", ")):
+        if field in ("key", "context"):
+            filled.append(pa.array(columns[field]) if field in columns else pa.nulls(length, pa.int64()))
         else:
             filled.append(pa.array(np.asarray(columns.get(field, np.zeros(length)), dtype=np.float64)))
-    return pa.RecordBatch.from_arrays(filled, names=FIELDS)
+    return pa.RecordBatch.from_arrays(filled, names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def _added(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -303,77 +451,60 @@ def _added(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(table, model):
+def _score(table, model, order: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, words = table.value, model.value
+        frequent, (words, d) = table.value, model.value
         sums: np.ndarray | None = None
-        part, packets = None, []
+        shard_now, part, packets, size = None, None, [], 0
 
         def docs_out():
             if sums is not None:
-                yield _rows(DOC, len(sums), **{f: sums[f] for f in sums.dtype.names})
+                yield _rows(len(sums), **{f: sums[f] for f in sums.dtype.names})
 
         def work():
             nonlocal sums
-            columns = []
-            for v, run, place, rare_word, rare_count, at, keys, train in packets:
-                word, count = np.empty(len(place), dtype=np.uint64), np.empty(len(place), dtype=np.int64)
-                rare = place == 0
-                word[rare], count[rare] = rare_word, rare_count
-                word[~rare], count[~rare] = frequent.word[place[~rare] - 1], frequent.n[place[~rare] - 1]
-                columns.append((np.repeat(v, run), word, count, keys[at], train[at]))
-            context, word, count, key, train = (np.concatenate(c) for c in zip(*columns, strict=True))
-            contexts, ctx = np.unique(context, return_inverse=True)
-            _, wid = np.unique(word, return_inverse=True)
-            pair = ctx.astype(np.int64) << 32 | wid
-            types, first, occ = np.unique(pair, return_index=True, return_inverse=True)
-            seen = np.bincount(occ, weights=train, minlength=len(types)).astype(np.int64)
-            owner = (types >> 32).astype(np.int64)
-            hot = frequent.is_hot(contexts)
-            total = np.bincount(owner, weights=seen, minlength=len(contexts))
-            total[hot] = frequent.n[frequent.find(contexts[hot])] if hot.any() else 0
-            p_word = words.p(count)
-            known = seen > 0
-            small = np.minimum(seen, LAST_DISCOUNTED + 1)
-            stats = {f"r{r}": np.bincount(owner[seen == r], minlength=len(contexts)) for r in DISCOUNTS}
-            over = seen > LAST_DISCOUNTED
-            rest = np.bincount(owner[over], weights=seen[over], minlength=len(contexts))
-            mass = np.bincount(owner[known], weights=p_word[first][known], minlength=len(contexts))
-            yield _rows(SIZES, 1, **{f"r{r}": [np.count_nonzero(seen == r)] for r in range(1, LAST_DISCOUNTED + 2)})
-            if hot.any():
-                yield _rows(CONTEXT, int(hot.sum()), key=contexts[hot].view(np.int64), n=total[hot], rest=rest[hot], mass=mass[hot],
-                            hot=np.ones(int(hot.sum()), dtype=bool), **{k: s[hot] for k, s in stats.items()})
-            hit = known[occ]
-            # Seen pairs but for their discount, unseen ones but for a(v).
-            with np.errstate(divide="ignore"):
-                own = np.where(hit, np.log10(seen[occ]) - np.log10(total[ctx] + 1), np.log10(p_word))
-            docs, at = np.unique(key, return_inverse=True)
-            out = np.zeros(len(docs), dtype=[("key", "i8"), *[(f, "f8") for f in ("n", "known", "base", "score", "r1", "r2", "r3", "r4", "r5")]])
+            v, w, count, u, _, doc, keys = _joined(packets)
+            hot = frequent.is_hot(v)
+            pair = _find(part.pairs, _gram(v, w))
+            log = np.log10(words.p(count)) + part.back(2, v)
+            if len(part.pairs):
+                log = np.where(pair >= 0, part.log2[pair], log)
+            seen = {"context": [v[hot & (pair < 0)]], "doc": [doc[hot & (pair < 0)]], "hit": []}
+            if order == 3:
+                context = _gram(u, v)
+                triple = _find(part.triples, _gram(context, w)) if len(part.pairs) else np.full(len(v), -1)
+                hit = triple >= 0
+                log = log + part.back(3, context)
+                if len(part.pairs):
+                    log = np.where(hit, part.log3[triple], log)
+                seen["context"].append(context[hot])
+                seen["doc"].append(doc[hot])
+                seen["hit"] = [np.zeros(len(seen["doc"][0]), dtype=bool), hit[hot]]
+            docs, at = np.unique(keys[doc], return_inverse=True)
+            out = np.zeros(len(docs), dtype=[("key", "i8"), *[(f, "f8") for f in SUMMED]])
             out["key"] = docs
-            out["n"] = np.bincount(at, minlength=len(docs))
-            out["known"] = np.bincount(at, weights=count > 0, minlength=len(docs))
-            out["base"] = np.bincount(at, weights=words.base(count), minlength=len(docs))
-            out["score"] = np.bincount(at, weights=own, minlength=len(docs))
-            for r in DISCOUNTS:
-                out[f"r{r}"] = np.bincount(at, weights=small[occ] == r, minlength=len(docs))
+            for field, each in zip(SUMMED, (None, count > 0, words.base(count), log), strict=True):
+                out[field] = np.bincount(at, weights=each, minlength=len(docs))
             sums = out if sums is None else _added(sums, out)
-            if not hit.all():
-                # Occurrences that back off, one row for each document and context.
-                miss = np.flatnonzero(~hit)
-                open_pair, times = np.unique(at[miss].astype(np.int64) << 32 | ctx[miss], return_counts=True)
-                c = (open_pair & 0xFFFFFFFF).astype(np.int64)
-                # n: times, base: c(v); a hot context's own row comes later: known is its place among the hot.
-                place = np.searchsorted(np.sort(frequent.hot), contexts[c]) if len(frequent.hot) else np.zeros(len(c))
-                yield _rows(OPEN, len(c), key=docs[(open_pair >> 32).astype(np.int64)], n=times, base=total[c], rest=rest[c], mass=mass[c],
-                            known=place, hot=hot[c], **{k: s[c] for k, s in stats.items()})
+            context, of = np.concatenate(seen["context"]), keys[np.concatenate(seen["doc"])]
+            hits = np.concatenate(seen["hit"]) if seen["hit"] else np.zeros(len(context), dtype=bool)
+            if len(context):
+                # One row for each document and context.
+                contexts, c = np.unique(context, return_inverse=True)
+                own, k = np.unique(np.searchsorted(docs, of) << 32 | c, return_inverse=True)
+                yield _rows(len(own), key=docs[own >> 32], context=contexts[own & 0xFFFFFFFF].view(np.int64),
+                            hits=np.bincount(k, weights=hits), misses=np.bincount(k, weights=~hits))
 
         for batch in batches:
-            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if shard != part and packets:
+            for shard, blob, is_table in zip(*(batch.column(c).to_pylist() for c in ("shard", "blob", "is_table")), strict=True):
+                if packets and (shard != shard_now or size >= HELD_PAIRS // 4):
                     yield from work()
-                    packets = []
-                part = shard
-                packets.append(_unpack(blob))
+                    packets, size = [], 0
+                if shard != shard_now:
+                    shard_now, part = shard, Part(blob if is_table else None, frequent, words, d)
+                if not is_table:
+                    packets.append(_read(blob, frequent))
+                    size += len(packets[-1][0])
                 if sums is not None and len(sums) >= HELD_DOCS:
                     yield from docs_out()
                     sums = None
@@ -384,20 +515,52 @@ def _score(table, model):
     return score
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
+PACKET = "shard int, blob binary"
 
-    The model learns from the rows whose crc32 of the id, as text, is not divisible by ``folds``.
-    """
+
+@dataclass
+class Model:
+    """A fitted model: ``words``, ``grams`` and ``spread`` are stored tables, the rest is small."""
+
+    order: int
+    shards: int
+    tokens: int
+    words: DataFrame
+    grams: DataFrame
+    spread: DataFrame
+    frequent: object
+    small: object
+
+
+def _out_fold(id_col: str, folds: int) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0)) == 0
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
+    key = F.xxhash64(id_col, common.text_or_empty(text_col))
+    return docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"), _out_fold(id_col, folds).alias("held_out"))
+
+
+def _to_contexts(texts: DataFrame, vocabulary: DataFrame, table, shards: int, order: int, counting: bool) -> DataFrame:
+    """Packets of occurrences, or of training types, for the shards of their contexts."""
+    parts = shards * SUBS
+    rare = texts.mapInArrow(_rare_grams(table, parts, order, counting), PACKET).withColumn("is_table", F.lit(False))
+    entries = vocabulary.select("shard", F.col("words").alias("blob"), F.lit(True).alias("is_table"))
+    met = rare.unionByName(entries).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("is_table"))
+    often = texts.mapInArrow(_frequent_grams(table, parts, order, counting), PACKET)
+    return often.unionByName(met.mapInArrow(_count_rare(table, parts), PACKET))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER) -> Model:
+    """Learn from the rows whose crc32 of the id, as text, is not divisible by ``folds``."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     spark = docs.sparkSession
     common.ship(spark)
-    out_fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0)) == 0
-    key = F.xxhash64(id_col, common.text_or_empty(text_col))
-    texts = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"), out_fold.alias("held_out"))
+    texts = _texts(docs, id_col, text_col, folds)
     size = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars")).first()["chars"]
     shards = max(SHARDS, -(-size // 6 // SHARD_TOKENS))
-    parts = shards * SUBS
-    packets = texts.mapInArrow(_word_packets(parts), "shard int, blob binary").repartition(shards, "shard")
+    packets = texts.mapInArrow(_word_packets(shards * SUBS), PACKET).repartition(shards, "shard")
     vocabulary = common.put(
         packets.mapInArrow(_add_words, "shard int, words binary, types bigint, tokens bigint, sizes array<bigint>, bits array<bigint>"), "words"
     )
@@ -409,16 +572,34 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = int(np.flatnonzero(above <= FREQUENT)[0]) if (above > FREQUENT).any() else 0
     frequent = _frequent_words(vocabulary, 1 << max(least - 1, 0), tokens)
     table = spark.sparkContext.broadcast(frequent)
-    model = spark.sparkContext.broadcast(Words(types, tokens, sizes))
 
-    packet = "shard int, blob binary"
-    rare = texts.mapInArrow(_rare_pairs(table, parts), packet).withColumn("is_table", F.lit(False))
-    entries = vocabulary.select("shard", F.col("words").alias("blob"), F.lit(True).alias("is_table"))
-    met = rare.unionByName(entries).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("is_table"))
-    pairs = texts.mapInArrow(_frequent_pairs(table, parts), packet).unionByName(met.mapInArrow(_count_rare(table, parts), packet))
-    dealt = pairs.repartition(shards, "shard").sortWithinPartitions("shard")
-    found = common.put(dealt.mapInArrow(_score(table, model), FOUND), "found")
-    return _finished(docs, id_col, key, out_fold, found, tokens, frequent)
+    dealt = _to_contexts(texts, vocabulary, table, shards, order, True).repartition(shards, "shard").sortWithinPartitions("shard")
+    grams = common.put(dealt.mapInArrow(_sum_grams(table, order), PACKET + ", sizes2 array<bigint>, sizes3 array<bigint>"), "grams")
+    columns = [F.sum(F.get(f"sizes{k}", F.lit(r))) for k in (2, 3) for r in range(LAST_DISCOUNTED + 2)]
+    found = np.array([x or 0 for x in grams.agg(*columns).first()], dtype=float).reshape(2, -1)
+    small = spark.sparkContext.broadcast((Words(types, tokens, sizes), [np.append(discounts(f), 1.0) for f in found]))
+    known = grams.select("blob").mapInArrow(_spread_contexts(table, small), "context bigint, total double, held double, mass double")
+    spread = known.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "held", "mass")]).select(
+        "context", F.log10(F.col("total") + 1).alias("below"),
+        F.log10((1 - F.col("held") / (F.col("total") + 1)) / (1 - F.col("mass"))).alias("back"),
+    )
+    return Model(order, shards, tokens, vocabulary, grams, common.put(spread, "spread"), table, small)
+
+
+def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row, be it of the fitted table or not."""
+    common.ship(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col, folds)
+    asked = _to_contexts(texts, model.words, model.frequent, model.shards, model.order, False).withColumn("is_table", F.lit(False))
+    dealt = asked.unionByName(model.grams.select("shard", "blob", F.lit(True).alias("is_table"))).repartition(model.shards, "shard")
+    dealt = dealt.sortWithinPartitions("shard", F.desc("is_table"))
+    found = common.put(dealt.mapInArrow(_score(model.frequent, model.small, model.order), FOUND), "found")
+    return _finished(docs, id_col, F.xxhash64(id_col, common.text_or_empty(text_col)), _out_fold(id_col, folds), found, model)
+
+
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2) -> DataFrame:
+    """Scores of all rows under the model of their training rows."""
+    return score(fit(docs, id_col, text_col, folds, order), docs, id_col, text_col, folds)
 
 
 def _frequent_words(vocabulary: DataFrame, least: int, tokens: int) -> Frequent:
@@ -435,47 +616,19 @@ def _frequent_words(vocabulary: DataFrame, least: int, tokens: int) -> Frequent:
     return Frequent(rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy(), tokens)
 
 
-def _finished(docs, id_col, key, out_fold, found: DataFrame, tokens: int, frequent: Frequent) -> DataFrame:
-    """Put discounts and backoff weights in, and add up each document."""
-    columns = [f"r{r}" for r in range(1, LAST_DISCOUNTED + 2)]
-    sums = found.where(F.col("kind") == SIZES).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns]).first()
-    d = discounts(np.array([0.0, *sums]))
-    hot = found.where(F.col("kind") == CONTEXT).groupBy("key").agg(
-        F.max("n").alias("n"), F.sum("rest").alias("rest"), F.sum("mass").alias("mass"), *[F.sum(f"r{r}").alias(f"r{r}") for r in DISCOUNTS]
-    )  # at most HOT rows
-    place = {int(w): k for k, w in enumerate(np.sort(frequent.hot).view(np.int64))}
-
-    def weight(total, rest, mass, *r):
-        held = sum(float(d[i + 1]) * (i + 1) * x for i, x in enumerate(r)) + rest
-        return F.log10((1 - held / (total + 1)) / (1 - mass))
-
-    of = [F.col(f"r{r}") for r in DISCOUNTS]
-    hot_weights = [0.0] * len(place)
-    for row in hot.select("key", weight(F.col("n"), F.col("rest"), F.col("mass"), *of).alias("a")).collect():
-        hot_weights[place[row["key"]]] = row["a"]
-    own = weight(F.col("base"), F.col("rest"), F.col("mass"), *of)
-    looked = F.get(F.array(*map(F.lit, hot_weights)), F.col("known").cast("int")) if hot_weights else F.lit(0.0)
-    backoff = F.when(F.col("hot"), looked).otherwise(own)
-    discounted = sum((F.col(f"r{r}") * F.lit(float(np.log10(d[r]))) for r in DISCOUNTS), F.lit(0.0))
+def _finished(docs, id_col, key, out_fold, found: DataFrame, model: Model) -> DataFrame:
+    """Put in what is known of spread contexts, and add up each document."""
+    own = found.where("context IS NULL").select("key", *SUMMED)
+    late = attach(found.where("context IS NOT NULL").select("key", "context", "hits", "misses"), model.spread, "context")
     zero = F.lit(0.0)
-    is_doc = F.col("kind") == DOC
-    scored = (
-        found.where(F.col("kind").isin(DOC, OPEN))
-        .select(
-            "key",
-            F.when(is_doc, F.col("n")).otherwise(zero).alias("n"),
-            F.when(is_doc, F.col("known")).otherwise(zero).alias("known"),
-            F.when(is_doc, F.col("base")).otherwise(zero).alias("base"),
-            F.when(is_doc, F.col("score") + discounted).otherwise(F.col("n") * backoff).alias("score"),
-        )
-        .groupBy("key")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
-    )
+    later = F.col("misses") * F.coalesce("back", zero) - F.col("hits") * F.coalesce("below", zero)
+    late = late.select("key", *[zero.alias(c) for c in SUMMED[:-1]], later.alias("score"))
+    scored = own.unionByName(late).groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMMED])
     rows = docs.select(F.col(id_col).alias("doc_id"), out_fold.alias("held_out"), key.alias("key"))
     times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     each = common.put(scored.join(times, "key"), "scored")
     whole = lambda c: F.round(F.col(c) / F.col("times")).cast("bigint")
     return attach(rows, each, "key", "inner").select(
-        "doc_id", "held_out", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
+        "doc_id", "held_out", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
     )

@@ -170,7 +170,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_katz")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document under the model and under its base."""
-    return katz.katz_scores(read(spark, folder, "documents"))
+    return katz.katz_scores(read(spark, folder, "documents"), order=katz.ORDER)
 
 
 @query("op5_toxicity")

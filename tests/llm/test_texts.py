@@ -154,6 +154,53 @@ def test_scores_are_those_of_the_model(docs, some_texts, monkeypatch, small):
     assert katz.katz_scores(docs([])).count() == 0
 
 
+def brute_katz_of_three(rows, others):
+    words_of = lambda t: (t or "").encode().lower().split() + [None]
+    after_two = lambda w: zip([(None, None), *zip([None, *w], w[:-1])], w, strict=True)
+    counts = [Counter(), Counter(), Counter()]
+    for i, t, _ in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 10:
+            for h, x in after_two(words_of(t)):
+                for k in range(3):
+                    counts[k][(*h[2 - k :], x)] += 1
+    d = [katz.discounts(np.array([0.0] + [list(c.values()).count(k) for k in range(1, 7)])) for c in counts]
+    total = sum(counts[0].values())
+    after = [Counter(), Counter(), Counter()]
+    for k in range(3):
+        for gram, c in counts[k].items():
+            after[k][gram[:-1]] += c
+
+    def own(k, gram):
+        c = counts[k][gram]
+        return (d[k][c] if c <= 5 else 1.0) * c / (after[k][gram[:-1]] + 1)
+
+    def p(gram):
+        k = len(gram) - 1
+        if gram in counts[k]:
+            return own(k, gram)
+        seen = [g for g in counts[k] if g[:-1] == gram[:-1]]
+        left = 1 - sum(own(k, g) for g in seen)
+        return left if k == 0 else left / (1 - sum(p(g[1:]) for g in seen)) * p(gram[1:])
+
+    return total, {i: sum(math.log10(p((*h, x))) for h, x in after_two(words_of(t))) for i, t, _ in others}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_a_fitted_model_of_order_three_scores_any_texts(docs, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(katz, "FREQUENT", 8)
+        monkeypatch.setattr(katz, "HOT", 50)
+        monkeypatch.setattr(katz, "HOT_LEAST", 20)
+    rows = [(k, " ".join(f"w{(k * j + j // 3) % 11}" for j in range(k % 23)), "e") for k in range(70)] + [(80, None, "e"), (81, "one", "e")]
+    others = [(900, "w1 w2 w3 never w1 w2 w4 w5", "x"), (901, "", "x"), (902, "w3", "x"), (903, "new words only", "x"), *rows]
+    model = katz.fit(docs(rows))
+    total, want = brute_katz_of_three(rows, others)
+    got = {r.doc_id: r for r in katz.score(model, docs(others)).collect()}
+    assert set(got) == set(want) and {r.train_tokens for r in got.values()} == {total}
+    for i, score in want.items():
+        assert math.isclose(got[i].score, score, abs_tol=1e-6), i
+
+
 def brute_classes(rows):
     sets = []
     for i, t, _ in rows:
