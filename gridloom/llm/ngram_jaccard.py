@@ -424,6 +424,11 @@ def jaccard_classes(
     """``(doc_id, n_shingles, component_id, text_mark)`` of every row; similarity in hundredths.
 
     ``text_mark`` is a 64-bit hash of the text, which tells rows of one id apart."""
+    return _classes(docs, id_col, text_col, words, similarity).drop("head")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """``jaccard_classes`` with ``head``: whether the row is the first of its class by (id, text)."""
     spark = docs.sparkSession
     common.ship(spark)
     text = F.col(text_col).cast("binary")
@@ -476,25 +481,32 @@ def jaccard_classes(
         classed.select("doc_id", "mark", "size", F.coalesce(F.col("class").cast("string"), "sign").alias("class")), "classed"
     )
     lowest = common.put(
-        classed.groupBy("class").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n")), "lowest"
-    )
+        classed.groupBy("class").agg(
+            F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n"),
+            F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first"),
+        ), "lowest",
+    )
     return common.lookup(classed, lowest, "class", "n").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("lowest")).alias("component_id"),
         F.col("mark").alias("text_mark"),
+        F.coalesce((F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")), F.lit(False)).alias("head"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with all their columns, one of each class of near duplicates: that of the
-    smallest id.  Documents with a null id have no class and stay."""
-    classes = common.put(jaccard_classes(docs, id_col, text_col), "classes")
-    id_of, mark = F.col(id_col), F.xxhash64(F.col(text_col).cast("binary"))
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"))
-    kept = docs.join(gone.distinct(), (id_of == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
-    # Rows that share the id of their class: all but one of them go.
-    heads = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    twins = common.put(heads.where("_n > 1").select("_id"), "twins")
+    smallest id.  Rows of one id whose texts are not linked are of different classes.  Documents
+    with a null id have no class and stay."""
+    classes = common.put(_classes(docs, id_col, text_col), "classes")
+    mark = F.xxhash64(F.col(text_col).cast("binary"))
+    here = (F.col(id_col) == F.col("_id")) & (mark == F.col("_mark"))
+    named = [F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")]
+    gone = classes.where("doc_id IS NOT NULL AND NOT head").select(*named)
+    kept = docs.join(gone.distinct(), here, "left_anti")
+    # Rows that agree in id and text are one class: all but one of them go.
+    heads = classes.where("head AND n_shingles > 0").groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
+    twins = common.put(heads.where("_n > 1").select("_id", "_mark"), "twins")
     if twins.isEmpty():
         return kept
-    several = kept.join(twins, id_of == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twins, id_of == F.col("_id"), "left_anti").unionByName(several)
+    several = kept.join(twins, here, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twins, here, "left_anti").unionByName(several)

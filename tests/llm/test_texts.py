@@ -249,6 +249,13 @@ def test_one_of_each_class_stays(docs, some_texts):
     assert ngram_jaccard.keep_one_of_each(docs([])).count() == 0
 
 
+def test_unlinked_texts_of_one_id_both_stay(docs):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, one, "a"), (1, two, "a"), (1, two, "b"), (2, one + " end", "a"), (3, two, "a"), (4, three, "a"), (4, three, "a"), (None, one, "a")]
+    kept = [(r.doc_id, r.text) for r in ngram_jaccard.keep_one_of_each(docs(rows)).collect()]
+    assert Counter(kept) == Counter([(1, one), (1, two), (4, three), (None, one)])
+
+
 @pytest.mark.parametrize("chunk", [2000, 7])
 def test_links_of_vectors(spark, monkeypatch, chunk):
     from gridloom.llm import embedding_dedup
