@@ -432,7 +432,7 @@ UNION ALL SELECT 'absent', bool_and(abs(value) <= 1e-6) FROM e""",
 )
 def _(spark, d):
     t = tb.events_tensor(spark, d, shaped=False)
-    none = TensorFrame(t.frame.where("value < 0"), unique=True)
+    none = TensorFrame(t.frame.where("value < 0"), t.shape, unique=True)
     others = [
         ("same", modes.map_entries(t, lambda c, v: v + 5e-7)),
         ("apart", modes.map_entries(t, lambda c, v: v + 5e-6)),

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import dense, factor
+from dense_tools import dense, factor
 from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates, append, factors, modes, products

@@ -4,7 +4,7 @@ import string
 
 import numpy as np
 import pytest
-from conftest import factor
+from dense_tools import factor
 from pyspark.sql import functions as F
 
 from gridloom.model import make_model

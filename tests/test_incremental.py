@@ -4,7 +4,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
-from conftest import dense, factor
+from dense_tools import dense, factor
 from pyspark.sql import functions as F
 from test_cp import full, numpy_als, starting_factors
 from test_sampling import brute_sample

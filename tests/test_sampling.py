@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import dense
+from dense_tools import dense
 from pyspark.sql import functions as F
 
 from gridloom.functions import hash_uniform

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import dense, factor
+from dense_tools import dense, factor
 
 from gridloom.model import make_model
 from gridloom.plans.incremental import incremental_step, start_state
