@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, embedding_dedup, exact_dedup, katz, line_dedup, mixing, ngram_jaccard, packing, token_counts, toxicity
+from gridloom.llm import (
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    fill_middle,
+    html_extract,
+    katz,
+    line_dedup,
+    mixing,
+    ngram_jaccard,
+    packing,
+    phrases,
+    token_counts,
+    toxicity,
+)
 from gridloom.llm.common import read, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +196,98 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, network).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+k AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS u,
+         CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS v,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, coalesce(array_to_string(units[1:least(u, v)], ''), '') AS prefix,
+         coalesce(array_to_string(units[least(u, v) + 1:greatest(u, v)], ''), '') AS middle,
+         coalesce(array_to_string(units[greatest(u, v) + 1:], ''), '') AS suffix
+  FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
+@query("op11_fill_middle", FIM_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Form and cuts of every document, and digests of its output and of the text read back from it."""
+    made = fill_middle.fill_in_middle(read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    back = fill_middle.restore(made)
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+#: What the template of these tables makes of a page; the character references are those that occur in its articles.
+PAGES_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(string_split(regexp_replace(body, '</?(?:p|h1)>', chr(1), 'g'), chr(1)), lambda x:
+         trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(
+           regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+           '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks
+  FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
+
+
+@query("op12_html_extract", PAGES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    done = html_extract.main_text(read(spark, folder, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, text
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS text
+        FROM documents)),
+w AS (SELECT lang, piece, regexp_extract_all(text, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, piece, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w1 FROM w),
+s AS (SELECT lang, w1, lead(w1) OVER i AS w2, lead(w1, 2) OVER i AS w3 FROM o WINDOW i AS (PARTITION BY piece ORDER BY pos)),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+f1 AS (SELECT lang, w1, count(*) AS f FROM s GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS cut, x.f AS l, y.f AS r
+  FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, x.f, y.f
+  FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, x.f, y.f
+  FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS f
+  FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+stay AS (
+  SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.f IS NULL OR 100 * o.f < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM stay JOIN n USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest phrases of two and three words of every language."""
+    return phrases.collocations(read(spark, folder, "documents").select("lang", "text"))
