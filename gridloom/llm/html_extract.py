@@ -276,6 +276,13 @@ class Page:
                 continue
             size = len(" ".join("".join(t for node, t in told if not self.link[node]).split()))
             at, weight = near[told[0][0]], 1.0
+            for node, _ in told:  # the cells of a row are one block: up to what holds them all
+                other = near[node]
+                while at != other:
+                    if at > other:
+                        at = near[self.parent[at]]
+                    else:
+                        other = near[self.parent[other]]
             while weight > 0.01:
                 score[at] = score.get(at, 0.0) + size * weight
                 if not at:
