@@ -45,13 +45,13 @@ NO_LANG = "und"
 #: Bytes of a range's texts, about: bounds the counts one task merges.
 RANGE_BYTES = 1 << 23
 MOST_RANGES = 1 << 20
-#: Counts a task holds before it sends them.
-PACKET = 1 << 22
-CHUNK_BYTES = 1 << 22
+#: Counts a task sends together; it holds up to twice as many.
+PACKET = 1 << 20
+CHUNK_BYTES = 1 << 21
 #: Words whose phrases get whole-number codes together: three codes below 2**21 fit 63 bits.
 BLOCK_WORDS = 1 << 20
 #: Rows of counted phrases a task holds before it sends them.
-HELD_ROWS = 1 << 19
+HELD_ROWS = 1 << 18
 LEAST_PLACES, MOST_PLACES, PLACES_PER_PHRASE = 1 << 16, 1 << 28, 16
 SEGMENTS = 1024
 SALTS = 64
@@ -173,20 +173,19 @@ def _count_packets(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        held, merged = 0, 0
+        held = 0
         for words, _ in _chunks(batches):
             one, two, three = words.grams()
             keys, n = np.unique(np.concatenate([one, two[words.two], three[words.three]]), return_counts=True)
             hashes.append(keys)
             counts.append(n.astype(np.int64))
             held += len(keys)
-            if held >= max(PACKET, 2 * merged):
+            if held >= 2 * PACKET:
                 keys, n = merge(hashes, counts)
                 hashes, counts, held = [keys], [n], len(keys)
-                merged = held
-                if merged >= PACKET:
+                if held >= PACKET:
                     yield packets(keys, n)
-                    hashes, counts, held, merged = [], [], 0, 0
+                    hashes, counts, held = [], [], 0
         if hashes:
             yield packets(*merge(hashes, counts))
 
@@ -323,17 +322,18 @@ def _count_exactly(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         held: list[pa.Table] = []
-        rows, merged = 0, 0
+        rows = 0
         for words, names in _chunks(batches):
             for table in _exact(words, names, bits):
                 held.append(table)
                 rows += len(table)
-            if rows >= max(HELD_ROWS, 2 * merged):
+            if rows >= 2 * HELD_ROWS:
                 held = [summed(held)]
-                rows = merged = len(held[0])
-                if merged >= HELD_ROWS:
+                rows = len(held[0])
+                if rows >= HELD_ROWS:
                     yield from held[0].cast(out).to_batches()
-                    held, rows, merged = [], 0, 0
+                    held, rows = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield from summed(held).cast(out).to_batches()
 
