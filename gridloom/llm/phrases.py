@@ -43,7 +43,7 @@ LONGEST = 3
 NO_LANG = "und"
 
 #: Bytes of a range's texts, about: bounds the counts one task merges.
-RANGE_BYTES = 1 << 23
+RANGE_BYTES = 1 << 21
 MOST_RANGES = 1 << 20
 #: Counts a task sends together; it holds up to twice as many.
 PACKET = 1 << 20
@@ -51,7 +51,9 @@ CHUNK_BYTES = 1 << 21
 #: Words whose phrases get whole-number codes together: three codes below 2**21 fit 63 bits.
 BLOCK_WORDS = 1 << 20
 #: Rows of counted phrases a task holds before it sends them.
-HELD_ROWS = 1 << 18
+HELD_ROWS = 1 << 17
+#: Rows and ranges of a batch on its way to Spark: bounds what it keeps outside its heap.
+SENT_ROWS, SENT_RANGES = 1 << 15, 16
 LEAST_PLACES, MOST_PLACES, PLACES_PER_PHRASE = 1 << 16, 1 << 28, 16
 SEGMENTS = 1024
 SALTS = 64
@@ -157,37 +159,41 @@ def _count_packets(ranges: int):
     """First pass: counts of phrase hashes, a row for each packet and range."""
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
-    def packets(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def packets(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = (keys >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(keys), dtype=np.int64)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, dtype=np.int64)
         ends = np.append(first[1:], len(keys))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(part[first]),
-                pa.array([keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                pa.array([n[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-            ],
-            names=["part", "hashes", "counts"],
-        )
+        n = n.astype(np.uint32)
+        for at in range(0, len(first), SENT_RANGES):
+            cuts = list(zip(first[at : at + SENT_RANGES], ends[at : at + SENT_RANGES], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[first[at : at + SENT_RANGES]]),
+                    pa.array([keys[a:b].tobytes() for a, b in cuts], pa.binary()),
+                    pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary()),
+                ],
+                names=["part", "hashes", "counts"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        held = 0
+        held = mass = 0
         for words, _ in _chunks(batches):
             one, two, three = words.grams()
+            mass += 3 * len(one)
             keys, n = np.unique(np.concatenate([one, two[words.two], three[words.three]]), return_counts=True)
             hashes.append(keys)
             counts.append(n.astype(np.int64))
             held += len(keys)
-            if held >= 2 * PACKET:
+            if held >= 2 * PACKET or mass >> 31:  # counts are sent as 32 bits
                 keys, n = merge(hashes, counts)
                 hashes, counts, held = [keys], [n], len(keys)
-                if held >= PACKET:
-                    yield packets(keys, n)
-                    hashes, counts, held = [], [], 0
+                if held >= PACKET or mass >> 31:
+                    yield from packets(keys, n)
+                    hashes, counts, held, mass = [], [], 0, 0
         if hashes:
-            yield packets(*merge(hashes, counts))
+            yield from packets(*merge(hashes, counts))
 
     return run
 
@@ -197,12 +203,12 @@ def _survivors(least: int):
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        counts = [np.frombuffer(b.as_py(), dtype=np.int64) for b in table.column("counts")]
-        mass = sum(int(n.sum()) for n in counts)
+        counts = [np.frombuffer(b.as_py(), dtype=np.uint32) for b in table.column("counts")]
+        mass = sum(int(n.sum(dtype=np.int64)) for n in counts)
         summary = Summary(2 * (mass // least) + 1024)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for packet, n in zip(table.column("hashes"), counts, strict=True):
-            waiting.append((np.frombuffer(packet.as_py(), dtype=np.uint64), n))
+            waiting.append((np.frombuffer(packet.as_py(), dtype=np.uint64), n.astype(np.int64)))
             if sum(len(h) for h, _ in waiting) >= summary.capacity:
                 summary.add([h for h, _ in waiting], [n for _, n in waiting])
                 waiting = []
@@ -331,11 +337,11 @@ def _count_exactly(shared):
                 held = [summed(held)]
                 rows = len(held[0])
                 if rows >= HELD_ROWS:
-                    yield from held[0].cast(out).to_batches()
+                    yield from held[0].cast(out).to_batches(max_chunksize=SENT_ROWS)
                     held, rows = [], 0
                 pa.default_memory_pool().release_unused()
         if held:
-            yield from summed(held).cast(out).to_batches()
+            yield from summed(held).cast(out).to_batches(max_chunksize=SENT_ROWS)
 
     return run
 
