@@ -356,7 +356,8 @@ def _extracted(html: pa.Array, paths: pa.Array) -> pa.Array:
 
 def host_paths(pages: DataFrame, host: Column, html: Column, least_share: float = LEAST_SHARE) -> DataFrame:
     """``(host, pages, paths)``: each host's winning paths, most votes first."""
-    voting = F.arrow_udf(_votes, "struct<path: string, chars: bigint>")
+    # Said to be non-deterministic, so that no filter on the vote makes Spark parse a page twice.
+    voting = F.arrow_udf(_votes, "struct<path: string, chars: bigint>").asNondeterministic()
     told = pages.select(host.alias("host"), voting(html).alias("vote")).where("vote IS NOT NULL")
     votes = common.put(
         told.groupBy("host", "vote.path").agg(F.count(F.lit(1)).alias("n"), F.sum("vote.chars").alias("chars")), "votes"
