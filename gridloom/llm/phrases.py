@@ -46,8 +46,8 @@ NO_LANG = "und"
 RANGE_BYTES = 1 << 21
 MOST_RANGES = 1 << 20
 #: Counts a task sends together; it holds up to twice as many.
-PACKET = 1 << 20
-CHUNK_BYTES = 1 << 21
+PACKET = 1 << 19
+CHUNK_BYTES = 1 << 20
 #: Words whose phrases get whole-number codes together: three codes below 2**21 fit 63 bits.
 BLOCK_WORDS = 1 << 20
 #: Rows of counted phrases a task holds before it sends them.
