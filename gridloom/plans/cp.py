@@ -33,7 +33,8 @@ from gridloom.operators.factors import (
     upper_pairs,
 )
 from gridloom.plans.joins import fits_broadcast, heavy_keys, keyed_join
-from gridloom.plans.materialize import Scratch, new_folder, put, put_and_measure, stage
+from gridloom.plans.layout import BlockLayout, co_located
+from gridloom.plans.materialize import Scratch, new_folder, put, put_and_measure
 from gridloom.sources.construct import index_grid, random_rows
 from gridloom.tensor import Shape, TensorFrame, mode_col
 
@@ -50,7 +51,7 @@ def _row_bytes(rank: int) -> int:
 
 def _attach(
     frame: DataFrame, m: int, flat: DataFrame, rows: int, ranks: Sequence[int], how: str,
-    heavy: dict[int, DataFrame] | None, cells: DataFrame,
+    heavy: dict[int, DataFrame] | None, cells: DataFrame, layout: BlockLayout | None = None,
 ) -> DataFrame:
     """Cells with the factor row of their index on mode ``m`` as ``f{m}_{r}``.
 
@@ -58,6 +59,8 @@ def _attach(
     drops rows of an index, so its heavy indexes are looked up there.
     """
     part = flat.selectExpr(f"idx as {mode_col(m)}", *[f"f{r} as f{m}_{r}" for r in ranks])
+    if layout is not None and m in layout.modes:
+        return layout.attach(frame, m, part, how)
     known = (heavy or {}).get(m)
     if known is None and not fits_broadcast(cells.sparkSession, rows, _row_bytes(len(ranks))):
         known = heavy_keys(cells, mode_col(m))
@@ -82,14 +85,15 @@ def _evaluate(modes: Sequence[int], lam: str, rank: int, outer: bool) -> str:
 def rank_sums(
     cells: DataFrame, flats: dict[int, DataFrame], extents: Shape, n: int, rank: int,
     outer: bool = False, heavy: dict[int, DataFrame] | None = None,
-    model_at: str | None = None,
+    model_at: str | None = None, layout: BlockLayout | None = None,
 ) -> DataFrame:
     """``(idx, m0..)``: per index of mode ``n`` the sum over its cells of the value
     times the product of the other factors' rows, for every rank.
 
     ``model_at``: the model's value of a cell, in which case the factor of ``n`` is
     attached as well and ``sse``, the sum of squared differences, is added.
-    ``outer`` keeps cells whose factor row is missing, as zero rows.
+    ``outer`` keeps cells whose factor row is missing, as zero rows.  With a ``layout``
+    the cells are its own, and factors too long to broadcast are sent to their blocks.
     """
     modes = [m for m in range(len(extents)) if m != n]
     attached = modes if model_at is None else [*modes, n]
@@ -104,7 +108,7 @@ def rank_sums(
     for ranks in passes:
         frame = cells
         for m in _join_order(cells.sparkSession, attached, extents, len(ranks)):
-            frame = _attach(frame, m, flats[m], extents[m], ranks, "left" if outer else "inner", heavy, cells)
+            frame = _attach(frame, m, flats[m], extents[m], ranks, "left" if outer else "inner", heavy, cells, layout)
         sums = [F.expr(f"sum(value * {_product(modes, r, outer)}) as m{r}") for r in ranks]
         if model_at is not None:
             sums.append(F.expr(f"sum(power({model_at} - value, 2)) as sse"))
@@ -176,24 +180,6 @@ def _times(matrices: dict[int, np.ndarray], rank: int, extent: int = 1) -> list[
     ]
 
 
-def update_factor(tensor: TensorFrame, model: CPModel, n: int) -> tuple[DataFrame, list[float]]:
-    """One least-squares update: the new factor of mode ``n`` with columns of length
-    1, complete over the extent, and the column lengths."""
-    rank = model.rank
-    others = [m for m in range(model.n_modes) if m != n]
-    inverse = solver([gram_matrix(model.factors[m], rank) for m in others])
-    sums = unpack(mttkrp(tensor, model, n), rank, "m")
-    raw = stage(sums.selectExpr("idx", *_times({0: inverse}, rank)), "factor")
-    lengths = raw.agg(*[F.sqrt(F.coalesce(F.sum(F.col(f"a{r}") * F.col(f"a{r}")), F.lit(0.0))) for r in range(rank)])
-    lam = [float(v) for v in lengths.first()]
-    return complete(_scaled(raw, lam), model.shape[n], rank), lam
-
-
-def _scaled(raw: DataFrame, lam: Sequence[float]) -> DataFrame:
-    cols = [ratio(F.col(f"a{r}"), F.lit(w)) for r, w in enumerate(lam)]
-    return raw.select("idx", F.array(*cols).alias("vec"))
-
-
 @dataclass
 class BlockFit:
     """Result of fitting several tensors of one shape side by side."""
@@ -225,8 +211,9 @@ class _Sweeper:
     """The updates of one run. Block ``b`` of a mode holds the indexes
     ``b * extent .. (b + 1) * extent - 1``, so blocks never meet in a join."""
 
-    def __init__(self, cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int], folder: str):
-        self.cells = cells
+    def __init__(
+        self, cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int], folder: str, lay_out: bool = True
+    ):
         self.extents = extents
         self.rank = rank
         self.active = list(blocks)
@@ -245,6 +232,9 @@ class _Sweeper:
             for m, n in enumerate(self.total)
             if not fits_broadcast(spark, n, _row_bytes(rank))
         }
+        # Where such modes are, cells are laid out once and stay where they are.
+        self.layout = BlockLayout(cells, self.total, self.heavy, folder) if self.heavy and lay_out else None
+        self.cells = self.layout.cells if self.layout else cells
         per_pass = PASS_COLUMNS // len(extents)
         self.fused = rank <= per_pass
 
@@ -270,12 +260,15 @@ class _Sweeper:
         inverse = {b: solver([self.factors[m].gram[b] for m in others]) for b in self.active}
         flats = {m: f.flat for m, f in self.factors.items()}
         at = self._model_value() if with_error else None
-        sums = rank_sums(self.cells, flats, self.total, n, rank, heavy=self.heavy, model_at=at)
+        sums = rank_sums(
+            self.cells, flats, self.total, n, rank, heavy=self.heavy, model_at=at, layout=self.layout
+        )
         new = _times(inverse, rank, self.extents[n])
         extra = ["sse"] if with_error else []
         self.turns[n] += 1
         path = f"{self.folder}/{n}-{self.turns[n] % 2}"
-        raw, gram, errors = self._write(sums.selectExpr("idx", *new, *extra), n, path, with_error)
+        with co_located(self.cells.sparkSession):
+            raw, gram, errors = self._write(sums.selectExpr("idx", *new, *extra), n, path, with_error)
         lam = {b: np.sqrt(np.diag(g)) for b, g in gram.items()}
         scaled_gram = {}
         for b, g in gram.items():
@@ -329,13 +322,20 @@ class _Sweeper:
         frame = self.cells
         modes = range(len(self.extents))
         for m in _join_order(frame.sparkSession, modes, self.total, self.rank):
-            frame = _attach(frame, m, self.factors[m].flat, self.total[m], range(self.rank), "inner", self.heavy, self.cells)
-        rows = (
-            frame.groupBy(_block_of("i0", self.extents[0]).alias("block"))
-            .agg(F.expr(f"sum(power({self._model_value()} - value, 2)) as sse"))
-            .collect()
+            frame = _attach(
+                frame, m, self.factors[m].flat, self.total[m], range(self.rank), "inner", self.heavy, self.cells, self.layout
+            )
+        sums = frame.groupBy(_block_of("i0", self.extents[0]).alias("of")).agg(
+            F.expr(f"sum(power({self._model_value()} - value, 2)) as sse")
         )
-        return {b: 0.0 for b in self.active} | {r.block: r.sse for r in rows}
+        with co_located(frame.sparkSession):
+            rows = sums.collect()
+        return {b: 0.0 for b in self.active} | {r.of: r.sse for r in rows}
+
+    def drop(self) -> None:
+        """The laid out cells are done with."""
+        if self.layout is not None:
+            self.layout.drop()
 
     def retire(self, done: Sequence[int]) -> None:
         """Go on without the blocks that have converged."""
@@ -344,37 +344,27 @@ class _Sweeper:
             self.cells = self.cells.where(_block_of("i0", self.extents[0]).isin(self.active))
 
 
-def fit_blocks(
-    cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int] = (0,),
-    max_iter: int = 500, tol: float = 1e-4, seed: int = 6, restarts: int | None = None,
-    folder: str | None = None,
-) -> BlockFit:
-    """Fit independent tensors of one shape in the same jobs, each to its own end.
-
-    ``cells`` holds block ``b`` at ``b * extent`` and up on every mode and should
-    be cheap to read again.  A block stops when its error changes by at most
-    ``tol`` (the first error is compared with 0); a block whose weights overflow is
-    started anew from other random factors, at most ``restarts`` times (without
-    limit if None).  The result
-    is read from tables in ``folder`` (a new one unless given).
-    """
-    if rank <= 0:
-        raise ValueError(f"rank must be positive, got {rank}")
-    if max_iter < 0:
-        raise ValueError(f"max_iter must not be negative, got {max_iter}")
-    if tol < 0:
-        raise ValueError(f"tol must not be negative, got {tol}")
-    n_modes = len(extents)
-    if n_modes < 2:
-        raise ValueError("at least two modes are needed")
-    norms = {
-        r.block: float(np.sqrt(r.n))
-        for r in cells.groupBy(_block_of("i0", extents[0]).alias("block")).agg(square_norm(cells).alias("n")).collect()
-    }
-    if not norms:
-        max_iter = 0  # no cells at all
-    folder = folder or new_folder(cells.sparkSession, "factors")
-    run = _Sweeper(cells, extents, rank, blocks, folder)
+def update_factor(tensor: TensorFrame, model: CPModel, n: int) -> tuple[DataFrame, list[float]]:
+    """One least-squares update, as the sweeps make it: the new factor of mode ``n`` with columns
+    of length 1, complete over the extent, and the column lengths."""
+    if model.n_modes != tensor.n_modes or not 0 <= n < tensor.n_modes:
+        raise ValueError("model and mode must fit the tensor")
+    rank = model.rank
+    # A single update does not pay for laying the cells out.
+    run = _Sweeper(tensor.frame, model.shape, rank, (0,), new_folder(tensor.spark, "factor"), lay_out=False)
+    for m in range(model.n_modes):
+        if m != n:
+            flat = model.flat(m)
+            run.factors[m] = _Factor(flat, {0: gram_matrix(model.factors[m], rank)}, {0: np.ones(rank)}, flat)
+    new, _ = run.update(n)
+    return complete(pack(new.flat, rank), model.shape[n], rank), [float(v) for v in new.lam[0]]
+
+
+def _run_sweeps(run: _Sweeper, norms: dict[int, float], max_iter: int, tol: float, seed: int):
+    """Sweeps until every block has come to its end: errors and weights by block, the factors'
+    tables by mode, and the blocks whose weights overflowed."""
+    extents, rank, folder = run.extents, run.rank, run.folder
+    n_modes, blocks = len(extents), list(run.active)
     for m in range(0 if max_iter == 0 else 1, n_modes):
         run.start(m, seed)
     errors: dict[int, list[float]] = {b: [] for b in blocks}
@@ -429,6 +419,44 @@ def fit_blocks(
             for f in run.factors.values():
                 f.lam = {b: np.ones(rank) for b in run.active}
         keep(run.active)
+    return errors, lam, parts, failed
+
+
+def fit_blocks(
+    cells: DataFrame, extents: Shape, rank: int, blocks: Sequence[int] = (0,),
+    max_iter: int = 500, tol: float = 1e-4, seed: int = 6, restarts: int | None = None,
+    folder: str | None = None,
+) -> BlockFit:
+    """Fit independent tensors of one shape in the same jobs, each to its own end.
+
+    ``cells`` holds block ``b`` at ``b * extent`` and up on every mode and should
+    be cheap to read again.  A block stops when its error changes by at most
+    ``tol`` (the first error is compared with 0); a block whose weights overflow is
+    started anew from other random factors, at most ``restarts`` times (without
+    limit if None).  The result
+    is read from tables in ``folder`` (a new one unless given).
+    """
+    if rank <= 0:
+        raise ValueError(f"rank must be positive, got {rank}")
+    if max_iter < 0:
+        raise ValueError(f"max_iter must not be negative, got {max_iter}")
+    if tol < 0:
+        raise ValueError(f"tol must not be negative, got {tol}")
+    n_modes = len(extents)
+    if n_modes < 2:
+        raise ValueError("at least two modes are needed")
+    norms = {
+        r.block: float(np.sqrt(r.n))
+        for r in cells.groupBy(_block_of("i0", extents[0]).alias("block")).agg(square_norm(cells).alias("n")).collect()
+    }
+    if not norms:
+        max_iter = 0  # no cells at all
+    folder = folder or new_folder(cells.sparkSession, "factors")
+    run = _Sweeper(cells, extents, rank, blocks, folder, lay_out=max_iter > 0)
+    try:
+        errors, lam, parts, failed = _run_sweeps(run, norms, max_iter, tol, seed)
+    finally:
+        run.drop()
     if failed:
         if restarts == 0:
             raise ArithmeticError(f"weights overflowed in blocks {failed}")
