@@ -22,7 +22,8 @@ from gridloom.catalog.registry import (
 )
 from gridloom.model import CPModel, make_model
 from gridloom.operators import aggregates, append, factors, sampling
-from gridloom.plans import cp, incremental, matching
+from gridloom.operators.factors import unpack
+from gridloom.plans import cp, incremental, matching, qr
 from gridloom.plans.materialize import new_folder, put, stage
 from gridloom.sources import construct
 from gridloom.tensor import TensorFrame
@@ -44,6 +45,51 @@ def _table_sql(rank: int, name: str = "f", digits: int = 9) -> str:
     )
 
 
+# --- factors made from the events ---------------------------------------------------------
+#
+# Component r of an index is its share of money in the kinds (for a kind: on the days) whose
+# number leaves r; signed ones are centred.  ``part`` takes one of several parts of the calendar.
+
+
+def _over(m: int) -> int:
+    return 2 if m == 1 else 1
+
+
+def _shares_sql(name: str, m: int, rank: int, phase: int = 0, part=None, signed: bool = False) -> str:
+    sums = ", ".join(f"sum(cents) FILTER ((i{_over(m)} + {phase}) % {rank} = {r}) AS s{r}" for r in range(rank))
+    share = "CASE WHEN a > 0 THEN CAST(coalesce(s{r}, 0) AS DOUBLE) / CAST(a AS DOUBLE) ELSE 0e0 END"
+    entry = f"({share}) * {rank} - 1" if signed else share
+    cols = ", ".join(f"{entry.format(r=r)} AS f{r}" for r in range(rank))
+    where = f"WHERE i2 * {part[1]} // n2 = {part[0]}" if part else ""
+    return f"""
+{name}_s AS (SELECT i{m} AS idx, sum(cents) AS a, {sums}
+  FROM (SELECT e.*, CAST(round(value * 100) AS BIGINT) AS cents FROM e, elen {where}) GROUP BY 1),
+{name} AS (SELECT k AS idx, {cols} FROM elen, range(elen.n{m}) t(k) LEFT JOIN {name}_s ON {name}_s.idx = k)"""
+
+
+def _shares(t: TensorFrame, m: int, rank: int, phase: int = 0, part=None, signed: bool = False) -> DataFrame:
+    cells = t.frame.withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    if part:
+        cells = cells.where(F.expr(f"i2 * {part[1]} div {t.shape[2]} = {part[0]}"))
+    of = (F.col(f"i{_over(m)}") + phase) % rank
+    sums = [F.sum(F.when(of == r, F.col("cents"))).alias(f"s{r}") for r in range(rank)]
+    found = cells.groupBy(F.col(f"i{m}").alias("idx")).agg(F.sum("cents").alias("a"), *sums)
+    slots = t.spark.range(t.shape[m]).select(F.col("id").alias("idx")).join(found, "idx", "left")
+    shares = [
+        F.when(F.col("a") > 0, F.coalesce(F.col(f"s{r}"), F.lit(0)).cast("double") / F.col("a").cast("double")).otherwise(0.0)
+        for r in range(rank)
+    ]
+    return slots.select("idx", F.array(*[s * rank - 1 if signed else s for s in shares]).alias("vec"))
+
+
+def _own_factors_sql(rank: int, phase: int = 0, name: str = "f") -> str:
+    return ", ".join(_shares_sql(f"{name}{m}", m, rank, phase) for m in MODES)
+
+
+def _own_model(t: TensorFrame, rank: int, phase: int = 0, lam=None) -> CPModel:
+    return make_model([_shares(t, m, rank, phase) for m in MODES], t.shape, rank, lam)
+
+
 # --- factor tables ---------------------------------------------------------------------
 
 
@@ -59,7 +105,7 @@ def _(spark, d):
 
 @query(
     "D10_sign_agreement",
-    f"""WITH {EVENTS}, {factor_sql("a", "elen", 0, 3, 21, "normal")}, {factor_sql("b", "elen", 0, 3, 22, "normal")} """
+    f"""WITH {EVENTS}, {_shares_sql("a", 0, 3, 0, (0, 2), True)}, {_shares_sql("b", 0, 3, 0, (1, 2), True)} """
     + " UNION ALL ".join(
         f"""SELECT {r} AS r, CASE WHEN sum((CASE WHEN b.f{r} >= 0 THEN 1 ELSE -1 END)
         * (CASE WHEN a.f{r} >= 0 THEN 1 ELSE -1 END)) >= 0 THEN 1e0 ELSE -1e0 END AS sign
@@ -68,35 +114,37 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    shape = tb.event_shape(spark, d)
-    a, b = (construct.random_factors(spark, shape[:1], 3, seed, "normal")[0] for seed in (21, 22))
+    """Users in both halves of the calendar."""
+    t = tb.events_tensor(spark, d)
+    a, b = (_shares(t, 0, 3, 0, (half, 2), True) for half in range(2))
     return factors.sign_agreement(a, b, 3)
 
 
-def _reps(spark, length: int, rank: int, seeds, dist: str = "normal") -> DataFrame:
-    """One factor of mode 0 per repetition: ``(rep, idx, vec)``."""
+def _reps(t: TensorFrame, rank: int, phase: int, order, signed: bool = True) -> DataFrame:
+    """One factor of mode 0 per repetition, ``(rep, idx, vec)``: repetition k is made from part
+    ``order[k]`` of the calendar."""
     parts = [
-        construct.random_factors(spark, (length,), rank, seed, dist)[0].select(
-            F.lit(rep).alias("rep"), "idx", "vec"
-        )
-        for rep, seed in enumerate(seeds)
+        _shares(t, 0, rank, phase, (part, len(order)), signed).select(F.lit(rep).alias("rep"), "idx", "vec")
+        for rep, part in enumerate(order)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _reps_sql(rank: int, seeds, dist: str = "normal", name: str = "x") -> str:
-    each = ", ".join(factor_sql(f"{name}_{rep}", "elen", 0, rank, s, dist) for rep, s in enumerate(seeds))
-    rows = " UNION ALL ".join(f"SELECT {rep} AS rep, * FROM {name}_{rep}" for rep in range(len(seeds)))
+def _reps_sql(rank: int, phase: int, order, name: str = "x", signed: bool = True) -> str:
+    each = ", ".join(
+        _shares_sql(f"{name}_{rep}", 0, rank, phase, (part, len(order)), signed) for rep, part in enumerate(order)
+    )
+    rows = " UNION ALL ".join(f"SELECT {rep} AS rep, * FROM {name}_{rep}" for rep in range(len(order)))
     return f"{each}, {name} AS ({rows})"
 
 
 @query(
     "D11_mean_factors",
-    f"""WITH {EVENTS}, {_reps_sql(3, (11, 12, 13))}
+    f"""WITH {EVENTS}, {_reps_sql(3, 0, (0, 1, 2))}
 SELECT idx, {", ".join(f"{tidy_sql(f'sum(f{r}) / 3', 9)} AS f{r}" for r in range(3))} FROM x GROUP BY idx""",
 )
 def _(spark, d):
-    reps = _reps(spark, tb.event_shape(spark, d)[0], 3, (11, 12, 13))
+    reps = _reps(tb.events_tensor(spark, d), 3, 0, (0, 1, 2))
     return flat_rows(factors.mean_factors(reps, 3, 3), 3, 9)
 
 
@@ -184,27 +232,26 @@ def _(spark, d):
 
 @query(
     "E4_head_model",
-    f"""WITH {EVENTS}, {_factors_sql(3, 6)}, {_sampled_factors(3)}
+    f"""WITH {EVENTS}, {_own_factors_sql(3)}, {_sampled_factors(3)}
 SELECT mode, idx, f0, f1, f2 FROM f, elen
 WHERE idx < CASE mode WHEN 0 THEN n0 // 2 WHEN 1 THEN n1 // 2 ELSE n2 // 2 END""",
 )
 def _(spark, d):
-    shape = tb.event_shape(spark, d)
-    head = sampling.head_model(_model(spark, shape, 3, 6), [n // 2 for n in shape])
+    t = tb.events_tensor(spark, d)
+    head = sampling.head_model(_own_model(t, 3), [n // 2 for n in t.shape])
     return flat_rows(head.table(), 3, 9)
 
 
 @query(
     "F2_append_rows",
-    f"""WITH {EVENTS}, {_factors_sql(3, 6)}, {factor_sql("g", "elen", 2, 3, 9)},
+    f"""WITH {EVENTS}, {_own_factors_sql(3)}, {_shares_sql("g", 2, 3, 1)},
 f AS ({_table_sql(3)})
 SELECT mode, idx, f0, f1, f2 FROM f UNION ALL
 SELECT 2 AS mode, idx + n2 AS idx, {flat_rows_sql(3, 9)} FROM g, elen""",
 )
 def _(spark, d):
-    shape = tb.event_shape(spark, d)
-    rows = construct.random_factors(spark, shape, 3, 9)[2]
-    grown = append.append_rows(_model(spark, shape, 3, 6), 2, rows, shape[2])
+    t = tb.events_tensor(spark, d)
+    grown = append.append_rows(_own_model(t, 3), 2, _shares(t, 2, 3, 1), t.shape[2])
     return flat_rows(grown.table(), 3, 9)
 
 
@@ -291,6 +338,48 @@ def _(spark, d):
     return spark.range(1).select(tidy(F.lit(trace[-1]), 8).alias("error"))
 
 
+def _sweeps_sql(count: int) -> str:
+    """CTEs ``h0``.. of several sweeps from the same start; sweep k gives h{3k}, h{3k+1}, h{3k+2}."""
+    names, parts = ["", "f1", "f2"], [_factors_sql(2, 6, "normal")]
+    for k in range(count):
+        for m in MODES:
+            a, b = [names[o] for o in MODES if o != m]
+            names[m] = f"h{3 * k + m}"
+            parts.append(_update_sql(m, a, b, names[m]).replace(" AS (", " AS MATERIALIZED ("))
+    return ", ".join(parts)
+
+
+SWEEPS = 3
+
+
+@query(
+    "G3_als_three_sweeps",
+    f"WITH {EVENTS}, {_sweeps_sql(SWEEPS)} "
+    + " UNION ALL ".join(f"SELECT {m} AS mode, idx, {flat_rows_sql(2, 6)} FROM h{3 * SWEEPS - 3 + m}" for m in MODES),
+)
+def _(spark, d):
+    model = cp.cp_als(tb.events_tensor(spark, d), rank=2, max_iter=SWEEPS, tol=0.0, seed=6)
+    return flat_rows(model.table(), 2, 6)
+
+
+@query(
+    "G3_als_errors",
+    f"WITH {EVENTS}, {_sweeps_sql(SWEEPS)} "
+    + " UNION ALL ".join(
+        f"""SELECT {k} AS sweep, round(sqrt(sum(power(l0 * a.f0 * b.f0 * c.f0 + l1 * a.f1 * b.f1 * c.f1 - value, 2)))
+  / sqrt(sum(value * value)), 8) AS error
+FROM e JOIN h{3 * k} a ON a.idx = i0 JOIN h{3 * k + 1} b ON b.idx = i1 JOIN h{3 * k + 2} c ON c.idx = i2, h{3 * k + 2}_lam"""
+        for k in range(SWEEPS)
+    ),
+)
+def _(spark, d):
+    """The error after every sweep."""
+    trace: list[float] = []
+    cp.cp_als(tb.events_tensor(spark, d), rank=2, max_iter=SWEEPS, tol=0.0, seed=6, trace=trace)
+    rows = F.array(*[F.struct(F.lit(k).alias("sweep"), tidy(F.lit(v), 8).alias("error")) for k, v in enumerate(trace)])
+    return spark.range(1).select(F.inline(rows))
+
+
 @query("G3_cp_als")
 def _(spark, d):
     """Sales at rank 5, eight sweeps at most: the factor table."""
@@ -316,11 +405,13 @@ def _(spark, d):
 
 @query(
     "G5_reconstruct",
-    f"""WITH {EVENTS}, {_factors_sql(3, 6)}
+    f"""WITH {EVENTS}, {_own_factors_sql(3)}
 SELECT f0.idx AS i0, f1.idx AS i1, f2.idx AS i2, round({VALUE}, 9) AS value FROM f0, f1, f2""",
 )
 def _(spark, d):
-    full = cp.reconstruct(_model(spark, tb.event_shape(spark, d), 3, 6, lam=LAM))
+    t = tb.events_tensor(spark, d)
+    tables = [stage(f, "factor") for f in _own_model(t, 3).factors]
+    full = cp.reconstruct(make_model(tables, t.shape, 3, LAM))
     return full.frame.withColumn("value", tidy("value", 9))
 
 
@@ -366,7 +457,25 @@ SELECT idx, {tidy_sql("(x0 * g11 - x1 * g01) / (g00 * g11 - g01 * g01)", 10)} AS
 def _(spark, d):
     t = tb.events_tensor(spark, d, shaped=False)
     halves = t.frame.withColumn("half", F.col("i1") % 2)
-    return flat_rows(cp.pseudo_inverse(factors.rows_from_columns(halves, 2, "i0", "half"), 2), 2, 10)
+    return flat_rows(qr.pseudo_inverse(factors.rows_from_columns(halves, 2, "i0", "half"), 2), 2, 10)
+
+
+@query(
+    "G7_pseudo_inverse_near",
+    f"""WITH {EVENTS}, x AS (SELECT i0 AS idx, sum(value) AS s, sum(value * (i2 + 1)) AS u FROM e GROUP BY 1),
+g AS (SELECT sum(s * s) AS ss, sum(s * u) AS su, sum(u * u) AS uu FROM x),
+h AS (SELECT idx, (s * uu - u * su) / (ss * uu - su * su) AS a, (u * ss - s * su) / (ss * uu - su * su) AS c FROM x, g)
+SELECT idx, {tidy_sql("a - c * 1e6", 4)} AS f0, {tidy_sql("c * 1e6", 4)} AS f1 FROM h""",
+)
+def _(spark, d):
+    """Pseudo-inverse of columns s and s + u / 10^6, a matrix of condition above 10^6; the exact one
+    follows from that of (s, u)."""
+    sums = tb.events_tensor(spark, d, shaped=False).frame.groupBy(F.col("i0").alias("idx")).agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * (F.col("i2") + 1)).alias("u")
+    )
+    rows = sums.select("idx", F.array(F.col("s"), F.col("s") + F.col("u") * 1e-6).alias("vec"))
+    inverse = unpack(qr.pseudo_inverse(rows, 2), 2, "f")
+    return inverse.select("idx", *[tidy(f"f{r}", 4).alias(f"f{r}") for r in range(2)])
 
 
 @query(
@@ -384,8 +493,9 @@ def _(spark, d):
 # --- lining components up ---------------------------------------------------------------
 
 RANK = 4
-FITS = _reps_sql(RANK, (11, 12))
-REFS = _reps_sql(RANK, (31, 32), name="y")
+# Halves of the calendar against each other, components of one numbered differently.
+FITS = _reps_sql(RANK, 0, (0, 1))
+REFS = _reps_sql(RANK, 1, (1, 0), name="y")
 PAIRS = " UNION ALL ".join(
     f"""SELECT rep, {a} AS src, {b} AS dst, abs(sum(x.f{a} * y.f{b})) / sqrt(sum(y.f{b} * y.f{b})) AS sim
 FROM x JOIN y USING (rep, idx) GROUP BY rep"""
@@ -406,8 +516,8 @@ match AS ({" UNION ALL ".join(f"SELECT rep, {a} AS src, d{a} AS dst FROM best" f
 
 
 def _pair(spark, d):
-    n = tb.event_shape(spark, d)[0]
-    return _reps(spark, n, RANK, (11, 12)), _reps(spark, n, RANK, (31, 32))
+    t = tb.events_tensor(spark, d)
+    return _reps(t, RANK, 0, (0, 1)), _reps(t, RANK, 1, (1, 0))
 
 
 @query(
@@ -424,6 +534,38 @@ def _(spark, d):
     return matching.match_components(matching.component_similarity(*_pair(spark, d), RANK), RANK)
 
 
+# More components than kinds: those without a kind are all zero, so their order is a tie.
+WIDE = 8
+WIDE_PAIRS = " UNION ALL ".join(
+    f"""SELECT rep, {a} AS src, {b} AS dst, 1 - CASE WHEN sum(y.f{b} * y.f{b}) = 0 THEN 0e0
+  ELSE abs(sum(x.f{a} * y.f{b})) / sqrt(sum(y.f{b} * y.f{b})) END AS cost FROM x JOIN y USING (rep, idx) GROUP BY rep"""
+    for a in range(WIDE)
+    for b in range(WIDE)
+)
+WIDE_ORDER = ", ".join(f"s{a}.dst" for a in range(WIDE))
+
+
+@query(
+    "H2_match_ties",
+    f"""WITH {EVENTS}, {_reps_sql(WIDE, 0, (0, 1), signed=False)}, {_reps_sql(WIDE, 1, (1, 0), "y", signed=False)},
+c AS MATERIALIZED ({WIDE_PAIRS}),
+best AS (
+  SELECT s0.rep AS rep, {", ".join(f"s{a}.dst AS d{a}" for a in range(WIDE))}
+  FROM c s0 {" ".join(
+      f"JOIN c s{a} ON s{a}.rep = s0.rep AND s{a}.src = {a} AND s{a}.dst NOT IN ({', '.join(f's{b}.dst' for b in range(a))})"
+      for a in range(1, WIDE))}
+  WHERE s0.src = 0
+  QUALIFY row_number() OVER (
+    PARTITION BY s0.rep ORDER BY round({" + ".join(f"s{a}.cost" for a in range(WIDE))}, 9), {WIDE_ORDER}) = 1)
+{" UNION ALL ".join(f"SELECT rep, {a} AS src, d{a} AS dst FROM best" for a in range(WIDE))}""",
+)
+def _(spark, d):
+    """Rank 8, where several orders of the components cost the same: the first of them."""
+    t = tb.events_tensor(spark, d)
+    fits, refs = _reps(t, WIDE, 0, (0, 1), signed=False), _reps(t, WIDE, 1, (1, 0), signed=False)
+    return matching.match_components(matching.component_similarity(fits, refs, WIDE), WIDE)
+
+
 @query(
     "H3_rearrange",
     f"""WITH {MATCH}, long AS (SELECT rep, idx, dst, CASE src {" ".join(f"WHEN {r} THEN f{r}" for r in range(RANK))} END AS v
@@ -554,13 +696,12 @@ def _(spark, d):
     init_state(f"{folder}/state", old, cp.cp_als(old, rank=2, max_iter=1))
     for low, high in ((first, last), (last, t.shape[2])):
         rows = t.frame.where((F.col("i2") >= low) & (F.col("i2") < high))
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/slices")
-    stream = (
-        spark.readStream.schema(t.frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slices")
-    )
-    stream_decompose(
-        stream, f"{folder}/state", f"{folder}/progress", 2, factor=2, reps=1, max_iter=1
-    ).awaitTermination()
+        rows.write.mode("append").parquet(f"{folder}/slices")
+        # All files that have come are one batch; the next start of the stream goes on from there.
+        stream = spark.readStream.schema(t.frame.schema).parquet(f"{folder}/slices")
+        stream_decompose(
+            stream, f"{folder}/state", f"{folder}/progress", 2, factor=2, reps=1, max_iter=1
+        ).awaitTermination()
     state = load_state(spark, f"{folder}/state")
     commits = spark.read.parquet(f"{folder}/state/commits").agg((F.count(F.lit(1)) - 1).alias("batches"))
     return state.weights.select(

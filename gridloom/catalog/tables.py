@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.joins import fits_broadcast
+from gridloom.plans.materialize import stage
 from gridloom.sources.construct import from_arrays, from_coo
 from gridloom.tensor import TensorFrame
 
+# Labels that one task numbers.
+LABELS_A_RANGE = 1 << 20
+
 # Fixed value: day 0 of the event tensor.
 FIRST_DAY = "2024-01-01"
 
@@ -17,14 +22,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def label_numbers(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Labels in alphabetical order with their number, ``(col, name)``, however many.
+    """Labels in alphabetical order with their number, ``(col, name)``, however many; a null
+    label fails the job.
 
-    The numbering sees each distinct label once; joins with it are left to Spark, which
-    broadcasts it if its size allows.
+    The distinct labels are written once and, if they are many, once more by ranges; each range
+    is numbered by itself and shifted by the labels of the ranges before it, of which only the
+    counts reach the driver.  The result is broadcast up to a checked size.
     """
-    found = df.select(col).where(F.col(col).isNotNull()).distinct()
-    place = F.row_number().over(Window.orderBy(col)) - 1
-    return found.select(col, place.cast("bigint").alias(name))
+    missing = F.raise_error(F.lit(f"null label in {col}")).cast(df.schema[col].dataType)
+    labels = stage(df.select(F.coalesce(F.col(col), missing).alias(col)).distinct(), "labels")
+    told = labels.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(F.col(col).cast("string"))).alias("octets")).first()
+    parts = -(-told.n // LABELS_A_RANGE)
+    by = F.lit(0)
+    shift = F.lit(0)
+    if parts > 1:
+        ranged = labels.repartitionByRange(parts, col).withColumn("part", F.spark_partition_id())
+        labels = stage(ranged, "labels")
+        sizes = {r.part: r["count"] for r in labels.groupBy("part").count().collect()}
+        starts, so_far = [], 0
+        for part in range(max(sizes) + 1):
+            starts.append(F.lit(so_far))
+            so_far += sizes.get(part, 0)
+        by, shift = F.col("part"), F.get(F.array(*starts), F.col("part"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(col)) - 1 + shift
+    numbers = labels.select(col, place.cast("bigint").alias(name))
+    fits = fits_broadcast(df.sparkSession, told.n, 16 + 2 * (told.octets or 0))
+    return F.broadcast(numbers) if fits else numbers
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

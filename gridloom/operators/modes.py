@@ -85,10 +85,14 @@ def transpose(matrix: TensorFrame) -> TensorFrame:
 
 
 def forall(tensor: TensorFrame, cond: Callable[[Column], Column]) -> DataFrame:
-    """One row: does every stored value meet the condition (true when none is stored)."""
-    return tensor.frame.agg(
-        F.coalesce(F.bool_and(cond(F.col("value"))), F.lit(True)).alias("holds")
-    )
+    """One row: does every stored value meet the condition (true when none is stored).  A task
+    ends at its first value that does not."""
+    return none_of(tensor.frame, ~cond(F.col("value")))
+
+
+def none_of(frame: DataFrame, broken: Column) -> DataFrame:
+    """One row ``holds``: is there no row for which ``broken`` is true."""
+    return frame.where(broken).select(F.lit(1).alias("one")).limit(1).agg((F.count("one") == 0).alias("holds"))
 
 
 def column(matrix: TensorFrame, c: int) -> TensorFrame:

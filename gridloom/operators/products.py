@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from math import prod
 
 from pyspark.sql import Column, DataFrame
@@ -159,20 +160,26 @@ def dot(u: TensorFrame, v: TensorFrame) -> DataFrame:
 
 def multi_dot(*vectors: TensorFrame) -> DataFrame:
     """One row with the sum over indexes of the product of all vectors, over the
-    indexes stored in every one of them; no vectors give 0.0."""
+    indexes stored in every one of them; no vectors give 0.0.
+
+    The vectors lie over each other, told apart by their number, and are summed per index and
+    vector before they move: one exchange, however many there are.  An index that a vector
+    holds more than once counts with the sum of its values.
+    """
     if not vectors:
         from gridloom.session import active_session
 
         return active_session().range(1).select(F.lit(0.0).alias("value"))
     if any(v.n_modes != 1 for v in vectors):
         raise ValueError("expected vectors")
-    joined = vectors[0].frame.withColumnRenamed("value", "v0")
-    for k, v in enumerate(vectors[1:], 1):
-        joined = joined.join(v.frame.withColumnRenamed("value", f"v{k}"), "i0")
-    product = F.col("v0")
-    for k in range(1, len(vectors)):
-        product = product * F.col(f"v{k}")
-    return joined.agg(F.coalesce(F.sum(product), F.lit(0.0)).alias("value"))
+    for v in vectors[1:]:
+        require_same(vectors[0].shape, v.shape, "lengths differ")
+    tagged = [v.frame.withColumn("of", F.lit(k)) for k, v in enumerate(vectors)]
+    sums = [F.sum(F.when(F.col("of") == k, F.col("value"))).alias(f"v{k}") for k in range(len(vectors))]
+    met = reduce(DataFrame.unionByName, tagged).groupBy("i0").agg(*sums)
+    # A sum is null where a vector has no cell, and so is the product.
+    product = reduce(lambda x, y: x * y, [F.col(f"v{k}") for k in range(len(vectors))])
+    return met.agg(F.coalesce(F.sum(product), F.lit(0.0)).alias("value"))
 
 
 def _matched(t: TensorFrame, u: TensorFrame, how: str) -> DataFrame:

@@ -29,7 +29,6 @@ from gridloom.operators.factors import (
     gram_sums,
     gramian,
     pack,
-    unpack,
     upper_pairs,
 )
 from gridloom.plans.joins import fits_broadcast, heavy_keys, keyed_join
@@ -149,7 +148,7 @@ def solver(grams: Sequence[np.ndarray]) -> np.ndarray:
     return np.linalg.pinv(system, hermitian=True)
 
 
-def _constants(numbers: np.ndarray) -> str:
+def constants(numbers: np.ndarray) -> str:
     """SQL text of driver-side numbers as one constant array.
 
     Generated code refers to a constant array but spells single constants out, so
@@ -167,7 +166,7 @@ def _by_block(per_block: dict[int, np.ndarray], col: str, extent: int) -> str:
     for b, numbers in per_block.items():
         table[b] = numbers.ravel()
     start = "" if blocks == 1 else f"cast({col} div {extent}L as int) * {size} + "
-    return f"get({_constants(table)}, {start}{{r}})"
+    return f"get({constants(table)}, {start}{{r}})"
 
 
 def _times(matrices: dict[int, np.ndarray], rank: int, extent: int = 1) -> list[str]:
@@ -522,12 +521,3 @@ def relative_error(tensor: TensorFrame, model: CPModel) -> DataFrame:
         F.coalesce(F.sum(gap * gap), F.lit(0.0)).alias("gap"), square_norm(both).alias("all")
     )
     return sums.select(ratio(F.sqrt("gap"), F.sqrt("all")).alias("error"))
-
-
-def pseudo_inverse(factor: DataFrame, rank: int) -> DataFrame:
-    """Pseudo-inverse of a tall matrix given by rows ``(idx, vec)``, as its columns
-    ``(idx, vec)``: ``(X'X)+ X'``.  Only X'X reaches the driver.  The condition
-    number is squared, so singular values below about 1e-8 of the largest are lost."""
-    inverse = np.linalg.pinv(gram_matrix(factor, rank), hermitian=True)
-    flat = unpack(factor, rank, "m")
-    return pack(flat.selectExpr("idx", *_times({0: inverse}, rank)), rank, "a").select("idx", "vec")

@@ -11,8 +11,8 @@ Two ways, chosen by a checked size:
   read by about ``PARTS / 3`` tasks instead of one.
 
 Where both sides hold many rows of a key, what counts is the pairs they make: a key with
-more than one part in ``PARTS`` of all pairs, and more than ``LEAST_PAIRS``, is spread on the
-side that has more rows of it, and only the other side is copied.
+more than one part in ``PARTS`` of all pairs, and more than ``LEAST_PAIRS``, is shared out on a
+grid, rows of one side along its lines and rows of the other along its columns.
 """
 
 from __future__ import annotations
@@ -36,37 +36,46 @@ def fits_broadcast(spark: SparkSession, rows: int | None, row_bytes: int) -> boo
 
 
 def heavy_pairs(left: DataFrame, right: DataFrame, key: str, parts: int = PARTS) -> DataFrame:
-    """Keys that make many pairs: the salts they need, and whether the left side is spread."""
-    rows = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(
-        right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key
+    """Keys that make many pairs, with the grid ``_p`` by ``_q`` their pairs are shared out on.
+
+    A row of the left side goes to one line of the grid and all its ``_q`` cells, a row of the
+    right side to one column and all its ``_p`` cells, so each pair meets in one cell.  The grid
+    is as oblong as the sides are: ``l * q + r * p`` rows travel, about twice the root of
+    ``cells * l * r``, which grows with the root of the number of cells.
+    """
+    rows = left.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_l")).join(
+        right.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_r")), key
     )
-    pairs = F.col("_l").cast("double") * F.col("_r")
+    pairs = F.col("_l") * F.col("_r")
     cut = rows.agg(F.greatest(F.sum(pairs) / F.lit(parts), F.lit(float(LEAST_PAIRS))).alias("cut"))
-    copies = F.ceil(pairs / cut.scalar())
-    return rows.select(key, copies.cast("int").alias("_copies"), (F.col("_l") >= F.col("_r")).alias("_left")).where(
-        "_copies > 1"
+    found = rows.withColumn("_cells", F.ceil(pairs / cut.scalar())).where("_cells > 1")
+    lines = F.greatest(F.lit(1.0), F.least(F.col("_cells"), F.round(F.sqrt(F.col("_cells") * F.col("_l") / F.col("_r")))))
+    return found.withColumn("_p", lines.cast("int")).select(
+        key, "_p", F.ceil(F.col("_cells") / F.col("_p")).cast("int").alias("_q")
     )
 
 
 def _pair_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     heavy = heavy_pairs(left, right, key)
 
-    def dealt(side: DataFrame, spread: str) -> DataFrame:
-        # One salt where this side is spread, a copy for each salt where it is not.
+    def dealt(side: DataFrame, own: str, other: str, step: str, across: str) -> DataFrame:
+        # A line of the side's own axis by a hash of its whole-number columns, and every
+        # cell along it.
         fixed = [name for name, kind in side.dtypes if kind in ("bigint", "int")]
-        copies = F.coalesce("_copies", F.lit(1))
-        own = F.array(F.pmod(F.xxhash64(*fixed), copies).cast("int"))
-        every = F.sequence(F.lit(0), copies - 1)
+        line = F.pmod(F.xxhash64(*fixed), F.coalesce(own, F.lit(1))).cast("int")
+        cells = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
         return (
             side.join(F.broadcast(heavy), key, "left")
-            .withColumn("_salt", F.explode(F.when(F.expr(spread), own).otherwise(every)))
-            .drop("_copies", "_left")
+            .withColumn("_line", line)
+            .withColumn("_cell", F.explode(cells))
+            .withColumn("_salt", F.expr(f"_line * coalesce({step}, 1) + _cell * coalesce({across}, 1)"))
+            .drop("_p", "_q", "_line", "_cell")
         )
 
     # Rows of both sides multiply: small as the sides may be, the pairs are shared
     # out by key and salt, not made where the scan of one side happens to run.
-    copied = dealt(right, "NOT _left").hint("merge")
-    return dealt(left, "_left").join(copied, [key, "_salt"], how).drop("_salt")
+    copied = dealt(right, "_q", "_p", "1", "_q").hint("merge")
+    return dealt(left, "_p", "_q", "_q", "1").join(copied, [key, "_salt"], how).drop("_salt")
 
 
 def heavy_keys(frame: DataFrame, key: str, parts: int = PARTS) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +10,8 @@ from gridloom.functions import is_zero, ratio, sign_of
 from gridloom.model import CPModel
 from gridloom.operators.factors import flat_cols, unpack
 
-# Up to this rank all orders of the components are compared as a table
-# (rank! * rank rows); above it each repetition's small cost matrix is solved.
-TABLE_RANK = 6
+# Matchings whose total costs differ by no more than rounding are ties.
+TIE = 1e-12
 
 
 def component_similarity(by_rep: DataFrame, reference: DataFrame, rank: int) -> DataFrame:
@@ -45,7 +42,8 @@ def component_similarity(by_rep: DataFrame, reference: DataFrame, rank: int) ->
 
 def _assign(cost: np.ndarray) -> list[int]:
     """Cheapest one-to-one assignment of a small square matrix: augmenting paths over
-    potentials.  Entry ``s`` of the result is the column given to row ``s``."""
+    potentials.  Entry ``s`` of the result is the column given to row ``s``; among equally
+    cheap assignments it is the first in lexical order."""
     n = len(cost)
     row_gain, col_gain = np.zeros(n), np.zeros(n + 1)
     owner = np.full(n + 1, -1)  # row owning each column; the last column is the start
@@ -73,33 +71,59 @@ def _assign(cost: np.ndarray) -> list[int]:
     given = [0] * n
     for col in range(n):
         given[owner[col]] = col
+    # An assignment is cheapest if and only if it uses edges without slack.
+    tight = cost - row_gain[:, None] - col_gain[None, :n] <= TIE * max(1.0, float(np.abs(cost).max()))
+    return _first_order(tight, given)
+
+
+def _first_order(tight: np.ndarray, given: list[int]) -> list[int]:
+    """The lexically least of the one-to-one assignments along allowed edges, from any of them.
+
+    Row after row takes the least column it can have: one that a later row holds, if that row,
+    and those it displaces in turn, can move on to the column set free."""
+    n = len(given)
+    holder = [0] * n
+    for row, col in enumerate(given):
+        holder[col] = row
+    for row in range(n):
+        for col in np.flatnonzero(tight[row, : given[row]]):
+            if holder[col] < row:
+                continue
+            free, start = given[row], holder[col]
+            # Breadth first over later rows; ``came`` says which row wants a column.
+            came, queue = {int(col): row}, [start]
+            while queue and free not in came:
+                at = queue.pop(0)
+                for other in np.flatnonzero(tight[at]):
+                    if int(other) not in came and holder[other] >= row:
+                        came[int(other)] = at
+                        if other != free:
+                            queue.append(holder[other])
+            if free in came:
+                at = free
+                while True:
+                    mover = came[at]
+                    before = given[mover]
+                    given[mover], holder[at] = at, mover
+                    if mover == row:
+                        break
+                    at = before
+                break
     return given
 
 
 def match_components(similarity: DataFrame, rank: int) -> DataFrame:
     """``(rep, src, dst)``: for every repetition the one-to-one matching of least total
-    cost; among equal ones the first in lexical order of ``dst`` (small ranks)."""
-    if rank > TABLE_RANK:
-
-        def solve(pdf):
-            cost = np.zeros((rank, rank))
-            cost[pdf["src"], pdf["dst"]] = pdf["cost"]
-            given = _assign(cost)
-            return pdf.iloc[:rank].assign(src=range(rank), dst=given)[["rep", "src", "dst"]]
-
-        # rank squared rows per repetition.
-        return similarity.groupBy("rep").applyInPandas(solve, "rep int, src int, dst int")
-
-    rows = [(p, s, d) for p, perm in enumerate(permutations(range(rank))) for s, d in enumerate(perm)]
-    orders = similarity.sparkSession.createDataFrame(rows, "perm int, src int, dst int")
-    totals = (
-        similarity.join(F.broadcast(orders), ["src", "dst"])
-        .groupBy("rep", "perm")
-        .agg(F.sum("cost").alias("total"))
-    )
-    best = totals.groupBy("rep").agg(F.min(F.struct("total", "perm")).alias("best"))
-    picked = best.select("rep", F.col("best.perm").alias("perm"))
-    return picked.join(F.broadcast(orders), "perm").select("rep", "src", "dst")
+    cost; among equal ones the first in lexical order of ``dst``."""
+
+    def solve(pdf):
+        cost = np.zeros((rank, rank))
+        cost[pdf["src"], pdf["dst"]] = pdf["cost"]
+        given = _assign(cost)
+        return pdf.iloc[:rank].assign(src=range(rank), dst=given)[["rep", "src", "dst"]]
+
+    # rank squared rows per repetition.
+    return similarity.groupBy("rep").applyInPandas(solve, "rep int, src int, dst int")
 
 
 def rearrange(by_rep: DataFrame, mapping: DataFrame, rank: int) -> DataFrame:

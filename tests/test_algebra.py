@@ -230,7 +230,7 @@ def test_signs_and_means(spark, factor_table):
     assert np.allclose(mean, [[1, 0, -0.5], [1.5, -0.5, -0.5], [-1.5, 1.5, 0.5]])
 
 
-def test_a_heavy_pair_is_spread_on_one_side_only(spark, monkeypatch):
+def test_a_heavy_pair_of_a_long_and_a_short_side_is_spread_on_the_long_one(spark, monkeypatch):
     from gridloom.plans import joins
 
     left = spark.range(3000).selectExpr("id % 3 AS k", "id AS x")
@@ -239,7 +239,58 @@ def test_a_heavy_pair_is_spread_on_one_side_only(spark, monkeypatch):
     assert joins.heavy_pairs(left, right, "k").count() == 0
     monkeypatch.setattr(joins, "LEAST_PAIRS", 4000)
     heavy = joins.heavy_pairs(left, right, "k").collect()
-    assert [(r._copies, r._left) for r in heavy] == [(5, True)] * 3
+    assert [(r._p, r._q) for r in heavy] == [(5, 1)] * 3
     for one, two in ((left, right), (right, left)):
         met = joins.salted_join(one, two, "k", right_unique=False)
         assert sorted(map(tuple, met.select("k", "x", "y").collect())) == want
+
+
+@pytest.mark.parametrize("least", [250_000, 62_500, 15_625])
+def test_a_key_heavy_on_both_sides_is_shared_out_on_a_grid(spark, monkeypatch, least):
+    """A third of both sides: the rows shipped grow with the root of the cells."""
+    from gridloom.plans import joins
+
+    key = "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k"
+    left = spark.range(3000).selectExpr(key, "id AS x")
+    right = spark.range(3000).selectExpr(key, "id AS y")
+    monkeypatch.setattr(joins, "LEAST_PAIRS", least)
+    (heavy,) = joins.heavy_pairs(left, right, "k").collect()
+    cells = -(-1000 * 1000 // least)
+    assert heavy.k == -1 and heavy._p * heavy._q >= cells
+    assert 1000 * (heavy._p + heavy._q) <= 2.3 * 1000 * cells**0.5
+    met = joins.salted_join(left, right, "k", right_unique=False)
+    assert met.count() == 1000 * 1000 + 2000
+    assert met.where("k = -1").distinct().count() == 1000 * 1000
+
+
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_labels_are_numbered_by_ranges(spark, monkeypatch, size):
+    from gridloom.catalog import tables
+
+    monkeypatch.setattr(tables, "LABELS_A_RANGE", size)
+    words = [f"{'abc'[k % 3]}{k * 7919 % 1000}" for k in range(100)] + ["", "é", "a b"]
+    rows = spark.createDataFrame([(w, k) for k, w in enumerate(words * 3)], "label string, k int").repartition(5)
+    numbers = tables.label_numbers(rows, "label", "number")
+    got = {r.label: r.number for r in numbers.collect()}
+    assert got == {w: k for k, w in enumerate(sorted(set(words), key=lambda w: w.encode()))}
+    if size == 7:
+        plan = numbers._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+    assert tables.label_numbers(rows.limit(0), "label", "number").collect() == []
+    with pytest.raises(Exception, match="null label"):
+        tables.label_numbers(rows.unionByName(spark.sql("select null as label, 1 as k")), "label", "number")
+
+
+def test_one_exchange_for_any_number_of_vectors(shuffled, tensor):
+    u, v = tensor(np.arange(1.0, 7)).store(), tensor(np.array([0, 2.0, 0, 1, 1, 3])).store()
+    found = products.multi_dot(u, v, u, v)
+    plan = found._jdf.queryExecution().executedPlan().initialPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    x, y = np.arange(1.0, 7), np.array([0, 2.0, 0, 1, 1, 3])
+    assert found.first()[0] == (x * y * x * y).sum()
+    with pytest.raises(ValueError, match="lengths"):
+        products.multi_dot(u, tensor(np.ones(5)))
+    close = aggregates.all_close(u, v)
+    plan = close._jdf.queryExecution().executedPlan().initialPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert not close.first()[0] and aggregates.all_close(u, u).first()[0]

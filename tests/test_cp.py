@@ -1,6 +1,7 @@
 """CP models and their fitting, against dense NumPy."""
 
 import string
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.model import make_model
 from gridloom.operators.factors import unpack
-from gridloom.plans import cp
+from gridloom.plans import cp, qr
 from gridloom.plans.materialize import Scratch, stage
 from gridloom.sources import empty_tensor, random_factors
 from gridloom.sources.construct import random_rows
@@ -221,10 +222,57 @@ def test_scratch_tables_are_removed(spark):
 
 def test_pseudo_inverse(factor_table):
     x = np.random.default_rng(0).normal(size=(9, 4))
-    got = factor(cp.pseudo_inverse(factor_table(x), 4), 9, 4).T
+    got = factor(qr.pseudo_inverse(factor_table(x), 4), 9, 4).T
     assert np.allclose(got, np.linalg.pinv(x))
 
 
+def exact_pinv(x):
+    """Pseudo-inverse of a matrix of full column rank in rational numbers."""
+    rows = [[Fraction(float(v)) for v in row] for row in x]
+    rank = len(rows[0])
+    system = [
+        [sum(row[i] * row[j] for row in rows) for j in range(rank)] + [Fraction(int(i == j)) for j in range(rank)]
+        for i in range(rank)
+    ]
+    for i in range(rank):
+        system[i] = [v / system[i][i] for v in system[i]]
+        for j in range(rank):
+            if j != i:
+                system[j] = [a - system[j][i] * b for a, b in zip(system[j], system[i], strict=True)]
+    inverse = [line[rank:] for line in system]
+    return np.array([[float(sum(a * b for a, b in zip(line, row, strict=True))) for row in rows] for line in inverse])
+
+
+@pytest.mark.parametrize("parts", [1, 7, 200])
+def test_pseudo_inverse_of_an_ill_conditioned_matrix(factor_table, parts):
+    """Condition 1e10: its square is beyond doubles, so the Gram matrix loses the small half."""
+    rng = np.random.default_rng(1)
+    u, v = np.linalg.qr(rng.normal(size=(500, 6)))[0], np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    x = (u * np.logspace(0, -10, 6)) @ v.T
+    want = exact_pinv(x)
+    gram = np.linalg.pinv(x.T @ x, hermitian=True) @ x.T
+    assert np.abs(gram - want).max() > 0.1 * np.abs(want).max()
+    table = factor_table(x).repartition(parts)
+    got = factor(qr.pseudo_inverse(table, 6), 500, 6).T
+    assert np.abs(got - want).max() < 1e-6 * np.abs(want).max()
+    # NumPy's own way through the singular values comes no nearer.
+    assert np.abs(got - want).max() < np.abs(np.linalg.pinv(x) - want).max()
+
+
+def test_triangle_and_pseudo_inverse_of_odd_matrices(spark, factor_table, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    monkeypatch.setattr(qr, "FAN_IN", 3)
+    r = qr.triangle(factor_table(x).repartition(30), 3)
+    assert np.allclose(r.T @ r, x.T @ x)
+    for odd in (x[:2], np.stack([x[:, 0], 2 * x[:, 0], x[:, 1]], axis=1), np.zeros((5, 3))):
+        got = factor(qr.pseudo_inverse(factor_table(odd), 3), len(odd), 3).T
+        assert np.allclose(got, np.linalg.pinv(odd))
+    empty = spark.createDataFrame([], "idx bigint, vec array<double>")
+    assert qr.pseudo_inverse(empty, 3).collect() == []
+    with pytest.raises(Exception, match="every row needs 3 numbers"):
+        qr.triangle(factor_table(x[:, :2]), 3)
+
+
 def test_update_is_one_shuffle_of_sums(spark, tensor):
     """The cells meet broadcast factors; only sums per index are exchanged."""
     x = np.random.default_rng(0).random((6, 5, 4))

@@ -34,6 +34,16 @@ def best_order(cost):
     return min(permutations(range(n)), key=lambda p: sum(cost[s, d] for s, d in enumerate(p)))
 
 
+def test_the_first_of_equal_matchings_at_every_rank():
+    rng = np.random.default_rng(0)
+    for turn in range(600):
+        n = int(rng.integers(1, 8 if turn % 50 == 0 else 6))
+        cost = rng.integers(0, 3, (n, n)) / (7.0 if turn % 2 else 1.0)
+        want = min(permutations(range(n)), key=lambda p: (round(sum(cost[s, d] for s, d in enumerate(p)), 9), p))
+        assert matching._assign(cost) == list(want)
+    assert matching._assign(np.zeros((40, 40))) == list(range(40))
+
+
 @pytest.mark.parametrize("rank", [3, 7])
 def test_matching(spark, rank):
     rng = np.random.default_rng(rank)

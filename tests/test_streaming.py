@@ -3,11 +3,21 @@
 import numpy as np
 import pytest
 from dense_tools import dense, factor
+from pyspark.sql import functions as F
 
 from gridloom.model import make_model
 from gridloom.plans.incremental import incremental_step, start_state
 from gridloom.sources import random_factors, slice_window
-from gridloom.streaming.slices import apply_batch, init_state, load_state, retire_versions, stream_decompose
+from gridloom.streaming.slices import (
+    apply_batch,
+    compact,
+    init_state,
+    load_state,
+    read_commit,
+    retire_versions,
+    stream_decompose,
+)
+from gridloom.tensor import TensorFrame
 
 STEP = {"factor": 2, "reps": 1, "max_iter": 2, "tol": 1e-6}
 CELLS = "i0 bigint, i1 bigint, i2 bigint, value double"
@@ -55,7 +65,8 @@ def test_replay_changes_nothing_and_a_torn_batch_is_done_again(spark, case, tmp_
     init_state(path, old, model)
     rows = t.frame.where("i2 >= 4")
     # A batch that died before its commit left half its parts behind.
-    rows.limit(3).write.parquet(f"{path}/cells/version=1")
+    rows.limit(3).withColumn("slab", F.col("i2")).write.partitionBy("slab").parquet(f"{path}/cells/version=1")
+    (tmp_path / "state" / "commits" / "version=1" / "_temporary").mkdir(parents=True)
     assert load_state(spark, path).tensor.shape == (6, 5, 4)
     assert load_state(spark, path).tensor.nnz() == 6 * 5 * 4
     apply_batch(spark, path, rows, 0, 2, **STEP)
@@ -99,3 +110,88 @@ def test_slices_in_pieces_and_in_the_wrong_order_lose_nothing(spark, case, tmp_p
     before = snapshot(state)
     retire_versions(spark, path, 1)
     assert snapshot(load_state(spark, path)) == before
+
+
+def weights_of(x):
+    return {(m, i): (x.take(i, m) ** 2).sum() for m in range(x.ndim) for i in range(x.shape[m])}
+
+
+def spoil(folder, but):
+    """Make all data files of the cells but those of some ranges unreadable."""
+    spoiled = 0
+    for file in (folder / "cells").rglob("part-*.parquet"):
+        if file.parent.name not in but:
+            file.write_bytes(b"not a table")
+            spoiled += 1
+    return spoiled
+
+
+def test_late_rows_read_the_files_of_their_slices_only(spark, case, tmp_path):
+    x, _, old, model = case
+    path = str(tmp_path / "state")
+    init_state(path, old, model, mode=2, width=1)
+    assert spoil(tmp_path / "state", {"slab=2"}) >= 3
+    late = [(1, 2, 2, 0.5), (1, 2, 2, 0.25), (3, 3, 2, -float(x[3, 3, 2]))]
+    apply_batch(spark, path, spark.createDataFrame(late, CELLS), 0, 2, **STEP)
+    want = x[:, :, :4].copy()
+    want[1, 2, 2] += 0.75
+    want[3, 3, 2] = 0.0
+    state = load_state(spark, path)
+    got = {(r.mode, r.idx): r.w for r in state.weights.collect()}
+    assert got.keys() == weights_of(want).keys()
+    assert np.allclose([got[k] for k in got], [weights_of(want)[k] for k in got])
+    commit = read_commit(spark, path)
+    assert {s.slab: (s.files, s.late) for s in commit["slabs"]} == {0: (1, False), 1: (1, False), 2: (2, True), 3: (1, False)}
+    # The model has not been fitted anew, so it is still that of version 0.
+    assert (commit["weights_at"], commit["factors_at"]) == (1, 0)
+    # Compaction reads the one range with late rows, and after it nothing is summed up any more.
+    assert compact(spark, path) == 2
+    commit = read_commit(spark, path)
+    assert not any(s.late for s in commit["slabs"])
+    assert {s.slab: s.base for s in commit["slabs"]} == {0: 0, 1: 0, 2: 2, 3: 0}
+    assert compact(spark, path) is None
+    frame = load_state(spark, path).tensor.frame
+    assert "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert dense(TensorFrame(frame.where("i2 = 2"), old.shape))[1, 2, 2] == want[1, 2, 2]
+
+
+def test_ranges_are_compacted_and_old_files_go(spark, case, tmp_path):
+    x, t, old, model = case
+    path = str(tmp_path / "state")
+    init_state(path, old, model, width=3)
+    for batch in range(3):
+        rows = t.frame.where("i2 = 1").selectExpr("i0", "i1", "i2", "0.5D as value")
+        apply_batch(spark, path, rows, batch, 2, compact_after=3, **STEP)
+    apply_batch(spark, path, t.frame.where("i2 >= 4"), 3, 2, compact_after=3, **STEP)
+    want = x.copy()
+    want[:, :, 1] += 1.5
+    commit = read_commit(spark, path)
+    # Three versions had added to the first range after the second batch: version 3 compacted it.
+    assert [s.base for s in commit["slabs"]] == [3, 0, 0]
+    assert [(s.files, s.late) for s in commit["slabs"]] == [(2, True), (2, False), (1, False)]
+    state = load_state(spark, path)
+    assert np.allclose(dense(state.tensor), want)
+    weights = {(r.mode, r.idx): r.w for r in state.weights.collect()}
+    assert np.allclose([weights[k] for k in sorted(weights)], [weights_of(want)[k] for k in sorted(weights)])
+    before = snapshot(state)
+    compact(spark, path)
+    assert np.allclose(dense(load_state(spark, path).tensor), want)
+    retire_versions(spark, path, 1)
+    left = sorted(f.parent.relative_to(tmp_path / "state" / "cells").as_posix() for f in (tmp_path / "state" / "cells").rglob("part-*.parquet"))
+    last = read_commit(spark, path)["version"]
+    assert set(left) == {f"version={last}/slab=0", f"version={last}/slab=1", f"version={last - 1}/slab=2"}
+    table, weights, cells = snapshot(load_state(spark, path))
+    assert (table, weights) == before[:2]
+    with pytest.raises(LookupError):
+        load_state(spark, path, 0)
+    # Replays are known from the newest commit alone.
+    apply_batch(spark, path, t.frame.where("i2 >= 4"), 3, 2, **STEP)
+    assert read_commit(spark, path)["version"] == last
+
+
+def test_the_growing_mode_is_fixed(spark, case, tmp_path):
+    _, t, old, model = case
+    path = str(tmp_path / "state")
+    init_state(path, old, model)
+    with pytest.raises(ValueError, match="grows on mode 2"):
+        apply_batch(spark, path, t.frame, 0, 1, **STEP)
