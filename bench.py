@@ -45,6 +45,16 @@ def main() -> None:
         )
         return state.model.table()
 
+    def wide():
+        """As if no factor could be broadcast: cells in blocks, factor rows sent to them."""
+        spark.conf.set("gridloom.broadcast.maxBytes", "0")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            return cp.cp_als(sales, rank=5, max_iter=2, tol=0.0).table()
+        finally:
+            spark.conf.unset("gridloom.broadcast.maxBytes")
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
     queries = {
         "events_tensor": lambda: tb.events_tensor(spark, folder, shaped=False).frame,
         "sales_tensor": lambda: tb.sales_tensor(spark, folder, shaped=False).frame,
@@ -59,6 +69,7 @@ def main() -> None:
         "reconstruct_rank10": lambda: cp.reconstruct(model).frame,
         "als_rank5_5_sweeps": lambda: cp.cp_als(sales, rank=5, max_iter=5, tol=0.0).table(),
         "incremental_step_rank5": step,
+        "als_unbroadcast_rank5_2_sweeps": wide,
     }
     times = {}
     for name, build in queries.items():
