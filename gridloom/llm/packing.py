@@ -2,8 +2,9 @@
 
 Documents become pieces of token ids that fill windows of 4096.  A document's whole windows
 stand alone; what is left over is packed with its lexical neighbours.  Left-overs are dealt to
-shards in the order of their most telling tokens, so that neighbours meet; each shard keeps an
-inverted index of BM25 weights, and a seed document asks it for unused neighbours, which fill
+shards in the order of their most telling tokens, so that neighbours meet; a shard keeps an
+inverted index of BM25 weights of one block of them at a time, and a seed document asks it for
+unused neighbours of its block, which fill
 the seed's window in the order of their scores: those that fit whole first, then the best of
 the rest gives as many ids as are free.  What remains of that one is the next seed.  So only
 the last window of a shard is padded, and only to a power of two.
@@ -30,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common, tokens
+from gridloom.llm.words import bytes_of
 
 WINDOW, END = 4096, 2
 K1, B = 1.2, 0.75
 BLOCK_IDS = 1 << 20
+#: Left-overs whose tokens are sorted together for their signatures.
+SIGNED_ROWS = 256
 VOCABULARY = 1 << 16
 #: Ids of a shard: at least the first; as many as the second once there are ``MANY`` shards.
 SHARD_IDS, LARGE_SHARD_IDS, MANY = 2 << 20, 64 << 20, 4000
@@ -89,17 +93,35 @@ class Weights:
 def _signatures(weights, window: int):
     """The two most telling tokens of each left-over, for the order of the shards."""
 
+    def of(ids: np.ndarray, rest: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second token of left-overs, the last ``rest`` ids before ``ends``; -1 for none."""
+        shift = np.cumsum(rest)
+        owner = np.repeat(np.arange(len(rest)), rest)
+        own = ids[np.arange(len(owner)) + np.repeat(ends - shift, rest)]
+        pairs, tf = np.unique(owner * VOCABULARY + own, return_counts=True)
+        doc, term = pairs // VOCABULARY, pairs % VOCABULARY
+        score = weights.value.impact(term, tf, rest[doc])
+        order = np.append(np.lexsort((-score, doc)), [0, 0])  # equal scores: the smaller token
+        at = np.searchsorted(doc, np.arange(len(rest) + 1))
+        count = np.diff(at)
+        padded = np.append(term, -1)
+        pick = lambda k: np.where(count > k, padded[order[at[:-1] + k]], -1)
+        return pick(0), pick(1)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second = [], []
-            for ids in batch.column("ids").to_pylist():
-                terms, tf = np.unique(_rest(ids, window), return_counts=True)
-                score = weights.value.impact(terms, tf, tf.sum())
-                top = terms[np.argsort(-score, kind="stable")[:2]] if len(terms) else []
-                first.append(int(top[0]) if len(top) else -1)
-                second.append(int(top[1]) if len(top) > 1 else -1)
+            raw, offsets = bytes_of(batch.column("ids"))
+            ids, ends = raw.view("<u2").astype(np.int64), offsets[1:] // 2
+            rest = np.diff(offsets) // 2 % window
+            first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            # Some rows at a time: what is sorted together stays small.
+            for begin in range(0, len(rest), SIGNED_ROWS):
+                rows = slice(begin, begin + SIGNED_ROWS)
+                one, two = of(ids, rest[rows], ends[rows])
+                first.append(one)
+                second.append(two)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())],
+                [*batch.columns, pa.array(np.concatenate(first), pa.int32()), pa.array(np.concatenate(second), pa.int32())],
                 names=[*batch.schema.names, "first", "second"],
             )
 
@@ -257,7 +279,11 @@ def pack(
     )
     found = Weights(counts["term"].to_numpy(), counts["n"].to_numpy())
     weights = spark.sparkContext.broadcast(found)
-    signed = stored.mapInArrow(_signatures(weights, window), "doc_id bigint, ids binary, first int, second int")
+    # Written, as dealing by ranges reads its input twice.
+    signed = common.put(
+        stored.mapInArrow(_signatures(weights, window), "doc_id bigint, ids binary, first int, second int"), "signed"
+    )
+    common.drop(stored)
     order = ["first", "second", F.xxhash64("doc_id", F.length("ids"), F.crc32("ids"))]
     dealt = signed.repartitionByRange(shard_count(found.total), *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(_pack(weights, window, block_ids, with_ids), PIECE)
