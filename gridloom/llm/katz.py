@@ -597,7 +597,7 @@ def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _finished(docs, id_col, F.xxhash64(id_col, common.text_or_empty(text_col)), _out_fold(id_col, folds), found, model)
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = ORDER) -> DataFrame:
     """Scores of all rows under the model of their training rows."""
     return score(fit(docs, id_col, text_col, folds, order), docs, id_col, text_col, folds)
 

@@ -11,7 +11,8 @@ else joined with the pages of large sites spread over salts.
 Only DataFrame expressions; every occurrence of a boilerplate line goes, other lines keep
 their order.  Defined cases: a null site is the site ''; a null text has no lines and gives an
 empty text; blank lines are kept and never counted; repeated rows are pages of their own; an
-empty table gives an empty table; other columns pass through, whatever their names.
+empty table gives an empty table; other columns pass through, whatever their names; those
+called as a new column are replaced.
 
 Documents of a source have a ratio of their own, ``DOC_RATIO``: pages of a site come from one
 template, so its lines stand on most of them, while a source gathers many origins, each of
@@ -117,7 +118,8 @@ def line_dedup(
         F.filter("_lines", lambda line: (F.trim(line) == "") | ~F.array_contains("drops", _mark(line)))
     )
     kept = met.withColumn("_stay", stay)
-    columns = [F.col("_row")[c].alias(c) for c in pages.columns if c.lower() != out.lower()]
+    made = {out.lower(), *(["n_lines", "n_dropped"] if counts else [])}
+    columns = [F.col("_row")[c].alias(c) for c in pages.columns if c.lower() not in made]
     extra = [
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size("_stay")).cast("bigint").alias("n_dropped"),

@@ -1,4 +1,4 @@
-"""Exact Jaccard join on word n-grams in metric space.
+"""Exact Jaccard join on word n-grams: prefix filtering by rarest shingles, verified through pivots.
 
 1 - Jaccard is a metric on shingle sets.  Documents alone make poor pivots in it: almost all
 are at distance 1 from each other, and every border would have to be copied everywhere.  So
@@ -499,13 +499,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with a null id have no class and stay."""
     classes = common.put(_classes(docs, id_col, text_col), "classes")
     mark = F.xxhash64(F.col(text_col).cast("binary"))
-    here = (F.col(id_col) == F.col("_id")) & (mark == F.col("_mark"))
-    named = [F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")]
+    own_id, own_mark = common.own(docs, "id"), common.own(docs, "mark")
+    here = (F.col(id_col) == F.col(own_id)) & (mark == F.col(own_mark))
+    named = [F.col("doc_id").alias(own_id), F.col("text_mark").alias(own_mark)]
     gone = classes.where("doc_id IS NOT NULL AND NOT head").select(*named)
     kept = docs.join(gone.distinct(), here, "left_anti")
     # Rows that agree in id and text are one class: all but one of them go.
     heads = classes.where("head AND n_shingles > 0").groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
-    twins = common.put(heads.where("_n > 1").select("_id", "_mark"), "twins")
+    twins = common.put(heads.where("_n > 1").select(own_id, own_mark), "twins")
     if twins.isEmpty():
         return kept
     several = kept.join(twins, here, "left_semi").dropDuplicates([id_col, text_col])

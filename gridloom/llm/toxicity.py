@@ -386,8 +386,11 @@ def train(
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of toxicity of each whole text."""
+    """``docs`` with the probability of toxicity of each whole text; a column called as the result
+    is replaced."""
     spark = docs.sparkSession
+    if out.lower() != text_col.lower():
+        docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()])
     common.ship(spark)
     shared = spark.sparkContext.broadcast(network.p)
 

@@ -146,7 +146,7 @@ def test_scores_are_those_of_the_model(docs, some_texts, monkeypatch, small):
         monkeypatch.setattr(katz, "HOT", 50)
         monkeypatch.setattr(katz, "HOT_LEAST", 20)
     rows = [*some_texts, *[(50 + k, " ".join(f"w{(k * j) % 17}" for j in range(k)), "e") for k in range(60)]]
-    got = katz.katz_scores(docs(rows, (1, 2), "key int, kind int")).collect()
+    got = katz.katz_scores(docs(rows, (1, 2), "key int, kind int"), order=2).collect()
     order = lambda r: (r[0] is None, r[0] or 0, r[2])
     for a, b in zip(sorted(map(tuple, got), key=order), sorted(brute_katz(rows), key=order), strict=True):
         assert a[:5] == b[:5]
@@ -330,7 +330,58 @@ def test_toxic_texts_are_told_by_words_and_by_characters(spark, docs):
     assert toxicity.score(docs([]), one).count() == 0
 
 
-def test_gradients_are_those_of_the_loss():
+def _loss(net, parts, slots, mask, label, weights):
+    logit = net.run(net.gates(net.inputs(parts))[slots], mask, keep=True)[0].astype(np.float64)
+    each = np.log1p(np.exp(logit)) - label * logit
+    return float((each * weights[label.astype(int)]).sum() / len(label))
+
+
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    raw = np.frombuffer(b"alpha beta gamma alpha delta epsilon", dtype=np.uint8)
+    first = np.array([0, 6, 11, 17, 23, 29])
+    last = np.array([5, 10, 16, 22, 28, 36])
+    parts = toxicity.Parts(raw, first, last)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    slots = np.array([[0, 3], [1, 4], [2, 5], [3, 5]])
+    mask = np.array([[1, 1], [1, 1], [1, 1], [1, 0]], dtype=np.float32)
+    label, weights = np.array([1.0, 0.0]), np.array([0.7, 1.3])
+    seen = {}
+
+    def keep(name, rows, d, rate):
+        whole = np.zeros_like(net.p[name])
+        whole[rows] = d
+        seen[name] = whole
+
+    monkeypatch.setattr(net, "_step", keep)
+    net.learn(slots, parts, mask, label, weights, 0.0)
+    assert set(seen) == set(net.p)
+    draw, step = np.random.default_rng(8), 1e-2
+    for name, grad in seen.items():
+        table = net.p[name]
+        places = np.argwhere(np.abs(grad) > 0.2 * np.abs(grad).max())
+        for at in map(tuple, places[draw.permutation(len(places))[:4]]):
+            old, around = table[at], []
+            for sign in (1, -1):
+                table[at] = old + sign * step
+                around.append(_loss(net, parts, slots, mask, label, weights))
+            table[at] = old
+            assert np.isclose((around[0] - around[1]) / (2 * step), grad[at], rtol=0.02, atol=2e-6), name
+
+
+def test_a_text_scores_as_the_highest_of_its_windows():
+    scorer = toxicity.Scorer(toxicity.Network(seed=5).p)
+    words = [f"w{k * k % 97}x" for k in range(3 * toxicity.WINDOW + 7)]
+    alone = [
+        scorer.scores(pa.array([" ".join(words[s : s + toxicity.WINDOW]).encode()]))[0]
+        for s in toxicity.windows_of(len(words))
+    ]
+    assert len(alone) > 3 and np.ptp(alone) > 1e-4
+    whole = scorer.scores(pa.array([b"short", " ".join(words).encode(), None, b""]))
+    assert np.isclose(whole[1], max(alone), atol=1e-4)
+
+
+def test_runs_with_and_without_a_mask_agree():
     draw = np.random.default_rng(4)
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
