@@ -195,16 +195,15 @@ def _(spark, d):
 
 @query(
     "C2_mode_multiply_vec",
-    f"""WITH {SALES}, w AS (SELECT i0, sum(value) AS value FROM bsize GROUP BY 1 HAVING sum(value) % 2 = 0)
+    f"""WITH {SALES}, w AS (SELECT i0, value FROM bsize WHERE i1 = 1)
 SELECT s.i0 AS i0, s.i2 AS i1, sum(s.value * coalesce(w.value, 0)) AS value
 FROM s LEFT JOIN w ON s.i1 = w.i0 GROUP BY 1, 2""",
 )
 def _(spark, d):
     t = tb.sales_tensor(spark, d)
-    # Brands with an odd number of parts have no cell in the vector.
-    parts = construct.from_vector(tb.brand_sizes(spark, d).frame, "i0", "value").frame
-    even = parts.where("value % 2 = 0")
-    return products.mode_multiply_vec(t, 1, construct.from_vector(even, "i0", "value", t.shape[1])).frame
+    # Parts of the least size: brands that have none lack a cell in the vector.
+    least = modes.column(tb.brand_sizes(spark, d), 1).frame
+    return products.mode_multiply_vec(t, 1, construct.from_vector(least, "i0", "value", t.shape[1])).frame
 
 
 @query(
