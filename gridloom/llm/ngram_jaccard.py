@@ -1,4 +1,4 @@
-"""Exact Jaccard join on word n-grams: prefix filtering by rarest shingles, verified through pivots.
+"""Exact Jaccard metric-space join on word n-grams.
 
 1 - Jaccard is a metric on shingle sets.  Documents alone make poor pivots in it: almost all
 are at distance 1 from each other, and every border would have to be copied everywhere.  So
@@ -8,18 +8,25 @@ the other side, so it is copied, as a boundary document, into the regions of as
 next-rarest shingles as the window d allows, and into no others.  Two linked documents then
 share a region.  Regions of one document end there.
 
-Inside the regions documents are the pivots.  Every region names a pivot, its documents'
-distances to the pivot are computed exactly, and what is within d is linked with it.  Regions
-whose documents are now one component are finished - groups of copies cost a row for each
-copy, not a pair for each two - and the others go on with other pivots.  After ``ROUNDS`` the
-pairs that are left, of different components of a region, are those whose sizes and whose
-distances to the region's pivots differ by no more than the triangle inequality allows; they
-are verified one by one, as are all links before.
-
-Rarity is the place of a shingle's count in a sketch of bounded size (16 MB), built; any order gives the same links.  Shingles that only one document copies
-are told by a filter of bounded size (32 MB) before they are shuffled.  Texts are read three
-times instead of keeping all sets: for the sketch, for the regions, and for the sets of
-documents that share a region.
+Inside the regions documents are the pivots.  Every region names the document that shares most
+with others, the distances to it are computed exactly, and what is within d is linked with it.
+Regions whose documents are now one component are finished - groups of copies cost a row for
+each copy, not a pair for each two.  In the others documents stay that can have a link to another
+component: their windows share enough shingles, and this region is the first that both are in.
+Large regions are then parted into the Voronoi cells of ``PIVOTS`` documents: each document goes to
+its nearest pivot, at distance m, and as a boundary document into the cells of all pivots within
+m + 2 d, so by the triangle inequality linked documents share a cell.  Cells are parted again as long
+as that saves a quarter of the comparisons.
+
+What is left is compared in tasks of bounded size: a cell is cut by the sizes of its sets (a link
+joins equal or adjoining bands of sizes) and into parts of ``CELL_DOCS`` documents, and a task
+holds two parts.  It returns a spanning forest of the links it finds, never pairs.  Parts of the
+cell's largest component are not compared with each other.
+
+Rarity is the place of a shingle's count in a sketch of bounded size (16 MB); any order gives the
+same links.  Shingles that only one document copies are told by a filter of bounded size (32 MB)
+before they are shuffled.  Texts are read again instead of keeping all sets: for the sketch, for
+the regions, and for the sets of documents that share a region.
 
 Defined cases: null and blank texts have an empty set and link with nothing; texts of fewer
 words than a shingle are one shingle of all their words; equal sets are one node; rows with a
@@ -28,6 +35,7 @@ null id have no component; an empty table gives an empty table; other columns ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
-from gridloom.llm.components import attach, components
+from gridloom.llm.components import attach, components, roots
 from gridloom.llm.words import MULTIPLIERS, hash_words, mixed
 
 WORDS, SIMILARITY = 5, 80
@@ -45,8 +53,12 @@ WORDS, SIMILARITY = 5, 80
 SHINGLES_PER_COUNTER, LEAST_SKETCH, MOST_SKETCH, SKETCH_PART = 8, 1 << 16, 1 << 24, 1 << 16
 #: Places of the filters: so many for a key or node, between the least and the most.
 PLACES_PER_KEY, LEAST_PLACES, MOST_PLACES, PLACE_PART = 8, 1 << 20, 1 << 28, 1 << 20
-#: Pivots that regions of the same documents may name in one round, and rounds.
-PIVOTS, ROUNDS = 4, 2
+#: Documents that part a region into Voronoi cells.
+PIVOTS = 4
+#: Documents and shingles of one part of a cell; a task holds two parts.
+CELL_DOCS, CELL_SHINGLES = 128, 1 << 20
+#: Columns of a block of the incidence matrix of a cell.
+COLUMNS = 1 << 14
 #: Texts that are cut into shingles at a time.
 TEXTS = 400
 
@@ -194,12 +206,7 @@ def shared_places(nodes: DataFrame) -> np.ndarray:
     keys = nodes.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
     places = _power_of_two(PLACES_PER_KEY * keys, LEAST_PLACES, MOST_PLACES)
     hit = nodes.select("keys").mapInArrow(_hit_places(places), "part int, places binary")
-    both = hit.repartition(64, "part").mapInArrow(_twice, "part int, places binary")
-    bits = np.zeros(places // 8, dtype=np.uint8)
-    size = PLACE_PART // 8
-    for row in both.toLocalIterator():
-        bits[row.part * size : (row.part + 1) * size] = np.frombuffer(row.places, dtype=np.uint8)
-    return bits
+    return _filter_of(hit.repartition(64, "part").mapInArrow(_twice, "part int, places binary"), places)
 
 
 def _shared_keys(bits):
@@ -226,14 +233,35 @@ def _wanted_place(one: np.ndarray, doc_id: np.ndarray, places: int) -> np.ndarra
 
 def _wanted_places(places: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places of documents, as lists by part of the filter."""
         for batch in batches:
             doc_id = batch.column("doc_id").fill_null(0).to_numpy()
-            at = _wanted_place(batch.column("one").to_numpy(), doc_id, places)
-            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
+            at = np.unique(_wanted_place(batch.column("one").to_numpy(), doc_id, places))
+            parts, begins = np.unique(at // PLACE_PART, return_index=True)
+            own = [(piece % PLACE_PART).astype(np.int32).tobytes() for piece in np.split(at, begins[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(own, pa.binary())], names=["part", "places"])
 
     return place
 
 
+def _any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen.setdefault(part, np.zeros(PLACE_PART, dtype=bool))[np.frombuffer(places, dtype=np.int32)] = True
+    for part, hit in seen.items():
+        bits = np.packbits(hit, bitorder="little")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()])], names=["part", "places"])
+
+
+def _filter_of(parts: DataFrame, places: int) -> np.ndarray:
+    """The bits of all parts of a filter, a part at a time."""
+    bits, size = np.zeros(places // 8, dtype=np.uint8), PLACE_PART // 8
+    for row in parts.toLocalIterator():
+        bits[row.part * size : (row.part + 1) * size] = np.frombuffer(row.places, dtype=np.uint8)
+    return bits
+
+
 def _wanted_sets(bits, words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -336,56 +364,248 @@ class Join:
         spark = self.texts.sparkSession
         told = common.put(wanted.join(self.nodes.select("node", "one", "two", "doc_id"), "node"), "wanted")
         places = _power_of_two(PLACES_PER_KEY * 2 * told.count(), LEAST_PLACES, MOST_PLACES)
-        place = told.select("one", "doc_id").mapInArrow(_wanted_places(places), "place bigint")
-        byte = place.groupBy(F.shiftright("place", 3).alias("at")).agg(
-            F.bit_or(F.expr("shiftleft(1, cast(place & 7 AS int))")).alias("bits")
-        )
-        found = byte.toArrow()  # one row for each byte of the filter at most
-        bits = np.zeros(places // 8, dtype=np.uint8)
-        bits[found["at"].to_numpy()] = found["bits"].to_numpy()
-        sets = self.texts.mapInArrow(
-            _wanted_sets(spark.sparkContext.broadcast(bits), self.words), "one bigint, two bigint, shingles binary"
-        )
+        own = told.select("one", "doc_id").mapInArrow(_wanted_places(places), "part int, places binary")
+        hit = _filter_of(own.repartition(64, "part").mapInArrow(_any, "part int, places binary"), places)
+        bits = spark.sparkContext.broadcast(hit)
+        sets = self.texts.mapInArrow(_wanted_sets(bits, self.words), "one bigint, two bigint, shingles binary")
         # Repeated rows give their set more than once.
-        return common.put(
+        found = common.put(
             sets.join(told, ["one", "two"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"
         )
+        bits.destroy()
+        common.drop(told)
+        return found
 
-    def pivot_round(self, regions: DataFrame, turn: int, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Name a pivot in each region and measure the distances to it.
+    def pivot_round(self, regions: DataFrame) -> DataFrame:
+        """Sizes of intersection and union of each region's pivot with its documents.
 
-        At first it is the document that shares most with others, as the one does of which the
-        others are copies; after that, regions of the same documents name a few at random."""
-        if turn == 0:
-            most = regions.groupBy("node").agg((-F.sum("n")).alias("h"))
-            regions = regions.join(most, "node")
-            order = F.struct("h", "node", "size")
-        else:
-            order = F.struct(F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)), F.lit(turn)).alias("h"), "node", "size")
+        The pivot is the document that shares most with others, as the one does of which the
+        others are copies."""
+        most = regions.groupBy("node").agg((-F.sum("n")).alias("h"))
         pivots = common.put(
-            regions.groupBy("key").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("n")).select(
-                "key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), "n"
-            ),
+            regions.join(most, "node").groupBy("key").agg(
+                F.min(F.struct("h", "node", "size")).alias("p"), F.count(F.lit(1)).alias("n")
+            ).select("key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), "n"),
             "pivots",
         )
-        named = common.put(common.lookup(regions.select("key", "node", "size"), pivots, "key", "n"), "named")
+        named = common.lookup(regions.select("key", "node", "size"), pivots, "key", "n")
         s = self.similarity
         sizes = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * s
         pairs = named.where(sizes & (F.col("node") != F.col("pivot"))).select(
             F.col("pivot").alias("a"), F.col("node").alias("b")
         ).distinct()
-        if seen is not None:
-            pairs = _unseen(pairs, seen)
-        return named, self.measured(common.put(pairs, "pairs"))
+        return self.measured(common.put(pairs, "pairs"))
+
+    def related(self, regions: DataFrame) -> DataFrame:
+        """Rows ``(cell, node, size, class)`` of open regions whose windows allow a link to a
+        document of another component, in the first region that both are in."""
+        rows = regions.select(F.col("key").alias("cell"), "node", "size", "class")
+        told = _in_cells(rows, self.keys, self.similarity, _allowed(self.similarity), "cell bigint, node bigint")
+        return common.put(
+            rows.join(told.distinct(), ["cell", "node"], "left_semi"), "related"
+        )
+
+    def parted(self, cells: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Large cells as Voronoi cells of some of their documents; and the links found on the way."""
+        reach = 2 * (1 - self.similarity / 100) + 1e-9
+        links = None
+        done, todo = [], cells
+        while True:
+            size = todo.groupBy("cell").agg(
+                F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")
+            )
+            size = common.put(size.where("low <> high").select("cell", "n"), "cells")
+            todo = common.put(common.lookup(todo, size, "cell", "n"), "sized")
+            done.append(todo.where(F.col("n") <= 2 * CELL_DOCS).drop("n"))
+            large = todo.where(F.col("n") > 2 * CELL_DOCS)
+            if large.isEmpty():
+                break
+            h = F.xxhash64("node", "cell", F.lit(len(done)))
+            slots = large.groupBy("cell", F.pmod(h, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(h, "node")).alias("p"))
+            pivots = slots.groupBy("cell").agg(F.collect_list("p.node").alias("pivots"))  # PIVOTS at most
+            pivots = common.put(pivots.join(size, "cell"), "pivots")
+            named = common.lookup(large.drop("n"), pivots, "cell", "n")
+            named = common.put(named.select("*", F.explode("pivots").alias("a")).drop("pivots"), "named")
+            found = _verified(named.select("a", F.col("node").alias("b")).distinct(), sets)
+            new = common.put(_similar_pairs(found, self.similarity), "links")
+            links = new if links is None else links.unionByName(new)
+            away = found.select("a", F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("away"))
+            placed = named.join(away, ["a", "node"]).groupBy("cell", "node", "size", "class", "n").agg(
+                F.collect_list(F.struct("away", "a")).alias("to")  # one for each pivot
+            )
+            near = F.filter("to", lambda p: p["away"] <= F.array_min("to")["away"] + reach)
+            moved = common.put(placed.select("cell", "node", "size", "class", "n", F.explode(near).alias("to")), "moved")
+            # A cell stays whole where cells of its own would not save a quarter of the comparisons.
+            child = moved.groupBy("cell", "n", "to.a").agg(F.count(F.lit(1)).alias("m"))
+            saved = child.groupBy("cell", "n").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("after"))
+            saved = common.put(saved.where("4 * after <= 3D * n * n").select("cell", "n"), "saved")
+            split = common.lookup(moved.drop("n"), saved, "cell", "n")
+            whole = large.select("cell", "node", "size", "class").join(saved.select("cell"), "cell", "left_anti")
+            done.append(common.put(whole, "whole"))
+            todo = common.put(split.select(F.xxhash64("cell", "to.a").alias("cell"), "node", "size", "class"), "split")
+        rows = done[0]
+        for more in done[1:]:
+            rows = rows.unionByName(more)
+        return rows, links
+
+    def linked(self, regions: DataFrame) -> DataFrame | None:
+        """Links ``(a, b)`` that join the components of open regions as far as they are linked."""
+        cells = self.related(regions)
+        if cells.isEmpty():
+            return None
+        sets = self.sets(cells.select("node").distinct())
+        cells, on_the_way = self.parted(cells, sets)
+        links = common.put(_in_cells(cells, sets, self.similarity, _links(self.similarity), "a bigint, b bigint"), "links")
+        return links if on_the_way is None else links.unionByName(on_the_way)
 
 
 def prefix_size_of(size: str, similarity: int) -> Column:
     return F.col(size) - F.floor((F.col(size) * similarity + 99) / 100) + 1
 
 
-def _unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
-    both_ways = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both_ways, ["a", "b"], "left_anti")
+def _similar_pairs(found: DataFrame, similarity: int) -> DataFrame:
+    return found.where(_similar(similarity)).where("a <> b").select("a", "b")
+
+
+def _in_cells(rows: DataFrame, held: DataFrame, similarity: int, compare, schema: str) -> DataFrame:
+    """What ``compare`` makes of the cells of rows ``(cell, node, size, class)`` and their sets.
+
+    A document is at home in the band of its size and a guest in the band below; a cell is compared
+    band by band.  Where a band is too much for a task, its rows are dealt over parts and each two parts
+    are one task; the parts of its largest component are compared with the others only."""
+    base = math.log(max(100 / similarity, 1.01)) * (1 + 1e-9)
+    band = F.floor(F.log("size") / F.lit(base))
+    banded = rows.select("*", F.explode(F.array(band, band - 1)).alias("band"), band.alias("home"))
+    by_class = banded.groupBy("cell", "band", "class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"),
+        F.sum((F.col("home") == F.col("band")).cast("bigint")).alias("homes"),
+    )
+    tasks = by_class.groupBy("cell", "band").agg(
+        F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.sum("homes").alias("homes"),
+        F.max(F.struct("n", "weight", "class")).alias("main"), F.count(F.lit(1)).alias("classes"),
+    ).where("classes > 1 AND homes > 0")
+    parts = lambda n, weight: F.greatest(F.ceil(n / CELL_DOCS), F.ceil(weight / CELL_SHINGLES))
+    name = F.concat_ws(".", "cell", "band").alias("name")
+    tasks = common.put(
+        tasks.select(
+            name, "n", F.col("main.class").alias("main"),
+            F.when((F.col("n") <= 2 * CELL_DOCS) & (F.col("weight") <= 2 * CELL_SHINGLES), 0)
+            .otherwise(parts(F.col("main.n"), F.col("main.weight"))).alias("mains"),
+            F.when((F.col("n") <= 2 * CELL_DOCS) & (F.col("weight") <= 2 * CELL_SHINGLES), 1)
+            .otherwise(parts(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight"))).alias("others"),
+        ), "tasks",
+    )
+    dealt = common.lookup(banded.select("*", name), tasks, "name", "n")
+    is_main = (F.col("class") == F.col("main")) & (F.col("mains") > 0)
+    h = F.xxhash64("node", F.lit(1))
+    part = F.when(is_main, F.pmod(h, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(h, F.greatest("others", F.lit(1))))
+    last = F.col("mains") + F.col("others") - 1
+    other = F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), last))
+    spread = dealt.select(
+        "cell", "band", "node", "size", "class", (F.col("home") == F.col("band")).alias("home"), part.alias("part"), other.alias("other")
+    )
+    placed = spread.select(
+        "cell", "band", "node", "size", "class", "home", F.least("part", "other").alias("one"),
+        F.greatest("part", "other").alias("two"), (F.col("part") <= F.col("other")).alias("left"),
+    )
+    full = attach(placed, held, "node", "inner")
+    where = ["cell", "band", "one", "two"]
+    return full.repartition(*where).sortWithinPartitions(*where).mapInArrow(compare, schema)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one task of a cell at a time."""
+    where, rest = ["cell", "band", "one", "two"], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        names = np.stack([table.column(c).to_numpy() for c in where])
+        begins = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1).tolist()]
+        for begin, end in zip(begins, begins[1:], strict=False):
+            yield table.slice(begin, end - begin)
+        rest = table.slice(begins[-1])
+    if rest is not None:
+        yield rest
+
+
+def _sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of the sets of a cell, and the row of each."""
+    own = [np.frombuffer(held.as_buffer(), dtype=np.uint64) for held in table.column("shingles")]
+    return np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own])
+
+
+def _shared(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many elements each two of n sets share."""
+    total = np.zeros((n, n))
+    values, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    several = counts[at] > 1
+    column = (np.cumsum(counts > 1) - 1)[at[several]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[several][order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        begin, end = np.searchsorted(column, [low, low + COLUMNS])
+        block = np.zeros((n, min(COLUMNS, width - low)), dtype=np.float32)
+        block[owner[begin:end], column[begin:end] - low] = 1
+        total += block @ block.T
+    return total
+
+
+def _open(table: pa.Table) -> np.ndarray:
+    """Which two rows of a cell are to be compared here."""
+    label, home, left = (table.column(c).to_numpy() for c in ("class", "home", "left"))
+    both_parts = table.column("one")[0] == table.column("two")[0]
+    open_pairs = (label[:, None] != label) & (home[:, None] | home)
+    return open_pairs if both_parts else open_pairs & (left[:, None] != left)
+
+
+def _allowed(similarity: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents whose windows share as many shingles with another's as linked documents must.
+
+        Documents of sizes m and n that are linked have t = s (m + n) / (1 + s) shingles in
+        common; of those, windows of sizes p and q share at least min(p - m, q - n) + t."""
+        for table in _cells(batches):
+            pairs, size = _open(table), table.column("size").to_numpy()
+            pairs &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * similarity
+            if not pairs.any():
+                continue
+            flat, owner = _sets_of(table)
+            over = prefix_size(size, similarity) - size
+            least = np.minimum.outer(over, over) + np.ceil(np.add.outer(size, size) * similarity / (100 + similarity) - 1e-9)
+            key = table.column("cell").to_numpy()[:1].view(np.uint64)[0]
+            before = flat < key
+            pairs &= (_shared(flat, owner, len(size)) >= least) & (_shared(flat[before], owner[before], len(size)) == 0)
+            hit = pa.array(np.flatnonzero(pairs.any(axis=0)))
+            if len(hit):
+                found = table.select(["cell", "node"]).take(hit).combine_chunks()
+                yield from found.to_batches()
+
+    return compare
+
+
+def _links(similarity: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A spanning forest of the links of each task."""
+        for table in _cells(batches):
+            pairs, size = _open(table), table.column("size").to_numpy()
+            pairs &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * similarity
+            if not pairs.any():
+                continue
+            flat, owner = _sets_of(table)
+            both = _shared(flat, owner, len(size))
+            pairs &= both * 100 >= (np.add.outer(size, size) - both) * similarity
+            one, two = np.nonzero(np.triu(pairs))
+            if len(one):
+                node = table.column("node").to_numpy()
+                nodes, root = roots(node[one], node[two])
+                other = nodes != root
+                yield pa.RecordBatch.from_arrays([pa.array(root[other]), pa.array(nodes[other])], names=["a", "b"])
+
+    return compare
 
 
 def _unfinished(regions: DataFrame, classes: DataFrame) -> DataFrame:
@@ -400,24 +620,6 @@ def _unfinished(regions: DataFrame, classes: DataFrame) -> DataFrame:
     return common.put(common.lookup(classed, open_keys, "key", "n"), "left")
 
 
-def _remaining_pairs(regions: DataFrame, seen: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of different components of a region that sizes and distances to the pivot allow."""
-    reach = F.lit(1 - similarity / 100 + 1e-9)
-    away = seen.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("away"))
-    placed = regions.join(away.dropDuplicates(["pivot", "node"]), ["pivot", "node"], "left")
-    placed = common.put(placed.where("node <> pivot").select("key", "node", "size", "class", "away"), "placed")
-    one = placed.select("key", *[F.col(c).alias(f"{c}_1") for c in ("node", "size", "class", "away")])
-    pairs = (
-        placed.join(one, "key")
-        .where("node < node_1 AND class <> class_1")
-        .where(F.least("size", "size_1") * 100 >= F.greatest("size", "size_1") * similarity)
-        .where(F.coalesce(F.abs(F.col("away") - F.col("away_1")) <= reach, F.lit(True)))
-        .select(F.col("node").alias("a"), F.col("node_1").alias("b"))
-        .distinct()
-    )
-    return common.put(_unseen(pairs, seen), "rest")
-
-
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY
 ) -> DataFrame:
@@ -454,26 +656,23 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, si
     own = F.when(F.col("size") > 0, sign).otherwise(F.concat(F.lit("row"), "row"))
     rows = common.put(told.select("doc_id", "mark", "size", own.alias("sign")), "rows")
     common.drop(told)
+    levels.destroy()
     bits = spark.sparkContext.broadcast(shared_places(nodes))
     copies = nodes.select("keys", "node", "size").mapInArrow(_shared_keys(bits), "key bigint, node bigint, size bigint")
     copies = common.put(copies, "copies")
+    bits.destroy()
     regions = common.put(copies.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     left = common.put(common.lookup(copies, regions, "key", "n"), "shared")
     common.drop(copies)
 
-    join, seen, classes = Join(texts, nodes, words, similarity), None, None
-    for turn in range(ROUNDS):
-        left, found = join.pivot_round(left, turn, seen)
-        seen = found if seen is None else common.put(seen.unionByName(found), "seen")
-        classes = components(seen.where(_similar(similarity)).select("a", "b"))
-        left = _unfinished(left, classes)
-        if left.isEmpty():
-            break
-    else:
-        rest = _remaining_pairs(left, seen, similarity)
-        if not rest.isEmpty():
-            seen = seen.unionByName(join.measured(rest))
-            classes = components(seen.where(_similar(similarity)).select("a", "b"))
+    join = Join(texts, nodes, words, similarity)
+    links = common.put(_similar_pairs(join.pivot_round(left), similarity), "links")
+    classes = components(links)
+    left = _unfinished(left, classes)
+    if not left.isEmpty():
+        more = join.linked(left)
+        if more is not None:
+            classes = components(links.unionByName(more))
     # Rows find their node by its 128-bit sign and size.
     named = nodes.join(classes, "node", "left").select(sign.alias("sign"), F.coalesce("component", "node").alias("class"))
     classed = attach(rows, common.put(named, "signs"), "sign")

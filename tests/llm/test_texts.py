@@ -223,10 +223,13 @@ def brute_classes(rows):
     return [(i, len(own), None if i is None else least[at.get(k, k)]) for k, (i, own) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("rounds", [1, 2])
-def test_classes_of_near_duplicates(docs, some_texts, monkeypatch, rounds):
-    monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
-    monkeypatch.setattr(ngram_jaccard, "PIVOTS", 1)
+SMALL_CELLS = [{}, {"CELL_DOCS": 2, "COLUMNS": 16}, {"CELL_SHINGLES": 300, "PIVOTS": 2}]
+
+
+@pytest.mark.parametrize("small", SMALL_CELLS)
+def test_classes_of_near_duplicates(docs, some_texts, monkeypatch, small):
+    for name, value in small.items():
+        monkeypatch.setattr(ngram_jaccard, name, value)
     draw = np.random.default_rng(5)
     rows = list(some_texts)
     base = [f"t{k}" for k in draw.integers(0, 500, 120)]
@@ -240,6 +243,34 @@ def test_classes_of_near_duplicates(docs, some_texts, monkeypatch, rounds):
     assert sorted(map(tuple, got), key=order) == sorted(brute_classes(rows), key=order)
 
 
+@pytest.mark.parametrize("small", [{"CELL_DOCS": 8}, {"CELL_DOCS": 30, "PIVOTS": 8}])
+def test_near_copies_without_a_common_pivot(docs, monkeypatch, small):
+    """300 texts, each away from one that is not there by three edits of 24 places: few of them link."""
+    for name, value in small.items():
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    draw = np.random.default_rng(8)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(300):
+        text = list(base)
+        for place in draw.choice(24, 3, replace=False):
+            text[5 * place + 2] = f"edit{draw.integers(0, 4)}"
+        rows.append((k, " ".join(text), "n"))
+    want = brute_classes(rows)
+    assert 20 < len({c for _, _, c in want}) < 280
+    got = ngram_jaccard.jaccard_classes(docs(rows)).drop("text_mark").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_every_two_sets_are_counted():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 40, 40, 7)]
+    owner = np.repeat(np.arange(6), [len(own) for own in sets])
+    got = ngram_jaccard._shared(np.concatenate(sets), owner, 6)
+    for x in range(6):
+        for y in range(6):
+            assert x == y or got[x, y] == len(np.intersect1d(sets[x], sets[y]))
+
+
 def test_one_of_each_class_stays(docs, some_texts):
     kept = ngram_jaccard.keep_one_of_each(docs(some_texts)).collect()
     ids = [r.doc_id for r in kept]
