@@ -18,12 +18,13 @@ def component_similarity(by_rep: DataFrame, reference: DataFrame, rank: int) ->
     """``(rep, src, dst, sim, cost)``: absolute product of column ``src`` of each
     repetition's factor with the unit-length column ``dst`` of its reference.
 
-    Both are ``(rep, idx, vec)``.  One join and one aggregate; per repetition
-    ``rank`` squared sums leave each task.
+    Both are ``(rep, idx, vec)``; a row of the reference that the factor lacks counts as zero
+    there and keeps its part of the column's length.  One join and one aggregate; per
+    repetition ``rank`` squared sums leave each task.
     """
-    met = unpack(by_rep, rank).join(unpack(reference, rank, "g"), ["rep", "idx"])
+    met = unpack(reference, rank, "g").join(unpack(by_rep, rank), ["rep", "idx"], "left")
     sums = met.groupBy("rep").agg(
-        *[F.expr(f"sum(f{a} * g{b}) as d_{a}_{b}") for a in range(rank) for b in range(rank)],
+        *[F.expr(f"coalesce(sum(f{a} * g{b}), 0D) as d_{a}_{b}") for a in range(rank) for b in range(rank)],
         *[F.expr(f"sqrt(sum(g{b} * g{b})) as n_{b}") for b in range(rank)],
     )
     cells = F.array(

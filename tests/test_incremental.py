@@ -80,6 +80,16 @@ def numpy_renorm(mat, ref):
     return mat * np.where(own > 0, want / np.where(own > 0, own, 1), 0) * sign
 
 
+def test_similarity_measures_columns_over_all_reference_rows(spark):
+    """A sampled slice without cells has a reference row but no fitted one."""
+    fitted = spark.createDataFrame([(0, 0, [1.0, 0.0])], "rep int, idx bigint, vec array<double>")
+    reference = spark.createDataFrame(
+        [(0, 0, [3.0, 1.0]), (0, 1, [4.0, 0.0])], "rep int, idx bigint, vec array<double>"
+    )
+    sims = {(r.src, r.dst): r.sim for r in matching.component_similarity(fitted, reference, 2).collect()}
+    assert sims == pytest.approx({(0, 0): 0.6, (0, 1): 1.0, (1, 0): 0.0, (1, 1): 0.0})
+
+
 def test_renorm_uses_the_reference_rows_only(spark):
     rng = np.random.default_rng(0)
     mats = [rng.normal(size=(8, 3)) for _ in range(2)]
