@@ -776,13 +776,8 @@ def _(spark, d):
     return flat_rows(_stepped(spark, d, True).model.table(), 2)
 
 
-@query(
-    "H8_stream_decompose",
-    f"""WITH {SALES}, {SALES_WEIGHTS}
-SELECT mode, idx, w, (SELECT count(*) FROM s) AS cells, 2::BIGINT AS batches FROM weights""",
-)
-def _(spark, d):
-    """Sales in two streamed slices: the weights and cells kept by the stream's state."""
+def _streamed(spark, d):
+    """Sales in two streamed slices after a first third: the state, and the batches it was made in."""
     from gridloom.streaming.slices import init_state, load_state, stream_decompose
 
     t = tb.sales_tensor(spark, d)
@@ -799,10 +794,33 @@ def _(spark, d):
         stream_decompose(
             stream, f"{folder}/state", f"{folder}/progress", 2, factor=2, reps=1, max_iter=1
         ).awaitTermination()
-    state = load_state(spark, f"{folder}/state")
     commits = spark.read.parquet(f"{folder}/state/commits").agg((F.count(F.lit(1)) - 1).alias("batches"))
+    return load_state(spark, f"{folder}/state"), commits
+
+
+@query(
+    "H8_stream_decompose",
+    f"""WITH {SALES}, {SALES_WEIGHTS}
+SELECT mode, idx, w, (SELECT count(*) FROM s) AS cells, 2::BIGINT AS batches FROM weights""",
+)
+def _(spark, d):
+    """The weights and cells kept by the stream's state."""
+    state, commits = _streamed(spark, d)
     return state.weights.select(
         "mode", "idx", "w",
         aggregates.nnz(state.tensor).scalar().alias("cells"),
         commits.scalar().alias("batches"),
     )
+
+
+def _streamed_sql() -> str:
+    thirds = ["(n2 // 3)", "(n2 * 2 // 3)", "n2"]
+    first, names = _step_sql("p", "s", "slen", thirds[0], thirds[1], ("b0", "b1", "b2"), 1, 1)
+    second, names = _step_sql("q", "s", "slen", thirds[1], thirds[2], names, 1, 1)
+    return f"WITH {SALES}, {_base_sql('s', 'slen', thirds[0], 1)}, {first}, {second} {_model_sql(names)}"
+
+
+@query("H8_stream_model", _streamed_sql())
+def _(spark, d):
+    """The model the stream's state holds after two steps of a sweep each: factor rows of all modes."""
+    return flat_rows(_streamed(spark, d)[0].model.table(), 2)
