@@ -386,6 +386,41 @@ def _(spark, d):
     return spark.range(1).select(F.inline(rows))
 
 
+#: Sweeps the fit to its end may take, and the change of the error that ends it.
+MOST_SWEEPS, STOP = 12, 1e-3
+
+
+def _whole_fit_sql() -> str:
+    """Every sweep a fit might take; the first one that changes the error by no more than ``STOP`` counts."""
+    sweeps = [tuple(f"h{3 * k + m}" for m in MODES) for k in range(MOST_SWEEPS)]
+    errors = " UNION ALL ".join(
+        f"""SELECT {k} AS sweep, sqrt(sum(power(l0 * a.f0 * b.f0 * c.f0 + l1 * a.f1 * b.f1 * c.f1 - value, 2)))
+  / sqrt(sum(value * value)) AS error FROM s JOIN {a} a ON a.idx = i0 JOIN {b} b ON b.idx = i1 JOIN {c} c ON c.idx = i2, {c}_lam"""
+        for k, (a, b, c) in enumerate(sweeps)
+    )
+    rows = " UNION ALL ".join(
+        f"""SELECT {m} AS mode, idx, {flat_rows_sql(2, 5)}, ended + 1 AS sweeps, round(error, 7) AS error
+  FROM {h}, ending WHERE ended = {k}"""
+        for k, names in enumerate(sweeps)
+        for m, h in enumerate(names)
+    )
+    return f"""WITH {SALES}, {_factors_sql(2, 6, "normal", "slen")},
+{_fit_sql(MOST_SWEEPS, ("f0", "f1", "f2"), "h", "s", "slen")}, errors AS MATERIALIZED ({errors}),
+changes AS (SELECT sweep, error, abs(error - lag(error, 1, 0) OVER (ORDER BY sweep)) AS change FROM errors),
+ending AS MATERIALIZED (SELECT sweep AS ended, error FROM changes WHERE change <= {STOP} OR sweep = {MOST_SWEEPS - 1}
+  ORDER BY sweep LIMIT 1) {rows}"""
+
+
+@query("G3_als_to_its_end", _whole_fit_sql())
+def _(spark, d):
+    """Sales at rank 2 until the error hardly changes: the factor rows, the sweeps taken and the error."""
+    trace: list[float] = []
+    model = cp.cp_als(tb.sales_tensor(spark, d), rank=2, max_iter=MOST_SWEEPS, tol=STOP, trace=trace)
+    return flat_rows(model.table(), 2, 5).withColumns(
+        {"sweeps": F.lit(len(trace)), "error": tidy(F.lit(trace[-1]), 7)}
+    )
+
+
 @query("G3_cp_als")
 def _(spark, d):
     """Sales at rank 5, eight sweeps at most: the factor table."""
