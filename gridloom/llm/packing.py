@@ -48,7 +48,7 @@ PIECE = (
 )
 
 
-def _rest(ids: bytes, window: int) -> np.ndarray:
+def _rest(ids: bytes | pa.Buffer, window: int) -> np.ndarray:
     """What is left of a document after its whole windows."""
     found = np.frombuffer(ids, dtype="<u2")
     return found[len(found) // window * window :]
@@ -57,10 +57,13 @@ def _rest(ids: bytes, window: int) -> np.ndarray:
 def _document_frequencies(window: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs, total = np.zeros(VOCABULARY, dtype=np.int64), 0, 0
+        place, turn = np.zeros(VOCABULARY, dtype=np.int64), np.arange(window)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                rest = _rest(ids, window)
-                seen[np.unique(rest)] += 1
+            for ids in batch.column(0):
+                rest = _rest(ids.as_buffer(), window)
+                # Each token leaves one of its places there: that one counts it.
+                place[rest] = turn[: len(rest)]
+                seen[rest[place[rest] == turn[: len(rest)]]] += 1
                 docs += len(rest) > 0
                 total += len(rest)
         at = np.flatnonzero(seen)
@@ -93,31 +96,40 @@ class Weights:
 def _signatures(weights, window: int):
     """The two most telling tokens of each left-over, for the order of the shards."""
 
-    def of(ids: np.ndarray, rest: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and second token of left-overs, the last ``rest`` ids before ``ends``; -1 for none."""
-        shift = np.cumsum(rest)
+    def best(score: np.ndarray, term: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+        """The token of the highest score of each left-over, -1 for those of fewer than ``least``
+        tokens; equal scores: the smaller token.  Its score is made the lowest."""
+        out = np.full(len(at) - 1, -1, dtype=np.int64)
+        if not len(score):
+            return out
+        filled = np.flatnonzero(np.diff(at))
+        count = np.diff(at)[filled]
+        top = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, at[filled]), count))
+        first = top[np.searchsorted(top, at[filled])]
+        score[first] = -1.0
+        out[filled] = np.where(count >= least, term[first], -1)
+        return out
+
+    def of(ids: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second token of left-overs of ``rest`` ids each; -1 for none."""
         owner = np.repeat(np.arange(len(rest)), rest)
-        own = ids[np.arange(len(owner)) + np.repeat(ends - shift, rest)]
-        pairs, tf = np.unique(owner * VOCABULARY + own, return_counts=True)
+        pairs, tf = np.unique(owner * VOCABULARY + ids, return_counts=True)
         doc, term = pairs // VOCABULARY, pairs % VOCABULARY
         score = weights.value.impact(term, tf, rest[doc])
-        order = np.append(np.lexsort((-score, doc)), [0, 0])  # equal scores: the smaller token
         at = np.searchsorted(doc, np.arange(len(rest) + 1))
-        count = np.diff(at)
-        padded = np.append(term, -1)
-        pick = lambda k: np.where(count > k, padded[order[at[:-1] + k]], -1)
-        return pick(0), pick(1)
+        return best(score, term, at, 1), best(score, term, at, 2)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = bytes_of(batch.column("ids"))
-            ids, ends = raw.view("<u2").astype(np.int64), offsets[1:] // 2
+            ids, ends = raw.view("<u2"), offsets[1:] // 2
             rest = np.diff(offsets) // 2 % window
             first, second = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            # Some rows at a time: what is sorted together stays small.
+            # Some rows at a time: what is widened and sorted together stays small.
             for begin in range(0, len(rest), SIGNED_ROWS):
                 rows = slice(begin, begin + SIGNED_ROWS)
-                one, two = of(ids, rest[rows], ends[rows])
+                own = [ids[end - n : end] for end, n in zip(ends[rows].tolist(), rest[rows].tolist(), strict=True)]
+                one, two = of(np.concatenate(own).astype(np.int64), rest[rows])
                 first.append(one)
                 second.append(two)
             yield pa.RecordBatch.from_arrays(
@@ -158,7 +170,7 @@ class Shard:
         by_term = np.flatnonzero(told)[np.argsort(term[told], kind="stable")]
         post_doc = doc[by_term]
         post_impact = self.weights.impact(term[by_term], tf[by_term], lengths[post_doc])
-        post_at = np.searchsorted(term[by_term], np.arange(VOCABULARY + 1))
+        post_at = np.searchsorted(term[by_term], np.arange(VOCABULARY + 1)).tolist()
         free, open_lengths, open_starts = np.ones(len(rests), dtype=bool), lengths.copy(), list(starts)
         next_free, cut = 0, -1
         while True:
@@ -174,7 +186,7 @@ class Shard:
                 cut = -1
                 if self.used == 0:
                     continue
-            terms = self.seed_terms if self.seed_terms is not None else np.zeros(0, dtype=np.int64)
+            terms = self.seed_terms.tolist() if self.seed_terms is not None else []
             runs = [slice(post_at[t], post_at[t + 1]) for t in terms if post_at[t + 1] > post_at[t]]
             if runs:
                 score = np.bincount(
@@ -184,20 +196,20 @@ class Shard:
                 )
             else:
                 score = np.zeros(len(rests))
-            left = np.flatnonzero(free)
-            order = left[np.argsort(-score[left], kind="stable")]
-            while len(order):
-                fits = open_lengths[order] <= self.window - self.used
-                at = int(np.argmax(fits))
-                if not fits[at]:
-                    cut = int(order[0])
-                    self.take(docs, rests, cut, open_lengths, open_starts, free, self.window - self.used, False)
-                    break
-                taken = int(order[at])
-                order = np.delete(order, at) if at else order[1:]
-                self.take(docs, rests, taken, open_lengths, open_starts, free, int(open_lengths[taken]), False)
-                if self.used == 0:
+            score[~free] = -1.0
+            while self.used:
+                # The best of those that fit, the first of equals; scores are not negative.
+                fits = np.where(open_lengths <= self.window - self.used, score, -1.0)
+                taken = int(np.argmax(fits))
+                if fits[taken] >= 0:
+                    score[taken] = -1.0
+                    self.take(docs, rests, taken, open_lengths, open_starts, free, int(open_lengths[taken]), False)
+                    continue
+                cut = int(np.argmax(score))
+                if score[cut] < 0:
+                    cut = -1
                     break
+                self.take(docs, rests, cut, open_lengths, open_starts, free, self.window - self.used, False)
             if not free.any():
                 return
 

@@ -7,6 +7,7 @@ those it has met, by their hashes, and asks the tokenizer only for new ones.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -21,7 +22,9 @@ from gridloom.llm.words import blank, bytes_of, ends_of, hash_bytes
 
 #: Pieces kept per worker, those of them that stay when there is no more room, and texts
 #: whose new pieces are asked for at once.
-KEPT_PIECES, FIRST_PIECES, TEXTS = 1_000_000, 300_000, 500
+KEPT_PIECES, FIRST_PIECES, TEXTS = 1_000_000, 300_000, 200
+#: Runs of marks whose ids are kept per worker.
+KEPT_MARKS = 10_000
 
 _workers: dict[str, PieceIds] = {}
 _letter = np.zeros(256, dtype=bool)
@@ -43,6 +46,12 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS_END = chr(_BYTE_LETTERS[10])
+#: Composed lower-case Latin letters, digits and ASCII marks without the apostrophe: the tokenizer
+#: parts such pieces into runs of letters, single digits and runs of marks.
+_LETTERS, _MARKS = "a-z\u00df-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_plain = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+_parts = re.compile(f"([{_LETTERS}]+)|[0-9]|[{_MARKS}]+")
 
 
 class PieceIds:
@@ -55,27 +64,50 @@ class PieceIds:
         self.model = self.tokenizer.model
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        #: Hashes of pieces in order, and where each has its ids in ``ids``.
-        self.known, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        #: A hash table of pieces, 0 where it is free, and the row of each piece; the ids of a row
+        #: stand in ``ids`` from ``begin`` of it to that of the next.
+        self.slots, self.row = np.zeros(1 << 12, dtype=np.uint64), np.zeros(1 << 12, dtype=np.int32)
+        self.rows, self.begin = 0, np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype="<u2")
-        #: A comma or full stop after a letter is a piece of its own to the tokenizer.
+        self.runs: dict[str, list[int]] = {}
+        #: A comma or full stop after a letter (a-z, A-Z or one of U+00C0 to U+00FF) is a piece of
+        #: its own to the tokenizer.
         self.marks = {c: np.frombuffer(self.ask([bytes([c])])[0], dtype="<u2") for c in b".,"}
 
+    def _of_parts(self, text: str) -> array:
+        """Ids of a piece of Latin letters, digits and marks, part by part."""
+        out, split = array("H"), self.model.tokenize
+        for part in _parts.finditer(text):
+            run = part[0]
+            if part[1]:
+                word = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                out.extend([t.id for t in split(word)])
+                continue
+            if run not in self.runs:
+                if len(self.runs) >= KEPT_MARKS:
+                    self.runs.clear()
+                self.runs[run] = [t.id for t in split(run)]
+            out.extend(self.runs[run])
+        return out
+
     def ask(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece.  Words of nothing but lower-case letters, composed as the tokenizer
-        composes them, go straight to its model; all others by one call, where line ends part
-        them as blanks do."""
+        composes them, go straight to its model, and so do the parts of words with digits and
+        marks; all others by one call, where line ends part them as blanks do."""
         out: list[bytes | None] = [None] * len(pieces)
         odd, split = [], self.model.tokenize
+        # Line ends stand in no piece: all pieces are translated at once.
+        letters = b"\n".join(pieces).decode("latin-1").translate(_BYTE_LETTERS).split(_BYTE_LETTERS_END)
         for k, piece in enumerate(pieces):
             if piece.isalpha() and piece.islower():
-                out[k] = array("H", [t.id for t in split(piece.decode())]).tobytes()
+                out[k] = array("H", [t.id for t in split(letters[k])]).tobytes()
                 continue
             text = piece.decode("utf-8", "replace")
             if text.isalpha() and text.islower() and max(text) < "\u0180":
                 # Latin letters: one code point each, and lower case stays as it is.
-                out[k] = array("H", [t.id for t in split(piece.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+                out[k] = array("H", [t.id for t in split(letters[k])]).tobytes()
+            elif _plain.fullmatch(text) and "<|" not in text:
+                out[k] = self._of_parts(text).tobytes()
             else:
                 odd.append(k)
         if odd:
@@ -89,24 +121,56 @@ class PieceIds:
                 out[k] = ids[a:b].tobytes()
         return out
 
+    def _slots_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the table has each hash, or a free place if it has not."""
+        mask = len(self.slots) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        held = self.slots[at]
+        on = np.flatnonzero((held != hashes) & (held != 0))
+        while len(on):
+            at[on] = (at[on] + 1) & mask
+            held = self.slots[at[on]]
+            on = on[(held != hashes[on]) & (held != 0)]
+        return at
+
+    def _enter(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Enter distinct hashes that the table does not have."""
+        while len(hashes):
+            at = self._slots_of(hashes)
+            self.slots[at] = hashes  # of those that would have one place the last does
+            own = self.slots[at] == hashes
+            self.row[at[own]] = rows[own]
+            hashes, rows = hashes[~own], rows[~own]
+
+    def _lay_out(self, size: int, keep: int) -> None:
+        """A table of another size with the pieces of the first rows."""
+        own = (self.slots != 0) & (self.row < keep)
+        hashes, rows = self.slots[own], self.row[own]
+        self.slots, self.row = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32)
+        self._enter(hashes, rows)
+
     def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         found = self.ask(pieces)
-        size = np.array([len(f) // 2 for f in found])
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), dtype="<u2")])
-        both = np.concatenate([self.known, hashes])
-        rows = np.concatenate([self.row, np.arange(len(self.size) - len(size), len(self.size))])
-        order = np.argsort(both, kind="stable")
-        self.known, self.row = both[order], rows[order]
+        ends = self.begin[self.rows] + np.cumsum([len(f) // 2 for f in found])
+        first, self.rows = self.rows, self.rows + len(found)
+        if len(self.begin) <= self.rows:
+            self.begin = np.concatenate([self.begin, np.zeros(max(self.rows, 1 << 12), dtype=np.int64)])
+        self.begin[first + 1 : self.rows + 1] = ends
+        if len(self.ids) < ends[-1]:
+            self.ids = np.concatenate([self.ids, np.zeros(max(int(ends[-1]), 1 << 14), dtype="<u2")])
+        self.ids[self.begin[first] : ends[-1]] = np.frombuffer(b"".join(found), dtype="<u2")
+        size = len(self.slots)
+        while size < 2 * self.rows:
+            size *= 2
+        if size > len(self.slots):
+            self._lay_out(size, first)
+        self._enter(hashes, np.arange(first, self.rows, dtype=np.int32))
 
     def room(self) -> None:
         """Forget all but the pieces that came first: they come often."""
-        if len(self.known) > KEPT_PIECES:
-            stay = self.row < FIRST_PIECES
-            self.known, self.row = self.known[stay], self.row[stay]
-            self.begin, self.size = self.begin[:FIRST_PIECES], self.size[:FIRST_PIECES]
-            self.ids = self.ids[: self.begin[-1] + self.size[-1]]
+        if self.rows > KEPT_PIECES:
+            self.rows = FIRST_PIECES
+            self._lay_out(len(self.slots), self.rows)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a binary column in turn, and how many each text has."""
@@ -120,7 +184,9 @@ class PieceIds:
         opens = np.zeros(len(whole) + 1, dtype=bool)
         opens[offsets] = True
         ended = np.flatnonzero(last & ((whole == 46) | (whole == 44)))
-        ended = ended[(ended > 0) & ~opens[ended] & _letter[whole[np.maximum(ended - 1, 0)]]]
+        one, two = whole[np.maximum(ended - 1, 0)], whole[np.maximum(ended - 2, 0)]
+        wide = (two == 0xC3) & (one != 0x97) & (one != 0xB7) & (ended > 1) & ~opens[np.maximum(ended - 1, 0)]
+        ended = ended[(ended > 0) & ~opens[ended] & (_letter[one] | wide)]
         raw = whole.copy()
         raw[ended] = 32
         hashes, counts, first = hash_bytes(raw, offsets)
@@ -133,17 +199,18 @@ class PieceIds:
             ends = ends_of(raw, first[exact], offsets)
             own = [xxhash.xxh64_intdigest(raw[a:b].tobytes(), seed=9) for a, b in zip(first[exact], ends, strict=True)]
             hashes[exact] = np.array(own, dtype=np.uint64)
-        word, place, at = np.unique(hashes, return_index=True, return_inverse=True)
-        found = np.searchsorted(self.known, word)
-        found[found == len(self.known)] = 0
-        new = self.known[found] != word if len(self.known) else np.ones(len(word), dtype=bool)
-        if new.any():
-            begin = first[place[new]]
+        hashes[hashes == 0] = 1
+        slot = self._slots_of(hashes)
+        new = np.flatnonzero(self.slots[slot] != hashes)
+        if len(new):
+            word, place = np.unique(hashes[new], return_index=True)
+            begin = first[new[place]]
             end = ends_of(raw, begin, offsets)
             pieces = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            self.learn(word[new], [p if b"<|" in p else p.lower() for p in pieces])
-        row = self.row[np.searchsorted(self.known, word)][at]
-        size = self.size[row]
+            self.learn(word, [p if b"<|" in p else p.lower() for p in pieces])
+            slot = self._slots_of(hashes)
+        row = self.row[slot]
+        size = self.begin[row + 1] - self.begin[row]
         extra = np.zeros(len(first), dtype=np.int64)
         with_mark = np.searchsorted(first, ended, "right") - 1
         extra[with_mark] = 1

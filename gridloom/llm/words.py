@@ -79,8 +79,8 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def ends_of(raw: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where words that begin at ``first`` end: at a blank or the end of their text."""
-    stops = np.sort(np.concatenate([np.flatnonzero(blank[raw]), offsets[1:]]), kind="stable")
-    return stops[np.searchsorted(stops, first, "right")]
+    blanks = np.append(np.flatnonzero(blank[raw]), len(raw))
+    return np.minimum(blanks[np.searchsorted(blanks, first)], offsets[np.searchsorted(offsets, first, "right")])
 
 
 def hash_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

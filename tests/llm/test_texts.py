@@ -37,6 +37,28 @@ def test_ids_of_pieces_are_those_of_texts(tokenizer, some_texts, monkeypatch):
         monkeypatch.setattr(tokens, "FIRST_PIECES", 2)
 
 
+def test_words_before_marks_are_asked_for_once(tokenizer):
+    texts = ["déjà vu", "déjà, vu.", "Été. ÷, x÷. à×, Àé, ê.### 3,4. a1$$ ü.", "été, déjà."]
+    pieces, asked = tokens.PieceIds(tokens.default_vocabulary()), []
+    ask = pieces.ask
+    pieces.ask = lambda own: asked.extend(own) or ask(own)
+    for text in texts:
+        ids, _ = pieces.encode(pa.array([text.encode()], pa.binary()))
+        assert ids.tolist() == ids_of(tokenizer, text)
+    assert len(asked) == len(set(asked)) and asked.count("déjà".encode()) == 1
+    assert not [a for a in asked if a.decode() in ("déjà,", "été,", "déjà.", "ü.")]
+
+
+def test_many_pieces_are_found_again(tokenizer):
+    pieces = tokens.PieceIds(tokens.default_vocabulary())
+    drawn = np.random.default_rng(5).integers(97, 123, (20_000, 6), dtype=np.uint8)
+    text = " ".join(row.tobytes().decode() for row in drawn)
+    want = ids_of(tokenizer, text)
+    for _ in range(2):
+        assert pieces.encode(pa.array([text.encode()], pa.binary()))[0].tolist() == want
+    assert pieces.rows == len({row.tobytes() for row in drawn}) and 2 * pieces.rows <= len(pieces.slots)
+
+
 def test_pieces_hold_every_id_once_and_windows_have_no_gaps(docs, some_texts, tokenizer):
     rows = [*some_texts, *[(100 + k, f"filler words number {k} " * (k % 50), "d") for k in range(200)]]
     pieces = packing.pack(docs(rows), block_ids=20_000).collect()
