@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,7 @@ from gridloom.plans.materialize import shared_dir
 
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables of at most so many bytes, as counted, are broadcast.
 BROADCAST_BYTES = 16 << 20
 #: A key with more than one part in so many of the rows is spread over salts.
@@ -69,11 +72,27 @@ def drop_scratch(spark: SparkSession) -> None:
         delete(spark, scratch_root(spark))
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of a query when it has ended, not when the driver happens to
+    collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def put(frame: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and go on from its files."""
     spark = frame.sparkSession
     path = new_path(spark, label)
-    frame.write.parquet(path)
+    with _shuffles_removed(spark):
+        frame.write.parquet(path)
     table = spark.read.schema(frame.schema).parquet(path)
     table.scratch_path = path
     return table

@@ -18,7 +18,9 @@ and triples are summed by the packet where they are read, then by the shard of t
 their context: a shard holds the pairs (v, w) and all triples (u, v, w) over them, so scoring
 goes from the triple to the pair without another shuffle.  The count of the last word comes
 along: frequent words (a table of at most ``FREQUENT`` entries is broadcast) have it at once,
-others pass through the shard of that word in the table of words first.  Contexts that end in a
+others pass through the shard of that word in the table of words first.  Texts to score go to
+the shards of their contexts at once: a word that is not frequent has its count from the pair it
+is in, else from a join with the table of words at the end.  Contexts that end in a
 word with more than one part in ``HOT`` of the tokens are dealt out by the word that follows;
 what their shards know about them is summed into a table, which the documents' occurrences in
 such contexts, counted by document and context, are joined with at the end.  Pairs and triples
@@ -180,6 +182,9 @@ class Frequent:
     def __init__(self, word: np.ndarray, n: np.ndarray, tokens: int):
         order = np.argsort(word)
         self.word, self.n = word[order], n[order]
+        #: Places in the order of the counts: small numbers for what comes often.
+        self.by_rank = np.argsort(-self.n, kind="stable")
+        self.rank = np.argsort(self.by_rank)
         self.hot = self.word[self.n > max(tokens / HOT, HOT_LEAST)]
 
     def find(self, word: np.ndarray) -> np.ndarray:
@@ -210,36 +215,81 @@ def _shard_of(context, word, frequent: Frequent, parts: int) -> np.ndarray:
     return _spread(np.where(frequent.is_hot(context), _gram(context, word), context), parts)
 
 
-def _emit(frequent: Frequent, shard, context, word, count, earlier, times, doc, keys) -> pa.RecordBatch:
+def _handles(part: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Numbers that stand for the texts of a slice, named by a hash of its keys."""
+    return mixed(part ^ mixed(docs.astype(np.uint64))).view(np.int64)
+
+
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """Ascending places as the steps between them, which are small."""
+    return np.diff(ordered, prepend=0).astype(np.uint32)
+
+
+def _named(frequent: Frequent, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among the frequent words, from 1, by their counts; 0 for the others, which follow."""
+    at = frequent.find(word)
+    place = np.zeros(len(word), dtype=np.uint32)
+    place[at >= 0] = frequent.rank[at[at >= 0]] + 1
+    return place, word[at < 0]
+
+
+def _unnamed(frequent: Frequent, place: np.ndarray, others: np.ndarray) -> np.ndarray:
+    word = np.empty(len(place), dtype=np.uint64)
+    word[place == 0] = others
+    word[place > 0] = frequent.word[frequent.by_rank[place[place > 0].astype(np.int64) - 1]]
+    return word
+
+
+def _runs(ordered: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal contexts in turn as runs; ``at`` has their places among the frequent words or -1."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, dtype=np.int64)
+    run, own = np.diff(np.append(first, len(ordered))), at[first]
+    return _steps(own[own >= 0]), np.packbits(own >= 0), ordered[first][own < 0], run.astype(np.uint32)
+
+
+def _unrun(frequent: Frequent, steps, known, others, run) -> np.ndarray:
+    known = np.unpackbits(known, count=len(run)).astype(bool)
+    v = np.empty(len(run), dtype=np.uint64)
+    v[known], v[~known] = frequent.word[np.cumsum(steps.astype(np.int64))], others
+    return np.repeat(v, run)
+
+
+def _emit(frequent: Frequent, shard, context, word, count, earlier, times, doc, part) -> pa.RecordBatch:
     """One packet for each shard that has occurrences, ordered by context."""
-    order = np.lexsort((context, shard))
+    order = np.argsort(context)
+    order = order[np.argsort(shard[order].astype(np.int16 if shard.max() < 1 << 15 else np.int64), kind="stable")]
     shard = shard[order]
     starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-    where = (frequent.find(earlier) + 1).astype(np.uint32)
+    where, _ = _named(frequent, earlier)
+    rare = count >= 0
+    place = np.zeros(len(count), dtype=np.uint32)  # place among the frequent words, from 1
+    place[~rare] = frequent.rank[-count[~rare] - 1] + 1
+    context_at = frequent.find(context[order])
     blobs = []
     for begin, end in zip(starts, np.append(starts[1:], len(shard)), strict=True):
         own = order[begin:end]
-        v, run = np.unique(context[own], return_counts=True)
         docs, at = np.unique(doc[own], return_inverse=True)
-        rare = count[own] >= 0
-        place = np.where(rare, 0, -count[own]).astype(np.uint32)  # place in the table of frequent words, from 1
+        odd = own[rare[own]]
         blobs.append(
-            _pack(v, run.astype(np.uint32), place, word[own][rare], count[own][rare].astype(np.uint32), where[own], earlier[own][where[own] == 0],
-                  times[own].astype(np.uint32), at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32), keys[docs])
+            _pack(*_runs(context[own], context_at[begin:end]), place[own], word[odd],
+                  count[odd].astype(np.uint32), where[own], earlier[own][where[own] == 0], times[own].astype(np.uint32),
+                  at.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32), _steps(docs), np.array([part], dtype=np.uint64))
         )
     return pa.RecordBatch.from_arrays([pa.array(shard[starts], pa.int32()), pa.array(blobs)], names=["shard", "blob"])
 
 
 def _read(blob: bytes, frequent: Frequent) -> tuple:
-    """(context, word, count, earlier word, times, place of the document, keys) of a packet."""
-    v, run, place, rare_word, rare_count, where, rare_earlier, times, at, keys = _unpack(blob)
+    """(context, word, count, earlier word, times, place of the document, keys) of a packet; the
+    count of a word that is not frequent may be 0, for one not known yet."""
+    steps, known, rare_v, run, place, rare_word, rare_count, where, rare_earlier, times, at, docs, part = _unpack(blob)
     word, count = np.empty(len(place), dtype=np.uint64), np.empty(len(place), dtype=np.int64)
     rare = place == 0
     word[rare], count[rare] = rare_word, rare_count
-    word[~rare], count[~rare] = frequent.word[place[~rare] - 1], frequent.n[place[~rare] - 1]
-    earlier = np.empty(len(where), dtype=np.uint64)
-    earlier[where == 0], earlier[where > 0] = rare_earlier, frequent.word[where[where > 0] - 1]
-    return np.repeat(v, run), word, count, earlier, times.astype(np.int64), at.astype(np.int64), keys
+    told = frequent.by_rank[place[~rare].astype(np.int64) - 1]
+    word[~rare], count[~rare] = frequent.word[told], frequent.n[told]
+    earlier = _unnamed(frequent, where, rare_earlier)
+    keys = _handles(part, np.cumsum(docs.astype(np.int64)))
+    return _unrun(frequent, steps, known, rare_v, run), word, count, earlier, times.astype(np.int64), at.astype(np.int64), keys
 
 
 def _joined(packets: list[tuple]) -> tuple:
@@ -249,40 +299,45 @@ def _joined(packets: list[tuple]) -> tuple:
     return context, word, count, earlier, times, doc + np.repeat(shift, [len(p[0]) for p in packets]), keys
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch], order: int, counting: bool):
-    """(words, contexts, earlier words, times, documents, keys): all, or training types with their counts."""
-    for flat, before, earlier, doc, keys in _slices(batches, only_training=counting):
-        if order == 2:
-            earlier = np.zeros(len(flat), dtype=np.uint64)
-        if not counting:
-            yield flat, before, earlier, np.ones(len(flat), dtype=np.int64), doc, keys
-            continue
-        _, first, times = np.unique(_gram(_gram(earlier, before), flat), return_index=True, return_counts=True)
-        yield flat[first], before[first], earlier[first], times, np.zeros(len(first), dtype=np.int64), np.zeros(1, dtype=np.int64)
-
+def _types(table, parts: int, order: int, rare: bool):
+    """Training types, with their counts, whose last word is frequent, or is not."""
 
-def _frequent_grams(table, parts: int, order: int, counting: bool):
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = table.value
-        for flat, before, earlier, times, doc, keys in _occurrences(batches, order, counting):
+        for flat, before, earlier, *_ in _slices(batches, only_training=True):
             at = frequent.find(flat)
-            own = np.flatnonzero(at >= 0)
-            if len(own):
-                shard = _shard_of(before[own], flat[own], frequent, parts)
-                yield _emit(frequent, shard, before[own], flat[own], -(at[own] + 1), earlier[own], times[own], doc[own], keys)
+            own = np.flatnonzero(at < 0 if rare else at >= 0)
+            if not len(own):
+                continue
+            flat, before, at = flat[own], before[own], at[own]
+            earlier = earlier[own] if order == 3 else np.zeros(len(own), dtype=np.uint64)
+            _, first, times = np.unique(_gram(_gram(earlier, before), flat), return_index=True, return_counts=True)
+            flat, before, earlier, at = flat[first], before[first], earlier[first], at[first]
+            none = np.zeros(len(first), dtype=np.int64)
+            if rare:
+                # Ordered by the word itself here: it takes the place of the context.
+                yield _emit(frequent, _spread(flat, parts), flat, before, none, earlier, times, none, 0)
+            else:
+                yield _emit(frequent, _shard_of(before, flat, frequent, parts), before, flat, -(at + 1), earlier, times, none, 0)
 
     return packets
 
 
-def _rare_grams(table, parts: int, order: int, counting: bool):
+def _tokens(table, parts: int, order: int):
+    """All tokens of texts for the shards of their contexts; for each slice of texts one packet more,
+    of a shard below 0, says which keys its texts have."""
+
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = table.value
-        for flat, before, earlier, times, doc, keys in _occurrences(batches, order, counting):
-            own = np.flatnonzero(frequent.find(flat) < 0)
-            # Ordered by the word itself here: it takes the place of the context.
-            if len(own):
-                none = np.zeros(len(own), dtype=np.int64)
-                yield _emit(frequent, _spread(flat[own], parts), flat[own], before[own], none, earlier[own], times[own], doc[own], keys)
+        for flat, before, earlier, doc, keys in _slices(batches):
+            if order == 2:
+                earlier = np.zeros(len(flat), dtype=np.uint64)
+            at = frequent.find(flat)
+            name = xxhash.xxh64_intdigest(keys.tobytes())
+            count, once = np.where(at >= 0, -(at + 1), 0), np.ones(len(flat), dtype=np.int64)
+            yield _emit(frequent, _shard_of(before, flat, frequent, parts), before, flat, count, earlier, once, doc, name)
+            told = _pack(np.array([name], dtype=np.uint64), keys)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - name % parts], pa.int32()), pa.array([told])], names=["shard", "blob"])
 
     return packets
 
@@ -295,8 +350,9 @@ def _count_rare(table, parts: int):
         held: list[tuple] = []
 
         def onward() -> Iterator[pa.RecordBatch]:
-            context, word, count, earlier, times, doc, keys = _joined(held)
-            yield _emit(frequent, _shard_of(context, word, frequent, parts), context, word, count, earlier, times, doc, keys)
+            context, word, count, earlier, times = (np.concatenate(c) for c in zip(*held, strict=True))
+            none = np.zeros(len(context), dtype=np.int64)
+            yield _emit(frequent, _shard_of(context, word, frequent, parts), context, word, count, earlier, times, none, 0)
 
         size = 0
         for batch in batches:
@@ -305,12 +361,12 @@ def _count_rare(table, parts: int):
                     words = {shard: _unpack(blob)}
                     continue
                 known, n = words.get(shard, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
-                word, context, _, earlier, times, at, keys = _read(blob, frequent)
+                word, context, _, earlier, times, *_ = _read(blob, frequent)
                 place = _find(known, word)
                 count = np.where(place >= 0, n[place], 0) if len(known) else np.zeros(len(word), dtype=np.int64)
-                held.append((context, word, count, earlier, times, at, keys))
+                held.append((context, word, count, earlier, times))
                 size += len(context)
-                if size >= HELD_PAIRS:
+                if size >= HELD_PAIRS // 2:
                     yield from onward()
                     held, size = [], 0
         if size:
@@ -329,12 +385,18 @@ def _sum_grams(table, order: int):
         return context[first], word[first], count[first], earlier[first], n
 
     def row(shard: int, packets: list[tuple]) -> pa.RecordBatch:
+        frequent = table.value
         context, word, count, earlier, n3 = summed(packets)
         _, first, pair = np.unique(_gram(context, word), return_index=True, return_inverse=True)
+        # Pairs in the order of their contexts.
+        order2 = np.argsort(context[first], kind="stable")
+        first, pair = first[order2], np.argsort(order2)[pair]
         n2 = np.bincount(pair, weights=n3).astype(np.int64)
         by = np.argsort(pair, kind="stable")
-        triples = (np.bincount(pair).astype(np.uint32), earlier[by], n3[by].astype(np.uint32)) if order == 3 else ()
-        blob = _pack(context[first], word[first], count[first].astype(np.uint32), n2.astype(np.uint32), *triples)
+        triples = (np.bincount(pair).astype(np.uint32), *_named(frequent, earlier[by]), n3[by].astype(np.uint32)) if order == 3 else ()
+        place, others = _named(frequent, word[first])
+        pairs = (*_runs(context[first], frequent.find(context[first])), place, others, count[first][place == 0].astype(np.uint32))
+        blob = _pack(*pairs, n2.astype(np.uint32), *triples)
         sizes = [np.bincount(n[n <= LAST_DISCOUNTED + 1], minlength=LAST_DISCOUNTED + 2).tolist() for n in (n2, n3)]
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), *[pa.array([x], pa.list_(pa.int64())) for x in sizes]],
@@ -364,9 +426,11 @@ class Part:
     """What one part of the stored tables says of its pairs, triples and contexts."""
 
     def __init__(self, blob: bytes | None, frequent: Frequent, words: Words, d: list[np.ndarray]):
-        empty = [np.zeros(0, dtype=t) for t in ("u8", "u8", "u4", "u4", "u4", "u8", "u4")]
-        v, w, n1, n2, *triples = _unpack(blob) if blob is not None else empty
-        n2 = n2.astype(np.int64)
+        empty = [np.zeros(0, dtype=t) for t in ("u4", "u1", "u8", "u4", "u4", "u8", "u4", "u4", "u4", "u4", "u8", "u4")]
+        steps, known, others, run, place, rare, rare_n1, n2, *triples = _unpack(blob) if blob is not None else empty
+        v, w, n2 = _unrun(frequent, steps, known, others, run), _unnamed(frequent, place, rare), n2.astype(np.int64)
+        n1 = np.empty(len(w), dtype=np.int64)
+        n1[place == 0], n1[place > 0] = rare_n1, frequent.n[frequent.by_rank[place[place > 0].astype(np.int64) - 1]]
         kept, self.contexts = d[0][np.minimum(n2, LAST_DISCOUNTED + 1)] * n2, []
         own, at = np.unique(v, return_inverse=True)
         hot = frequent.is_hot(own)
@@ -374,11 +438,14 @@ class Part:
         whole = total.copy()
         whole[hot] = frequent.n[frequent.find(own[hot])]
         p = kept / (whole[at] + 1)
-        self.contexts.append(self._context(own, hot, at, total, kept, words.p(n1.astype(np.int64))))
-        self.pairs, self.log2 = self._ordered(_gram(v, w), np.log10(p))
+        self.contexts.append(self._context(own, hot, at, total, kept, words.p(n1)))
+        pairs = _gram(v, w)
+        order = np.argsort(pairs)
+        self.pairs, self.log2, self.n1 = pairs[order], np.log10(p)[order], n1[order]
         if not triples:
             return
-        runs, u, n3 = triples
+        runs, earlier, rare_earlier, n3 = triples
+        u = _unnamed(frequent, earlier, rare_earlier)
         pair, n3 = np.repeat(np.arange(len(v)), runs), n3.astype(np.int64)
         kept = d[1][np.minimum(n3, LAST_DISCOUNTED + 1)] * n3
         context = _gram(u, v[pair])
@@ -425,15 +492,16 @@ def _spread_contexts(table, model):
     return sums
 
 
-FOUND = "key bigint, context bigint, n double, known double, base double, score double, hits double, misses double"
+FOUND = "key bigint, owner bigint, context bigint, word bigint, n double, known double, base double, score double, hits double, misses double"
 SUMMED = ("n", "known", "base", "score")
 
 
 def _rows(length: int, **columns) -> pa.RecordBatch:
-    """Rows of documents, or of documents and spread contexts; a document's own row has no context."""
+    """Rows of documents, or of documents and spread contexts or words without a count; a document's
+    own row has neither.  ``key`` is a handle; one row at least has the key of the document as its owner."""
     filled = []
     for field in (f.split()[0] for f in FOUND.split(", ")):
-        if field in ("key", "context"):
+        if field in ("key", "owner", "context", "word"):
             filled.append(pa.array(columns[field]) if field in columns else pa.nulls(length, pa.int64()))
         else:
             filled.append(pa.array(np.asarray(columns.get(field, np.zeros(length)), dtype=np.float64)))
@@ -466,7 +534,11 @@ def _score(table, model, order: int):
             v, w, count, u, _, doc, keys = _joined(packets)
             hot = frequent.is_hot(v)
             pair = _find(part.pairs, _gram(v, w))
-            log = np.log10(words.p(count)) + part.back(2, v)
+            if len(part.pairs):
+                count = np.where((count == 0) & (pair >= 0), part.n1[pair], count)
+            # What is neither frequent nor in a pair gets its count, and p of it, at the end.
+            late = count == 0
+            log = np.where(late, 0.0, np.log10(words.p(count))) + part.back(2, v)
             if len(part.pairs):
                 log = np.where(pair >= 0, part.log2[pair], log)
             seen = {"context": [v[hot & (pair < 0)]], "doc": [doc[hot & (pair < 0)]], "hit": []}
@@ -483,9 +555,14 @@ def _score(table, model, order: int):
             docs, at = np.unique(keys[doc], return_inverse=True)
             out = np.zeros(len(docs), dtype=[("key", "i8"), *[(f, "f8") for f in SUMMED]])
             out["key"] = docs
-            for field, each in zip(SUMMED, (None, count > 0, words.base(count), log), strict=True):
+            base = np.where(late, 0.0, words.base(count))
+            for field, each in zip(SUMMED, (None, count > 0, base, log), strict=True):
                 out[field] = np.bincount(at, weights=each, minlength=len(docs))
             sums = out if sums is None else _added(sums, out)
+            if late.any():
+                word, c = np.unique(w[late], return_inverse=True)
+                own, times = np.unique(at[late] << 32 | c, return_counts=True)
+                yield _rows(len(own), key=docs[own >> 32], word=word[own & 0xFFFFFFFF].view(np.int64), misses=times)
             context, of = np.concatenate(seen["context"]), keys[np.concatenate(seen["doc"])]
             hits = np.concatenate(seen["hit"]) if seen["hit"] else np.zeros(len(context), dtype=bool)
             if len(context):
@@ -497,6 +574,10 @@ def _score(table, model, order: int):
 
         for batch in batches:
             for shard, blob, is_table in zip(*(batch.column(c).to_pylist() for c in ("shard", "blob", "is_table")), strict=True):
+                if shard < 0:
+                    name, keys = _unpack(blob)
+                    yield _rows(len(keys), key=_handles(name, np.arange(len(keys))), owner=keys)
+                    continue
                 if packets and (shard != shard_now or size >= HELD_PAIRS // 4):
                     yield from work()
                     packets, size = [], 0
@@ -541,13 +622,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame
     return docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"), _out_fold(id_col, folds).alias("held_out"))
 
 
-def _to_contexts(texts: DataFrame, vocabulary: DataFrame, table, shards: int, order: int, counting: bool) -> DataFrame:
-    """Packets of occurrences, or of training types, for the shards of their contexts."""
+def _types_by_context(texts: DataFrame, vocabulary: DataFrame, table, shards: int, order: int) -> DataFrame:
+    """Packets of training types, with the counts of their last words, for the shards of their contexts."""
     parts = shards * SUBS
-    rare = texts.mapInArrow(_rare_grams(table, parts, order, counting), PACKET).withColumn("is_table", F.lit(False))
+    rare = texts.mapInArrow(_types(table, parts, order, True), PACKET).withColumn("is_table", F.lit(False))
     entries = vocabulary.select("shard", F.col("words").alias("blob"), F.lit(True).alias("is_table"))
     met = rare.unionByName(entries).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("is_table"))
-    often = texts.mapInArrow(_frequent_grams(table, parts, order, counting), PACKET)
+    often = texts.mapInArrow(_types(table, parts, order, False), PACKET)
     return often.unionByName(met.mapInArrow(_count_rare(table, parts), PACKET))
 
 
@@ -573,7 +654,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     frequent = _frequent_words(vocabulary, 1 << max(least - 1, 0), tokens)
     table = spark.sparkContext.broadcast(frequent)
 
-    dealt = _to_contexts(texts, vocabulary, table, shards, order, True).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = _types_by_context(texts, vocabulary, table, shards, order).repartition(shards, "shard").sortWithinPartitions("shard")
     grams = common.put(dealt.mapInArrow(_sum_grams(table, order), PACKET + ", sizes2 array<bigint>, sizes3 array<bigint>"), "grams")
     columns = [F.sum(F.get(f"sizes{k}", F.lit(r))) for k in (2, 3) for r in range(LAST_DISCOUNTED + 2)]
     found = np.array([x or 0 for x in grams.agg(*columns).first()], dtype=float).reshape(2, -1)
@@ -590,7 +671,7 @@ def score(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row, be it of the fitted table or not."""
     common.ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col, folds)
-    asked = _to_contexts(texts, model.words, model.frequent, model.shards, model.order, False).withColumn("is_table", F.lit(False))
+    asked = texts.mapInArrow(_tokens(model.frequent, model.shards * SUBS, model.order), PACKET).withColumn("is_table", F.lit(False))
     dealt = asked.unionByName(model.grams.select("shard", "blob", F.lit(True).alias("is_table"))).repartition(model.shards, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.desc("is_table"))
     found = common.put(dealt.mapInArrow(_score(model.frequent, model.small, model.order), FOUND), "found")
@@ -602,6 +683,14 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return score(fit(docs, id_col, text_col, folds, order), docs, id_col, text_col, folds)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table of words, a row for each."""
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            word, n = _unpack(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n1"])
+
+
 def _frequent_words(vocabulary: DataFrame, least: int, tokens: int) -> Frequent:
     """The words that occur at least ``least`` times: at most ``FREQUENT`` by the choice of it."""
 
@@ -617,13 +706,27 @@ def _frequent_words(vocabulary: DataFrame, least: int, tokens: int) -> Frequent:
 
 
 def _finished(docs, id_col, key, out_fold, found: DataFrame, model: Model) -> DataFrame:
-    """Put in what is known of spread contexts, and add up each document."""
-    own = found.where("context IS NULL").select("key", *SUMMED)
+    """Put in what is known of spread contexts and of words without a count, and add up each document."""
+    own = found.where("context IS NULL AND word IS NULL").select("key", "owner", *SUMMED)
     late = attach(found.where("context IS NOT NULL").select("key", "context", "hits", "misses"), model.spread, "context")
     zero = F.lit(0.0)
     later = F.col("misses") * F.coalesce("back", zero) - F.col("hits") * F.coalesce("below", zero)
     late = late.select("key", *[zero.alias(c) for c in SUMMED[:-1]], later.alias("score"))
-    scored = own.unionByName(late).groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMMED])
+    small = model.small.value[0]
+    counted = attach(
+        found.where("word IS NOT NULL").select("key", "word", F.col("misses").alias("times")),
+        model.words.select("words").mapInArrow(_word_counts, "word bigint, n1 bigint"), "word",
+    ).withColumn("n1", F.coalesce("n1", F.lit(0)))
+    d = F.get(F.array(*[F.lit(float(x)) for x in [*small.d, 1.0]]), F.least("n1", F.lit(LAST_DISCOUNTED + 1)).cast("int"))
+    p = F.when(F.col("n1") > 0, d * F.col("n1") / F.lit(small.tokens + 1.0)).otherwise(F.lit(float(small.unknown)))
+    base = F.log10((F.col("n1") + 0.1) / F.lit(small.tokens + 0.1 * (small.types + 1)))
+    unseen = counted.select(
+        "key", zero.alias("n"), F.when(F.col("n1") > 0, F.col("times")).otherwise(zero).alias("known"),
+        (F.col("times") * base).alias("base"), (F.col("times") * F.log10(p)).alias("score"),
+    )
+    more = late.unionByName(unseen).withColumn("owner", F.lit(None).cast("bigint"))
+    by_handle = own.unionByName(more).groupBy("key").agg(F.max("owner").alias("owner"), *[F.sum(c).alias(c) for c in SUMMED])
+    scored = by_handle.groupBy(F.col("owner").alias("key")).agg(*[F.sum(c).alias(c) for c in SUMMED])
     rows = docs.select(F.col(id_col).alias("doc_id"), out_fold.alias("held_out"), key.alias("key"))
     times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     each = common.put(scored.join(times, "key"), "scored")

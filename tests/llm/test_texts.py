@@ -176,6 +176,36 @@ def test_scores_are_those_of_the_model(docs, some_texts, monkeypatch, small):
     assert katz.katz_scores(docs([])).count() == 0
 
 
+def test_packets_are_small_and_read_back(monkeypatch):
+    monkeypatch.setattr(katz, "HOT_LEAST", 1 << 40)
+    draw = np.random.default_rng(11)
+    word = draw.integers(1, 1 << 63, 3000, dtype=np.uint64)
+    frequent = katz.Frequent(word[:2000], draw.integers(1, 1000, 2000), 10**6)
+    pick = lambda n: word[np.minimum(draw.zipf(1.3, n) - 1, 2999)]
+    n, texts = 40_000, 300
+    context, own, earlier, doc = pick(n), pick(n), pick(n), np.sort(draw.integers(0, texts, n))
+    at = frequent.find(own)
+    packets = katz._emit(frequent, katz._spread(context, 8), context, own, np.where(at >= 0, -(at + 1), 0), earlier, np.ones(n, dtype=np.int64), doc, 77)
+    blobs = packets.column("blob").to_pylist()
+    got = Counter()
+    for blob in blobs:
+        v, w, count, u, times, place, keys = katz._read(blob, frequent)
+        known = frequent.find(w)
+        assert (count == np.where(known >= 0, frequent.n[known], 0)).all() and (times == 1).all()
+        got.update(zip(v.tolist(), w.tolist(), u.tolist(), keys[place].tolist(), strict=True))
+    keys = katz._handles(np.array([77], dtype=np.uint64), np.arange(texts))[doc]
+    assert got == Counter(zip(context.tolist(), own.tolist(), earlier.tolist(), keys.tolist(), strict=True))
+    assert sum(map(len, blobs)) < 9 * n  # of 28 bytes
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, conf = held(), spark.conf.get(common.CLEANUP, None)
+    table = common.put(spark.range(1000).repartition(5, "id").groupBy("id").count(), "few")
+    assert held() <= before and spark.conf.get(common.CLEANUP, None) == conf
+    assert table.count() == 1000
+
+
 def brute_katz_of_three(rows, others):
     words_of = lambda t: (t or "").encode().lower().split() + [None]
     after_two = lambda w: zip([(None, None), *zip([None, *w], w[:-1])], w, strict=True)
