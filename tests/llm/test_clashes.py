@@ -43,3 +43,20 @@ def test_signatures_against_a_loop(spark):
         terms, tf = np.unique(ids[len(ids) // 64 * 64 :], return_counts=True)
         top = terms[np.argsort(-Shared.value.impact(terms, tf, tf.sum()), kind="stable")[:2]].tolist() + [-1, -1]
         assert (one, two) == tuple(top[:2])
+
+
+def test_signatures_widen_few_rows_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Shared:
+        value = packing.Weights(np.arange(5), np.array([1, 2, 3, 4, 5]))
+
+    own = (np.arange(3000) % 50).astype("<u2").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([own] * 2000, pa.binary())], names=["doc_id", "ids"])
+    tracemalloc.start()
+    (got,) = packing._signatures(Shared, 64)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2000 and peak < batch.nbytes  # four times that for all ids at once
