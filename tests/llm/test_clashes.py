@@ -50,8 +50,10 @@ def test_signatures_widen_few_rows_at_a_time():
 
     import pyarrow as pa
 
+    term = np.append(np.arange(50), [packing.VOCABULARY, packing.VOCABULARY + 1])
+
     class Shared:
-        value = packing.Weights(np.arange(5), np.array([1, 2, 3, 4, 5]))
+        value = packing.Weights(term, np.append(np.full(50, 7), [2000, 2000 * 56]))
 
     own = (np.arange(3000) % 50).astype("<u2").tobytes()
     batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([own] * 2000, pa.binary())], names=["doc_id", "ids"])
